@@ -1,10 +1,14 @@
 """The operators' queries and, where SQL can express them, their DuckDB SQL."""
 
-from . import exact_dedup
+from . import decontamination, exact_dedup, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_decontamination": decontamination.op3_decontamination,
+    "op5_sharding": sharding.op5_sharding,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op3_decontamination": decontamination.ORACLE,
+    "op5_sharding": sharding.oracle(),
 }
