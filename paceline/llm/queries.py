@@ -1,11 +1,12 @@
 """The operators' queries and, where SQL can express them, their DuckDB SQL."""
 
-from . import decontamination, exact_dedup, sharding
+from . import decontamination, exact_dedup, near_dedup, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
     "op5_sharding": sharding.op5_sharding,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
