@@ -1,0 +1,11 @@
+"""Training-load analytics on Spark, and operators for text corpora.
+
+Functions that run in Python workers are shipped by value, so executors need no copy of
+this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
