@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are hashed in one go; a longer text is one piece of its own.
 PIECE = 1 << 20
@@ -69,7 +70,7 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """
     texts = texts.cast(pa.large_binary())
     if texts.null_count:
-        texts = pa.compute.fill_null(texts, b"")
+        texts = pc.fill_null(texts, b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     bytes_ = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     at = 0
