@@ -1,6 +1,6 @@
 """The operators' queries and, where SQL can express them, their DuckDB SQL."""
 
-from . import bpe, decontamination, exact_dedup, html_text, language_id, near_dedup, pii, sharding, toxicity
+from . import bpe, decontamination, exact_dedup, html_text, language_id, licenses, near_dedup, pii, sharding, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_bpe": bpe.op4_bpe,
     "op5_sharding": sharding.op5_sharding,
+    "op6_license_scan": licenses.op6_license_scan,
     "op7_language_id": language_id.op7_language_id,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_html_text": html_text.op9_html_text,

@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-#: Labelled rows that are learned from, of each label at most.
+#: Labelled toxic rows that are learned from at most; ordinary ones, twice as many.
 LEARN_ROWS = 1_500
 #: Bytes of the shared part of the dictionaries and at most of each class's own.
 SHARED_BYTES, OWN_BYTES = 24_000, 8_000
 LEVEL = 3
+#: What calling an ordinary text toxic costs, in misses.
+FALSE_ALARM = 4
 #: Parts of the labelled sample; each is judged by dictionaries made from the others.
 FOLDS = 5
 #: Differences in bytes that are counted.
@@ -147,7 +149,8 @@ class Model:
 
     def _fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> None:
         """Newton steps for a logistic regression, each label weighing as it occurs; then the offset
-        is set so that 0.5 parts the calibration rows with the fewest errors, labels weighing alike."""
+        is set so that 0.5 parts the calibration rows at the least cost, labels weighing alike and a
+        false alarm FALSE_ALARM times a miss."""
         self.mean, self.sd = x.mean(axis=0), x.std(axis=0) + 1e-6
         z = np.hstack([(x - self.mean) / self.sd, np.ones((len(x), 1))])
         w = np.zeros(z.shape[1])
@@ -160,7 +163,7 @@ class Model:
         cuts = np.concatenate([[margin[0] - 1], (margin[1:] + margin[:-1]) / 2, [margin[-1] + 1]])
         got = z @ w
         pos, neg = np.sort(got[y == 1]), np.sort(got[y == 0])
-        wrong = np.searchsorted(pos, cuts) / max(1, len(pos)) + 2 * (1 - np.searchsorted(neg, cuts) / max(1, len(neg)))
+        wrong = np.searchsorted(pos, cuts) / max(1, len(pos)) + FALSE_ALARM * (1 - np.searchsorted(neg, cuts) / max(1, len(neg)))
         self.w[-1] -= cuts[int(wrong.argmin())]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -173,7 +176,7 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """From at most `rows` labelled rows of each label, none held out, in the order of a hash.
+    """From at most `rows` toxic and 2 * `rows` ordinary labelled rows, none held out, in the order of a hash.
 
     An id labelled more than once is toxic if any of its labels is. None where either
     label is missing.
@@ -181,8 +184,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, id_col: st
     known = labels.select(labels[id_col].alias("doc_id"), labels[label_col].alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("h", F.xxhash64("doc_id"))
-    sides = [known.where(F.col("toxic") == t).orderBy("h", "doc_id").limit(rows) for t in (0, 1)]
-    ids = F.broadcast(sides[0].unionByName(sides[1]).withColumnRenamed("doc_id", "id"))  # 2 * rows at most
+    sides = [known.where(F.col("toxic") == t).orderBy("h", "doc_id").limit(rows if t else 2 * rows) for t in (0, 1)]
+    ids = F.broadcast(sides[0].unionByName(sides[1]).withColumnRenamed("doc_id", "id"))  # 3 * rows at most
     some = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(ids, F.col("doc_id") == F.col("id"))
     got = some.select("h", "id", "toxic", "text").dropDuplicates(["id"]).orderBy("toxic", "h", "id").collect()
     if len({r["toxic"] for r in got}) < 2:
