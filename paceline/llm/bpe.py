@@ -17,15 +17,17 @@ import hashlib
 import itertools
 import json
 import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose ids a worker remembers, and token pairs; both are forgotten together when full.
-REMEMBER = 400_000
+REMEMBER = 1_000_000
 #: Characters of a text that are cut into words in one go.
 PIECE = 1 << 22
 
@@ -57,7 +59,6 @@ class Vocabulary:
         self.rank = {}
         for r, (a, b) in enumerate(merges):
             self.rank.setdefault((spell(a), spell(b)), (r, spell(a + b)))
-        self.longest = max(map(len, self.ids))
 
 
 class Encoder:
@@ -68,62 +69,103 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.follows: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
+        self.spines: dict[tuple[int, int], list[tuple[int, float, float]]] = {}
         marks = sorted(self.v.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
+        automaton = ahocorasick.Automaton()
+        for spelled, i in vocabulary.ids.items():
+            automaton.add_word(spelled.decode("latin-1"), (i, len(spelled)))
+        automaton.make_automaton()
+        self.suffixes = automaton.iter
         size = max(self.v.bytes) + 1
         self.table = [self.v.bytes.get(i, b"") for i in range(size)]
 
-    def merge(self, text: bytes) -> list[int]:
-        """The merges as they are defined: always the pair of the lowest rank, leftmost first."""
-        parts = [self.v.ids[text[i : i + 1]] for i in range(len(text))]
+    def merge(self, text: bytes) -> tuple[list[int], list[tuple[int, int, int, int]]]:
+        """The merges as they are defined, lowest rank and then leftmost first: the tokens, and (rank, left, right, made) of each merge."""
+        rank = self.v.rank
+        parts, trace = [self.v.ids[text[i : i + 1]] for i in range(len(text))], []
         while len(parts) > 1:
-            best = min((self.v.rank[p][0], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in self.v.rank) if any(p in self.v.rank for p in zip(parts, parts[1:], strict=False)) else None
-            if best is None:
+            found = [(rank[p][0], i) for i, p in enumerate(itertools.pairwise(parts)) if p in rank]
+            if not found:
                 break
-            i = best[1]
-            parts[i : i + 2] = [self.v.rank[parts[i], parts[i + 1]][1]]
-        return parts
+            r, i = min(found)
+            made = rank[parts[i], parts[i + 1]][1]
+            trace.append((r, parts[i], parts[i + 1], made))
+            parts[i : i + 2] = [made]
+        return parts, trace
+
+    def spine(self, token: int, side: int) -> list[tuple[int, float, float]]:
+        """The token's outermost parts on a side (0 left, 1 right), as (part, rank it is made at, rank it is used up at)."""
+        known = self.spines.get((token, side))
+        if known is None:
+            _, trace = self.merge(self.table[token])
+            split = {made: (r, left, right) for r, left, right, made in trace}
+            known, part, until = [], token, float("inf")
+            while part is not None:
+                r, *halves = split.get(part, (-1, None, None))
+                known.append((part, r, until))
+                part, until = halves[side], r
+            self.spines[token, side] = known
+        return known
 
     def may_follow(self, a: int, b: int) -> bool:
+        """Whether the merges over the bytes of both give back both.
+
+        They don't if somewhere a part at a's end and one at b's start merge before either
+        is used up within its token; of equal ranks, the leftmost comes first.
+        """
         known = self.follows.get((a, b))
         if known is None:
-            known = self.follows[a, b] = self.merge(self.table[a] + self.table[b]) == [a, b]
+            known, rank = True, self.v.rank
+            for u, made_u, until_u in self.spine(a, 1):
+                for v, made_v, until_v in self.spine(b, 0):
+                    if made_u < until_v and made_v < until_u and (u, v) in rank:
+                        r = rank[u, v][0]
+                        if r < until_u and r <= until_v:
+                            known = False
+            self.follows[a, b] = known
         return known
 
     def may_begin(self, a: int) -> bool:
         known = self.alone.get(a)
         if known is None:
-            known = self.alone[a] = self.merge(self.table[a]) == [a]
+            known = self.alone[a] = self.merge(self.table[a])[0] == [a]
         return known
 
     def encode_words(self, words: Iterable[str]) -> None:
-        """Adds the ids of words to `self.words`, as little-endian 32-bit numbers."""
-        ids, longest, follows, may_follow, may_begin = self.v.ids, self.v.longest, self.follows, self.may_follow, self.may_begin
+        """Adds the ids of words to `self.words`, as little-endian 32-bit numbers.
+
+        An automaton over the vocabulary lists, for each end in a word, the tokens that end
+        there, the longest first.
+        """
+        follows, may_follow, may_begin, suffixes = self.follows, self.may_follow, self.may_begin, self.suffixes
         last, back, before = [0], [0], b""  # states of the current path: last token, length before it
         for spelled, word in sorted((w.encode("utf-8", "replace"), w) for w in words):
             shared, most = 0, min(len(before), len(spelled))
             while shared < most and before[shared] == spelled[shared]:
                 shared += 1
             del last[shared + 1 :], back[shared + 1 :]
-            for end in range(shared + 1, len(spelled) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(spelled[start:end])
-                    if token is None:
-                        continue
-                    if start == 0:
-                        if may_begin(token):
-                            break
-                    else:
-                        known = follows.get((last[start], token))
-                        if known or known is None and may_follow(last[start], token):
-                            break
-                last.append(token)
-                back.append(start)
+            done = shared - 1  # the last place whose state is known
+            for end, (token, size) in suffixes(spelled.decode("latin-1")):
+                if end <= done:
+                    continue
+                start = end + 1 - size
+                if start == 0:
+                    fits = may_begin(token)
+                else:
+                    fits = follows.get((last[start], token))
+                    if fits is None:
+                        fits = may_follow(last[start], token)
+                if fits:
+                    last.append(token)
+                    back.append(start)
+                    done = end
             before, out, at = spelled, [], len(spelled)
             while at:
                 out.append(last[at])
                 at = back[at]
-            self.words[word] = b"".join(i.to_bytes(4, "little") for i in reversed(out))
+            out.reverse()
+            self.words[word] = array("I", out).tobytes()
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         """A text's words, in lists; special tokens are cut out first."""
@@ -140,7 +182,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
         special = {t: i.to_bytes(4, "little") for t, i in self.v.special.items()}
-        if len(self.words) > REMEMBER or len(self.follows) > 4 * REMEMBER:
+        if len(self.words) > REMEMBER or len(self.follows) > 2 * REMEMBER:
             self.words, self.follows = {}, {}
         out = []
         cut = [list(self._pieces(t)) if len(t) <= PIECE else None for t in texts]
