@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-A candidate block is a stretch of text around words that license notices use. Each
-template serves as a zstandard raw dictionary: how many bytes shorter the block gets with
+A candidate block is a stretch of text around words that license notices use, taken as
+its words in lower case. Each template, taken likewise, serves as a zstandard raw dictionary: how many bytes shorter the block gets with
 it, as a share of the template's own compressed size, says how much of the template the
 block holds. The templates are ranked by that, and a winner is confirmed by comparing
 wordings: its words must occur in the block in order, within a tenth, and its decisive
@@ -49,7 +49,7 @@ TEMPLATES = (
 #: Words that tell one license from another; numbers are decisive too.
 DECISIVE = frozenset("apache mit bsd isc gnu general lesser affero mozilla cc by sa nc nd cc0 unencumbered restriction fee".split())
 #: Words that make the text around them a candidate block.
-ANCHOR = re.compile(r"licen[cs]|permission|public domain|copyright|unencumbered|source code form", re.I)
+ANCHOR = re.compile(r"licen[cs]|permission|public\W+domain|copyright|unencumbered|source\W+code\W+form", re.I)
 #: Characters of a block before and after an anchor; overlapping blocks are joined.
 BEFORE, AFTER = 120, 320
 LEVEL = 19
@@ -90,16 +90,16 @@ class Scanner:
         self.plain = coder()
         self.with_ = []
         for name, text in TEMPLATES:
-            low = text.lower().encode()
-            given = coder(dict_data=zstandard.ZstdCompressionDict(low, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             words = [w for w, _, _ in wording(text)]
+            low = " ".join(words).encode()
+            given = coder(dict_data=zstandard.ZstdCompressionDict(low, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             # What a block that is the template would save.
             most = len(self.plain.compress(low)) - len(given.compress(low))
             self.with_.append((name, words, [w for w in words if w in DECISIVE or w[0].isdigit()], given, max(1, most)))
 
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """Templates by the share of their size that the block saves given them, largest first."""
-        low = block.lower().encode("utf-8", "replace")
+    def ranked(self, words: list[tuple[str, int, int]]) -> list[tuple[float, int]]:
+        """Templates by the share of their size that the block's words save given them, largest first."""
+        low = " ".join(w for w, _, _ in words).encode()
         alone = len(self.plain.compress(low))
         saved = [((alone - len(given.compress(low))) / most, k) for k, (_, _, _, given, most) in enumerate(self.with_)]
         return sorted((s, k) for s, k in saved if s >= LEAST_SAVED)[::-1]
@@ -137,7 +137,7 @@ class Scanner:
         for a, z in blocks(text):
             n += 1
             words = wording(text[a:z])
-            for saved, k in self.ranked(text[a:z]):
+            for saved, k in self.ranked(words):
                 found += [m._replace(start=m.start + a, end=m.end + a) for m in self.confirm(words, k, saved)]
         kept: list[Match] = []
         for m in sorted(found, key=lambda m: (m.start - m.end, -m.alike, m.start, m.license)):
