@@ -26,8 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Words whose ids a worker remembers, and token pairs; both are forgotten together when full.
-REMEMBER = 1_000_000
+REMEMBER = 400_000
 #: Characters of a text that are cut into words in one go.
 PIECE = 1 << 22
 
@@ -182,7 +184,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
         special = {t: i.to_bytes(4, "little") for t, i in self.v.special.items()}
-        if len(self.words) > REMEMBER or len(self.follows) > 2 * REMEMBER:
+        if len(self.words) > REMEMBER or len(self.follows) > REMEMBER:
             self.words, self.follows = {}, {}
         out = []
         cut = [list(self._pieces(t)) if len(t) <= PIECE else None for t in texts]
@@ -252,7 +254,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return small_batches(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -266,7 +268,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(encoded[id_col].alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
+    return small_batches(encoded.select(encoded[id_col].alias("doc_id"), F.col(ids_col).alias("ids"))).mapInArrow(run, f"doc_id {kind}, text string")
 
 
 def op4_bpe(spark, sf_dir):

@@ -49,7 +49,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of `docs` whose id is in `verdicts` (one row an id), with the columns of `docs`."""
-    ids = verdicts.select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["__id"]), "left_semi")
+#: Ids that may be broadcast (about 50 bytes each in a hash table): 50 MB.
+BROADCAST_IDS = 1_000_000
+#: Bytes of an Arrow batch that a Python worker is given at a time.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, whose session from now on hands Python workers batches of BATCH_BYTES: rows of any length, bounded memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """Rows of `docs` whose id isn't in `gone` (one column, `gone_id`); null is an id like others.
+
+    Up to BROADCAST_IDS ids (counted) no row of `docs` is moved; beyond that both sides are
+    dealt by id.
+    """
+    some = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(some, docs[id_col].eqNullSafe(some["gone_id"]), "left_anti")
+
+
+def ids_repeat(rows: DataFrame, id_col: str) -> bool:
+    """Whether any id, null included, has more than one row."""
+    return not rows.groupBy(id_col).count().where("count > 1").isEmpty()

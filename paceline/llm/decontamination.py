@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, stored, without_ids
 
 #: A word after lower-casing A-Z: digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -124,9 +124,9 @@ def find_contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` in which no window of an item occurs, with its columns."""
-    hit = find_contamination(docs, benchmark, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of `docs` in which no window of an item occurs, with its columns; an id goes if any of its rows is hit."""
+    found = find_contamination(docs, benchmark, id_col, text_col).where("n_hit > 0")
+    return without_ids(docs, stored(found.select(F.col("doc_id").alias("gone_id")).distinct(), "contaminated"), id_col)
 
 
 def op3_decontamination(spark, sf_dir):

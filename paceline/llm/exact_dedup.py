@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, stored
+from .common import WHITE, ids_repeat, stored, without_ids
 
 #: Distinct keys a bucket holds before it splits.
 CAPACITY = 100_000
@@ -108,7 +108,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with its columns; of rows equal in id and text, one."""
-    stay = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    verdicts = stored(exact_dedup(docs, id_col, text_col), "dedup-verdicts")
+    if not ids_repeat(verdicts, "doc_id"):
+        return without_ids(docs, verdicts.where("not kept").select(F.col("doc_id").alias("gone_id")), id_col)
+    stay = verdicts.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     marked = docs.withColumn("__text_sha", F.sha2(normalised(docs[text_col]), 256))
     met = marked.join(stay, marked[id_col].eqNullSafe(F.col("__id")) & (F.col("__text_sha") == F.col("__sha")), "left_semi")
     copy = Window.partitionBy(id_col, "__text_sha").orderBy(F.lit(1))

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Fixed values of HTML: block-level elements, elements whose text isn't shown, what a start tag closes.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noframes ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 HIDDEN = frozenset("head iframe math noembed noscript object script style svg template textarea title video audio canvas".split())
@@ -372,7 +374,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     kind = pages.schema[id_col].dataType.simpleString()
     some = pages.select(pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].alias("html"))
-    return some.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return small_batches(some).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op9_html_text(spark, sf_dir):

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 
 #: Rows a language is learned from, at most.
 LEARN_ROWS = 1_000
@@ -184,7 +184,7 @@ def predict_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.asarray(scores, np.float64))], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return small_batches(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def drop_unknown(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +204,7 @@ def drop_unknown(docs: DataFrame, model: Model | None = None, id_col: str = "doc
                 keep += [t is not None and has_letter(t) and name != UNKNOWN for t, name in zip(raw.slice(k, 512).to_pylist(), names, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op7_language_id(spark, sf_dir):

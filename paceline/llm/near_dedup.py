@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ids_repeat, small_batches, stored, without_ids
 from .graph import components
 from .shingles import SHINGLE, mix, shingle_sets
 
@@ -189,7 +189,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty result. Further columns of `docs` are not read.
     """
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    rows = stored(texts.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>, packed array<long>"), "signatures")
+    rows = stored(small_batches(texts).mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>, packed array<long>"), "signatures")
 
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_class"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -251,8 +251,10 @@ def _link_rest(members: DataFrame, nodes: DataFrame, sets: DataFrame, labels: Da
     # (owner = label), which aren't compared with each other; the others share blocks.
     sizes = of.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("owner", F.when(F.col("n") > BLOCK, F.col("label")).otherwise(-1))
-    owners = sizes.groupBy("band", "key", "owner").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = of.join(sizes.select("band", "key", "label", "owner"), ["band", "key", "label"]).join(owners, ["band", "key", "owner"])
+    owners = stored(sizes.groupBy("band", "key", "owner").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")), "owners")
+    # Written first, so that the join with a hot bucket's members is one that can be split.
+    dealing = stored(sizes.select("band", "key", "label", "owner").join(owners, ["band", "key", "owner"]), "dealing")
+    dealt = of.join(dealing, ["band", "key", "label"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
     block = owners.select("band", "key", "owner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     block = block.select("band", "key", F.struct("owner", "block").alias("x"))
@@ -267,7 +269,7 @@ def _link_rest(members: DataFrame, nodes: DataFrame, sets: DataFrame, labels: Da
     cells = cells.withColumn("cell", F.xxhash64("band", "key", "x", "y")).withColumn("side", sides)
     alone = cells.withColumn("task", F.when(small, F.pmod(F.xxhash64("band", "key"), F.lit(tasks))).otherwise(F.col("cell")))
     spread = alone.select("band", "key", "cell", "task", F.explode("side").alias("s")).select("band", "key", "cell", "task", "s.side", "s.at.owner", "s.at.block")
-    rows = dealt.join(spread, ["band", "key", "owner", "block"]).select("task", "cell", "band", "side", "node", "label")
+    rows = dealt.join(stored(spread, "cells"), ["band", "key", "owner", "block"]).select("task", "cell", "band", "side", "node", "label")
     rows = rows.join(nodes.select(F.col("node").alias("k"), "bands", "packed"), F.col("node") == F.col("k")).join(sets.select(F.col("node").alias("l"), "hashes"), F.col("node") == F.col("l"))
 
     def link(pdf):
@@ -289,7 +291,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of rows equal in id and text, one stays. Where an id repeats with different texts, all
     of these stay if any of them names its component.
     """
-    stay = near_classes(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    verdicts = stored(near_classes(docs, id_col, text_col), "near-verdicts")
+    if not ids_repeat(verdicts, "doc_id"):
+        return without_ids(docs, verdicts.where("not kept").select(F.col("doc_id").alias("gone_id")), id_col)
+    stay = verdicts.where("kept").select(F.col("doc_id").alias("__id")).distinct()
     met = docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left_semi")
     copy = Window.partitionBy(id_col, F.sha2(text_col, 256)).orderBy(F.lit(1))
     return met.withColumn("__copy", F.row_number().over(copy)).where("__copy = 1").select(*docs.columns)

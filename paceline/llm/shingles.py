@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are hashed in one go; a longer text is one piece of its own.
-PIECE = 1 << 20
+#: Bytes of text that are hashed in one go; a longer text is cut at white space.
+PIECE = 1 << 18
 SHINGLE = 5
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -63,6 +63,21 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes, np.searchsorted(a, starts)
 
 
+def long_word_hashes(data: np.ndarray) -> np.ndarray:
+    """The words of one text, in pieces of PIECE bytes that end at white space or, within a longer word, with that word."""
+    out, at = [], 0
+    while at < len(data):
+        to = min(at + PIECE, len(data))
+        while to < len(data) and not (data[to] == 32 or 9 <= data[to] <= 13):
+            more = data[to : to + PIECE]
+            white = np.flatnonzero((more == 32) | ((more >= 9) & (more <= 13)))
+            to += int(white[0]) if len(white) else len(more)
+        piece = data[at:to]
+        out.append(word_hashes(piece, np.array([0, len(piece)]))[0])
+        at = to
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles of `size` words.
 
@@ -77,7 +92,12 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
         starts = offsets[at : to + 1] - offsets[at]
-        words, firsts = word_hashes(bytes_[offsets[at] : offsets[to]], starts)
+        piece = bytes_[offsets[at] : offsets[to]]
+        if len(piece) > PIECE:
+            words = long_word_hashes(piece)
+            firsts = np.array([0, len(words)])
+        else:
+            words, firsts = word_hashes(piece, starts)
         m = len(words) - size + 1
         rolled = np.zeros(max(m, 0), np.uint64)
         for k in range(size if m > 0 else 0):

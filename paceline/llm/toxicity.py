@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 
 #: Labelled toxic rows that are learned from at most; ordinary ones, twice as many.
 LEARN_ROWS = 1_500
@@ -210,7 +210,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return small_batches(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
 def op2_toxicity(spark, sf_dir):
