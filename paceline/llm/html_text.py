@@ -174,7 +174,7 @@ def block_features(blocks: list[Block], i: int) -> list[str]:
 
 # ---- labelled pages
 
-_MAIN, _REST = "", ""
+_MAIN, _REST = "\ue000", "\ue001"
 
 
 def labelled_page(rng: np.random.Generator) -> str:
