@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .times import iso_date, iso_to_ms
@@ -36,41 +36,50 @@ def cell_value(name: str, kind: str) -> Column:
     return {"int": cell_int, "double": cell_double}.get(kind, lambda c: c)(cell)
 
 
-# ---- JSON values (VARIANT)
+class Json:
+    """Values of a JSON text by path, dynamically typed: each asked for is read once, as its kind and its text.
 
+    `read` puts them in columns behind a one-row generator, which keeps the optimizer from
+    copying the reading into every expression that uses it.
+    """
 
-def at(value: str, path: str, kind: str) -> Column:
-    return F.expr(f"try_variant_get({value}, '$.{path}', '{kind}')")
+    def __init__(self):
+        self.paths: dict[str, str] = {}
 
+    def _name(self, path: str) -> str:
+        return self.paths.setdefault(path, path.replace(".", "__"))
 
-def kind_of(value: str, path: str) -> Column:
-    """STRING, BIGINT, DOUBLE, DECIMAL(..), BOOLEAN, OBJECT<..>, ARRAY<..>; null where absent, VOID where null."""
-    return F.expr(f"schema_of_variant(variant_get({value}, '$.{path}', 'variant'))")
+    def read(self, rows: DataFrame, value: str) -> DataFrame:
+        """`rows` with the values asked for so far and `is_object`."""
+        parsed = rows.withColumn("__v", F.try_parse_json(F.col(value)))
+        get = lambda path, kind: F.expr(f"try_variant_get(__v, '$.{path}', '{kind}')")
+        fields = [F.coalesce(F.schema_of_variant("__v").startswith("OBJECT"), F.lit(False)).alias("is_object")]
+        for path, name in self.paths.items():
+            fields += [F.expr(f"schema_of_variant(try_variant_get(__v, '$.{path}', 'variant'))").alias(f"__k_{name}"), get(path, "string").alias(f"__t_{name}")]
+        return parsed.select(*rows.columns, F.inline(F.array(F.struct(*fields))))
 
+    def kind(self, path: str) -> Column:
+        """STRING, BIGINT, DOUBLE, DECIMAL(..), BOOLEAN, OBJECT<..>, ARRAY<..>, VOID; null where absent."""
+        return F.col(f"__k_{self._name(path)}")
 
-def is_absent(value: str, path: str) -> Column:
-    kind = kind_of(value, path)
-    return kind.isNull() | (kind == "VOID")
+    def text(self, path: str) -> Column:
+        """The value as text: texts as they are, anything else as JSON."""
+        return F.col(f"__t_{self._name(path)}")
 
+    def absent(self, path: str) -> Column:
+        return self.kind(path).isNull() | (self.kind(path) == "VOID")
 
-def is_bool(value: str, path: str) -> Column:
-    return F.coalesce(kind_of(value, path) == "BOOLEAN", F.lit(False))
+    def is_kind(self, path: str, kind: str) -> Column:
+        return F.coalesce(self.kind(path).startswith(kind), F.lit(False))
 
+    def int(self, path: str) -> Column:
+        """A whole number, also 3.0 or the text '3'; null for fractions, truth values and the rest."""
+        text = F.trim(self.text(path))
+        number = text.try_cast("double")
+        from_number = F.when(number == F.floor(number), number.try_cast("int"))
+        from_text = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
+        return F.when(~self.is_kind(path, "BOOLEAN"), F.when(self.kind(path) == "STRING", from_text).otherwise(from_number))
 
-def json_text(value: str, path: str) -> Column:
-    """The value as text: texts as they are, anything else as JSON."""
-    return at(value, path, "string")
-
-
-def json_int(value: str, path: str) -> Column:
-    """A whole number, also 3.0 or the text '3'; null for fractions, truth values and the rest."""
-    text = F.trim(json_text(value, path))
-    number = text.try_cast("double")
-    from_number = F.when(number == F.floor(number), number.try_cast("int"))
-    from_text = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
-    return F.when(~is_bool(value, path), F.when(kind_of(value, path) == "STRING", from_text).otherwise(from_number))
-
-
-def json_double(value: str, path: str) -> Column:
-    """A number or its text; null for truth values and the rest."""
-    return F.when(~is_bool(value, path), F.trim(json_text(value, path)).try_cast("double"))
+    def double(self, path: str) -> Column:
+        """A number or its text; null for truth values and the rest."""
+        return F.when(~self.is_kind(path, "BOOLEAN"), F.trim(self.text(path)).try_cast("double"))

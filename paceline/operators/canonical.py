@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import coerce as C
 from ..functions import loads, times
+from ..functions.coerce import Json
 from ..functions.dlq import envelope
 from ..schemas import (
     CARDIO_ACTIVITY,
@@ -36,45 +36,45 @@ def _failure(condition: Column, kind: str, message: str) -> Column:
     return F.when(condition, F.struct(F.lit(kind).alias("error_type"), F.lit(message).alias("error_message")))
 
 
-def _missing(path: str) -> Column:
-    return _failure(C.is_absent("v", path), VALIDATION, f"missing required field: '{path}'")
+def _missing(j: Json, path: str) -> Column:
+    return _failure(j.absent(path), VALIDATION, f"missing required field: '{path}'")
 
 
-def _required(paths: tuple[str, ...], payload: tuple[str, ...] = ()) -> list[Column]:
-    checks = [_missing(p) for p in paths]
+def _required(j: Json, paths: tuple[str, ...], payload: tuple[str, ...] = ()) -> list[Column]:
+    checks = [_missing(j, p) for p in paths]
     if "payload" in paths:
-        checks.append(_failure(~C.kind_of("v", "payload").startswith("OBJECT"), VALIDATION, "payload must be an object"))
-    return checks + [_missing(f"payload.{p}") for p in payload]
+        checks.append(_failure(~j.is_kind("payload", "OBJECT"), VALIDATION, "payload must be an object"))
+    return checks + [_missing(j, f"payload.{p}") for p in payload]
 
 
-def _times() -> list[Column]:
-    return [_failure(_time(f).isNull(), TRANSFORM, f"unparseable time: '{f}'") for f in ("event_time", "ingest_time")]
+def _times(j: Json) -> list[Column]:
+    return [_failure(_time(j, f).isNull(), TRANSFORM, f"unparseable time: '{f}'") for f in ("event_time", "ingest_time")]
 
 
-def _time(path: str) -> Column:
-    return F.when(~C.is_bool("v", path), times.flexible_ms(C.json_text("v", path)))
+def _time(j: Json, path: str) -> Column:
+    return F.when(~j.is_kind(path, "BOOLEAN"), times.flexible_ms(j.text(path)))
 
 
-def _typed(path: str, kind: str) -> list[Column]:
+def _typed(j: Json, path: str, kind: str) -> Column:
     """A value that is there must be of its kind."""
-    made = C.json_int("v", path) if kind == "int" else C.json_double("v", path)
-    return [_failure(~C.is_absent("v", path) & made.isNull(), TRANSFORM, f"cannot read '{path}' as {kind}")]
+    made = j.int(path) if kind == "int" else j.double(path)
+    return _failure(~j.absent(path) & made.isNull(), TRANSFORM, f"cannot read '{path}' as {kind}")
 
 
-def _head(event_type: Column, schema_version: int) -> dict[str, Column]:
+def _head(j: Json, event_type: Column, schema_version: int) -> dict[str, Column]:
     return {
-        "event_id": C.json_text("v", "event_id"), "event_time": _time("event_time"), "ingest_time": _time("ingest_time"), "source": C.json_text("v", "source"),
-        "schema_version": F.lit(schema_version), "athlete_id": C.json_text("v", "athlete_id"), "event_type": event_type,
+        "event_id": j.text("event_id"), "event_time": _time(j, "event_time"), "ingest_time": _time(j, "ingest_time"), "source": j.text("source"),
+        "schema_version": F.lit(schema_version), "athlete_id": j.text("athlete_id"), "event_type": event_type,
     }
 
 
-def _fields(kinds: dict[str, str], rename: dict[str, str] | None = None) -> dict[str, Column]:
-    read = {"int": C.json_int, "double": C.json_double, "string": C.json_text}
-    return {(rename or {}).get(name, name): read[kind]("v", f"payload.{name}") for name, kind in kinds.items()}
+def _fields(j: Json, kinds: dict[str, str], rename: dict[str, str] | None = None) -> dict[str, Column]:
+    read = {"int": j.int, "double": j.double, "string": j.text}
+    return {(rename or {}).get(name, name): read[kind](f"payload.{name}") for name, kind in kinds.items()}
 
 
-def _checks(kinds: dict[str, str]) -> list[Column]:
-    return [c for name, kind in kinds.items() if kind != "string" for c in _typed(f"payload.{name}", kind)]
+def _checks(j: Json, kinds: dict[str, str]) -> list[Column]:
+    return [_typed(j, f"payload.{name}", kind) for name, kind in kinds.items() if kind != "string"]
 
 
 _BODY = {"sleep_hours": "double", "resting_hr": "int", "hrv": "double", "steps": "int", "body_weight_kg": "double"}
@@ -82,65 +82,65 @@ _FOOD = {"calories": "int", "protein_g": "double", "carbs_g": "double", "fat_g":
 _FEEL = {"energy": "int", "soreness": "int", "mood": "int", "stress": "int", "perceived_recovery": "int"}
 
 
-def _strength(version: int):
+def _strength(j: Json, version: int):
     kinds = {"workout_id": "string", "exercise_id": "string", "set_number": "int", "reps": "int", "weight_kg": "double", "rpe": "double", "rir": "double"}
-    record = _head(F.lit(STRENGTH_SET), version) | _fields(kinds)
+    record = _head(j, F.lit(STRENGTH_SET), version) | _fields(j, kinds)
     record["session_load"] = loads.strength_load(record["reps"], record["weight_kg"], record["rpe"])
-    checks = _required(_ENVELOPE, ("reps", "weight_kg")) + _times() + _checks(kinds)
+    checks = _required(j, _ENVELOPE, ("reps", "weight_kg")) + _times(j) + _checks(j, kinds)
     checks += [_failure(record["rpe"] < 0, VALIDATION, "rpe must not be negative"), _failure(~loads.finite(record["session_load"]), VALIDATION, "session_load must be a finite number")]
     return TRAINING_DDL, record, checks
 
 
-def _cardio(version: int):
+def _cardio(j: Json, version: int):
     kinds = {"duration_sec": "int", "distance_km": "double", "avg_hr": "int", "tss": "double"}
-    record = _head(F.lit(CARDIO_ACTIVITY), version) | _fields(kinds) | {"activity_type": F.trim(C.json_text("v", "payload.activity_type"))}
+    record = _head(j, F.lit(CARDIO_ACTIVITY), version) | _fields(j, kinds) | {"activity_type": F.trim(j.text("payload.activity_type"))}
     record["session_load"] = loads.cardio_load(record["tss"], record["avg_hr"], record["duration_sec"])
-    checks = _required(_ENVELOPE, ("activity_type", "duration_sec")) + _times()
-    checks += [_failure(C.kind_of("v", "payload.activity_type") != "STRING", VALIDATION, "activity_type must be a string"), *_checks(kinds)]
+    checks = _required(j, _ENVELOPE, ("activity_type", "duration_sec")) + _times(j)
+    checks += [_failure(j.kind("payload.activity_type") != "STRING", VALIDATION, "activity_type must be a string"), *_checks(j, kinds)]
     checks += [_failure(record["session_load"].isNull(), VALIDATION, "session_load needs tss or avg_hr"), _failure(~loads.finite(record["session_load"]), VALIDATION, "session_load must be a finite number")]
     return TRAINING_DDL, record, checks
 
 
-def _wellness(version: int):
+def _wellness(j: Json, version: int):
     """The event type is the payload's; a payload that names none is a daily wellness record."""
     kinds = _BODY | _FOOD | {"nutrition_adherence": "double"} | _FEEL
-    event_type = F.when(C.is_absent("v", "payload.event_type"), F.lit(WELLNESS_DAILY)).otherwise(C.json_text("v", "payload.event_type"))
-    record = _head(event_type, version) | _fields(kinds)
-    known = F.coalesce((C.kind_of("v", "payload.event_type") == "STRING") | C.is_absent("v", "payload.event_type"), F.lit(False)) & event_type.isin(*WELLNESS_TYPES)
-    checks = _required(_ENVELOPE) + _times() + _checks(kinds) + [_failure(~F.coalesce(known, F.lit(False)), VALIDATION, "unknown event_type")]
+    event_type = F.when(j.absent("payload.event_type"), F.lit(WELLNESS_DAILY)).otherwise(j.text("payload.event_type"))
+    record = _head(j, event_type, version) | _fields(j, kinds)
+    known = F.coalesce((j.kind("payload.event_type") == "STRING") | j.absent("payload.event_type"), F.lit(False)) & event_type.isin(*WELLNESS_TYPES)
+    checks = _required(j, _ENVELOPE) + _times(j) + _checks(j, kinds) + [_failure(~F.coalesce(known, F.lit(False)), VALIDATION, "unknown event_type")]
     return WELLNESS_DDL, record, checks
 
 
-def _nutrition(version: int):
+def _nutrition(j: Json, version: int):
     kinds = _FOOD | {"adherence_score": "double"}
-    record = _head(F.lit(NUTRITION_DAILY), version) | _fields(kinds, {"adherence_score": "nutrition_adherence"})
-    return WELLNESS_DDL, record, _required(_ENVELOPE) + _times() + _checks(kinds)
+    record = _head(j, F.lit(NUTRITION_DAILY), version) | _fields(j, kinds, {"adherence_score": "nutrition_adherence"})
+    return WELLNESS_DDL, record, _required(j, _ENVELOPE) + _times(j) + _checks(j, kinds)
 
 
-def _recovery(version: int):
-    record = _head(F.lit(RECOVERY_SNAPSHOT), version) | _fields(_BODY)
-    return WELLNESS_DDL, record, _required(_ENVELOPE) + _times() + _checks(_BODY)
+def _recovery(j: Json, version: int):
+    record = _head(j, F.lit(RECOVERY_SNAPSHOT), version) | _fields(j, _BODY)
+    return WELLNESS_DDL, record, _required(j, _ENVELOPE) + _times(j) + _checks(j, _BODY)
 
 
-def _planning(version: int):
+def _planning(j: Json, version: int):
     """A plan's fields are read from the payload or, without one, from the top level."""
     names = ("block_id", "goal", "start_date", "end_date", "planned_sessions_per_week", "weekly_volume_targets")
-    at = lambda name: F.coalesce(C.json_text("v", f"payload.{name}"), C.json_text("v", name))
+    at = lambda name: F.coalesce(j.text(f"payload.{name}"), j.text(name))
     sessions_text = F.trim(at("planned_sessions_per_week"))
     sessions = F.when(sessions_text.rlike(r"^[+-]?\d+(\.0+)?$"), sessions_text.try_cast("double").try_cast("int"))
     targets = F.try_parse_json(at("weekly_volume_targets"))
-    record = {k: c for k, c in _head(F.lit(None), version).items() if k != "event_type"} | {
+    record = {k: c for k, c in _head(j, F.lit(None), version).items() if k != "event_type"} | {
         "block_id": at("block_id"), "goal": at("goal"), "start_date": times.iso_to_ms(at("start_date")), "end_date": times.iso_to_ms(at("end_date")),
         "planned_sessions_per_week": sessions, "weekly_volume_targets": F.to_json(targets),
     }
-    checks = _required(tuple(f for f in _ENVELOPE if f != "payload")) + [_failure(at(n).isNull(), VALIDATION, f"missing required field: '{n}'") for n in names]
+    checks = _required(j, tuple(f for f in _ENVELOPE if f != "payload")) + [_failure(at(n).isNull(), VALIDATION, f"missing required field: '{n}'") for n in names]
     checks += [
         _failure(targets.isNull(), VALIDATION, "weekly_volume_targets is not valid JSON"),
         _failure(at("end_date") < at("start_date"), VALIDATION, "end_date must not be before start_date"),
         _failure(sessions.isNull(), VALIDATION, "planned_sessions_per_week must be a whole number"),
         _failure(sessions <= 0, VALIDATION, "planned_sessions_per_week must be over 0"),
         _failure(record["start_date"].isNull() | record["end_date"].isNull(), TRANSFORM, "unparseable date"),
-        *_times(),
+        *_times(j),
     ]
     return PLANNING_DDL, record, checks
 
@@ -150,13 +150,14 @@ _BUILD = {"strength": _strength, "cardio": _cardio, "wellness": _wellness, "nutr
 
 def canonicalize(raw: DataFrame, domain: str, schema_version: int = 1, value: str = "value") -> DataFrame:
     """`raw` (a JSON text a row) with `error` (null for valid rows) and `record` (null for rejected ones)."""
-    ddl, record, checks = _BUILD[domain](schema_version)
-    shape = struct(ddl)
-    unreadable = _failure(F.col("v").isNull() | ~F.coalesce(F.schema_of_variant(F.col("v")).startswith("OBJECT"), F.lit(False)), TRANSFORM, "not a JSON object")
-    error = F.coalesce(unreadable, *checks)
-    columns = [record.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in shape]
-    parsed = raw.withColumn("v", F.try_parse_json(F.col(value))).withColumn("error", error)
-    return parsed.withColumn("record", F.when(F.col("error").isNull(), F.struct(*columns))).drop("v")
+    j = Json()
+    ddl, record, checks = _BUILD[domain](j, schema_version)
+    unreadable = _failure(~F.col("is_object"), TRANSFORM, "not a JSON object")
+    columns = [record.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in struct(ddl)]
+    judged = F.struct(F.coalesce(unreadable, *checks).alias("error"), F.struct(*columns).alias("record"))
+    # As with the values: filters on `error` don't copy the checks.
+    read = j.read(raw, value).select(*raw.columns, F.inline(F.array(judged)))
+    return read.withColumn("record", F.when(F.col("error").isNull(), F.col("record")))
 
 
 def valid_records(canonical: DataFrame) -> DataFrame:
@@ -182,9 +183,9 @@ def validate_raw(raw: DataFrame, domain: str, value: str = "value") -> DataFrame
     """The stand-alone check of raw cardio, nutrition and recovery envelopes."""
     paths = {"cardio": ("event_id", "event_time", "athlete_id"), "nutrition": ("athlete_id", "event_time"), "recovery": ("athlete_id", "event_time")}[domain]
     payload = ("activity_type", "duration_sec") if domain == "cardio" else ()
-    parsed = raw.withColumn("v", F.try_parse_json(F.col(value)))
-    checks = [_missing(p) for p in paths]
+    j = Json()
+    checks = [_missing(j, p) for p in paths]
     if payload:
-        checks += [_failure(~F.coalesce(C.kind_of("v", "payload").startswith("OBJECT"), F.lit(False)), VALIDATION, "payload must be an object")] + [_missing(f"payload.{p}") for p in payload]
-    unreadable = _failure(F.col("v").isNull(), VALIDATION, "not a JSON object")
-    return parsed.withColumn("error", F.coalesce(unreadable, *checks)).drop("v")
+        checks += [_failure(~j.is_kind("payload", "OBJECT"), VALIDATION, "payload must be an object")] + [_missing(j, f"payload.{p}") for p in payload]
+    unreadable = _failure(~F.col("is_object"), VALIDATION, "not a JSON object")
+    return j.read(raw, value).select(*raw.columns, F.inline(F.array(F.struct(F.coalesce(unreadable, *checks).alias("error")))))

@@ -186,7 +186,7 @@ def dlq_validation(spark, sf_dir):
     return bad.groupBy("error_type", "error_message").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT 'e' || event_id AS event_id, epoch_ms(ts) AS event_time, event_type AS activity_type, CAST(event_id % 7200 AS INTEGER) AS duration_sec,
+@query("""SELECT 'e' || event_id AS event_id, (epoch_us(ts) // 1000) AS event_time, event_type AS activity_type, CAST(event_id % 7200 AS INTEGER) AS duration_sec,
   CASE WHEN event_id % 3 <> 0 THEN CAST(event_id % 60 + 120 AS INTEGER) END AS avg_hr, CASE WHEN event_id % 2 = 0 THEN value END AS tss,
   CASE WHEN event_id % 2 = 0 THEN value ELSE CAST(event_id % 7200 AS DOUBLE) / CAST(3600.0 AS DOUBLE) * (CAST(event_id % 60 + 120 AS DOUBLE) / CAST(220.0 AS DOUBLE)) * CAST(100.0 AS DOUBLE) END AS session_load
 FROM events WHERE event_id % 2 = 0 OR event_id % 3 <> 0""")
@@ -253,7 +253,7 @@ def canonical_validation(spark, sf_dir):
 # ---- time, cells, text
 
 
-@query("""SELECT event_id, epoch_ms(ts) AS ms, epoch_ms(date_trunc('second', ts)) AS iso_ms, CAST(ts AS DATE) AS day, epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS day_ms, epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS from_micros FROM events""")
+@query("""SELECT event_id, (epoch_us(ts) // 1000) AS ms, (epoch_us(date_trunc('second', ts)) // 1000) AS iso_ms, CAST(ts AS DATE) AS day, epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS day_ms, epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS from_micros FROM events""")
 def epoch_conversions(spark, sf_dir):
     ts = F.col("ts").cast("timestamp")
     ms = F.unix_millis(ts)
@@ -280,9 +280,9 @@ def sport_label(spark, sf_dir):
     return X.table(spark, sf_dir, "customer").select("c_custkey", scores.label(F.concat(F.lower("c_mktsegment"), F.lit("_team"))).alias("label"))
 
 
-@query("SELECT c_custkey, round_even(c_acctbal / 8, 1) AS one, round_even(c_acctbal / 8, 3) AS three FROM customer")
+@query("SELECT c_custkey, round_even(c_acctbal / 7, 1) AS one, round_even(c_acctbal / 7, 3) AS three FROM customer")
 def api_rounding(spark, sf_dir):
-    return X.table(spark, sf_dir, "customer").select("c_custkey", scores.api_round(F.col("c_acctbal") / 8).alias("one"), scores.api_round(F.col("c_acctbal") / 8, 3).alias("three"))
+    return X.table(spark, sf_dir, "customer").select("c_custkey", scores.api_round(F.col("c_acctbal") / 7).alias("one"), scores.api_round(F.col("c_acctbal") / 7, 3).alias("three"))
 
 
 # ---- duplicates and late data
@@ -296,13 +296,13 @@ def dedup_events(spark, sf_dir):
     return dedup.first_by_id(e, "arrival")
 
 
-@query("SELECT event_id FROM events WHERE event_id NOT IN (SELECT o_orderkey FROM orders)")
+@query("SELECT event_id FROM events WHERE event_id NOT IN (SELECT c_custkey FROM customer)")
 def unseen_events(spark, sf_dir):
-    seen = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"))
+    seen = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("event_id"))
     return dedup.unseen(X.table(spark, sf_dir, "events").select("event_id"), seen)
 
 
-@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 83 = 0 THEN epoch_ms(ts) - 5 * 86400000 ELSE epoch_ms(ts) END AS event_time FROM events),
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 83 = 0 THEN (epoch_us(ts) // 1000) - 5 * 86400000 ELSE (epoch_us(ts) // 1000) END AS event_time FROM events),
 m AS (SELECT *, max(event_time) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS largest FROM e)
 SELECT event_id, coalesce((event_time // 86400000 + 1) * 86400000 + 86400000 <= largest - 86400000, false) AS late FROM m""")
 def late_events(spark, sf_dir):

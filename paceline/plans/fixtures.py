@@ -26,7 +26,7 @@ def training_events(spark, sf_dir) -> DataFrame:
 
 
 TRAINING_SQL = """
-training AS (SELECT CAST(event_id AS VARCHAR) AS event_id, 'u' || user_id AS athlete_id, epoch_ms(ts) AS event_time, CAST(ts AS DATE) AS day,
+training AS (SELECT CAST(event_id AS VARCHAR) AS event_id, 'u' || user_id AS athlete_id, (epoch_us(ts) // 1000) AS event_time, CAST(ts AS DATE) AS day,
   CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 101 = 0 THEN CAST('nan' AS DOUBLE) ELSE round(value * 100) END AS session_load FROM events),
 good AS (SELECT * FROM training WHERE session_load IS NOT NULL AND NOT isnan(session_load)),
 event_days AS (SELECT athlete_id, day, sum(session_load) AS daily_load FROM good GROUP BY ALL)"""
@@ -164,6 +164,6 @@ letters AS (SELECT event_id AS "offset", ['dlq.training_event', 'dlq.wellness_ev
     CASE WHEN event_id % 19 = 0 THEN '' WHEN event_id % 23 = 0 THEN 'dlq.training_event' WHEN event_id % 29 = 0 THEN NULL ELSE ['raw.strength', 'raw.wellness', 'raw.planning'][event_id % 3 + 1] END AS original_topic,
     CASE WHEN event_id % 31 <> 0 THEN CAST(event_id AS VARCHAR) END AS original_key, CASE WHEN event_id % 37 = 0 THEN 0 ELSE octet_length(encode(props)) END AS payload_size,
     event_id % 43 = 0 AS truncated, CASE WHEN event_id % 47 <> 0 THEN ['VALIDATION_FAILURE', 'TRANSFORM_ERROR', 'LATE_DATA', 'SCHEMA_INCOMPATIBILITY', 'ODD'][event_id % 5 + 1] END AS error_type,
-    CASE WHEN event_id % 53 <> 0 THEN CASE WHEN event_id % 59 = 0 THEN {NOW_MS + 5} ELSE epoch_ms(ts) END END AS ts_ms,
+    CASE WHEN event_id % 53 <> 0 THEN CASE WHEN event_id % 59 = 0 THEN {NOW_MS + 5} ELSE (epoch_us(ts) // 1000) END END AS ts_ms,
     event_id % 61 = 0 OR event_id % 67 = 0 OR (event_id % 37 <> 0 AND event_id % 41 = 0) AS corrupt FROM events),
 readable AS (SELECT * FROM letters WHERE NOT corrupt)"""

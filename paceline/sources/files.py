@@ -78,20 +78,29 @@ def read_rows(spark: SparkSession, path: str, domain: str) -> DataFrame:
     return typed_rows(read_cells(spark, path, domain), domain)
 
 
+def stream_rows(spark: SparkSession, path: str, domain: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A folder of *.csv as a stream of typed rows: each file once, its columns in the domain's order."""
+    reader = spark.readStream.option("header", True).option("escape", '"').option("pathGlobFilter", "*.csv").schema(", ".join(f"`{n}` STRING" for n in COLUMNS[domain]))
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return typed_rows(reader.csv(path), domain)
+
+
 def read_plans(spark: SparkSession, path: str) -> DataFrame:
     """Planning documents by suffix: .yaml and .yml, .json (one object a file) and .csv.
 
     YAML is read by a vectorized function, file by file, as nothing built in reads it.
     """
-    whole = lambda glob: spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+    whole = lambda glob: spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True)
     docs = whole("*.json").unionByName(whole("*.{yaml,yml}").mapInPandas(_yaml_to_json, "value string"))
     return typed_rows(plan_cells(docs), "planning").unionByName(read_rows(spark, path, "planning"))
 
 
 def plan_cells(docs: DataFrame, value: str = "value") -> DataFrame:
     """Cells of JSON documents, one object a row; a document that is none has only nulls."""
-    doc = docs.select(F.try_parse_json(F.col(value)).alias("v"))
-    return doc.select(*[F.when(F.schema_of_variant("v").startswith("OBJECT"), C.json_text("v", n)).alias(n) for n in COLUMNS["planning"]])
+    j = C.Json()
+    cells = {n: j.text(n) for n in COLUMNS["planning"]}
+    return j.read(docs, value).select(*[F.when(F.col("is_object"), c).alias(n) for n, c in cells.items()])
 
 
 def _yaml_to_json(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

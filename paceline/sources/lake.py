@@ -24,6 +24,17 @@ def append(events: DataFrame, path: str) -> None:
     dated.repartition("event_day", part).sortWithinPartitions("event_day", "athlete_id").write.mode("append").option("compression", "snappy").partitionBy("event_day").parquet(path)
 
 
+def replace_batch(events: DataFrame, path: str, number: int) -> None:
+    """Appends a micro-batch under its own number, so that a batch that runs again replaces what it wrote."""
+    dated = events.withColumn("event_day", ms_to_date(F.col("event_time"))).withColumn("batch", F.lit(number))
+    dated.sortWithinPartitions("event_day", "athlete_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "event_day").parquet(path)
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All events that `replace_batch` wrote."""
+    return spark.read.schema(TRAINING_DDL + ", batch INT, event_day DATE").parquet(path).drop("batch")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """All events under `path`; filters on event_day prune folders, those on athlete_id row groups."""
     return spark.read.schema(TRAINING_DDL + ", event_day DATE").parquet(path)

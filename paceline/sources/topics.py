@@ -21,6 +21,17 @@ def path_of(root: str, topic: str) -> str:
     return f"{root.rstrip('/')}/{topic}"
 
 
+def create_topics(spark: SparkSession, root: str, names: tuple[str, ...] = TOPICS) -> list[str]:
+    """Makes each topic's folder with an empty batch, where it isn't there; the names of the new ones."""
+    made = []
+    for topic in names:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path_of(root, topic))
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            spark.createDataFrame([], SHAPE).write.parquet(path_of(root, topic))
+            made.append(topic)
+    return made
+
+
 def write_batch(messages: DataFrame, root: str, topic: str, first_offset: int = 0) -> None:
     """Appends (key, value) rows; offsets rise within a batch and needn't be dense."""
     out = messages.select(

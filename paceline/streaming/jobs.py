@@ -16,10 +16,13 @@ from ..functions.loads import finite
 from ..functions.times import ms_to_date
 from ..operators import canonical, dedup, rolling, wellness
 from ..schemas import DAY_MS, TRAINING_DDL
-from ..sources import topics
+from ..sources import files, lake, topics
 from .late import is_late
 
 DEDUP_DAYS = 7
+#: Folders of a topic that hold one micro-batch each; a batch that runs again replaces its own.
+BATCH = "batch"
+COUNTERS = "batch BIGINT, processed BIGINT, duplicates BIGINT, late BIGINT, not_finite BIGINT"
 
 
 class KeyedTable:
@@ -48,6 +51,24 @@ class KeyedTable:
         rows.write.mode("overwrite").parquet(f"{self.path}/v{version}")
 
 
+def ingest_job(spark: SparkSession, inbox: str, root: str, domain: str, checkpoint: str, every: str | None = None, files_per_trigger: int | None = None) -> StreamingQuery:
+    """A folder of files -> raw.<domain>: each file once. `every`: a polling interval; none: what is there now, then stop."""
+    rows = files.stream_rows(spark, inbox, domain, files_per_trigger)
+
+    def step(batch: DataFrame, number: int) -> None:
+        now = F.unix_millis(F.current_timestamp())
+        made = files.envelopes(batch, domain, now).select("key", "value", F.lit(f"raw.{domain}").alias("topic"), F.lit(number).cast("bigint").alias("offset"), now.alias("timestamp"))
+        made.write.mode("overwrite").parquet(f"{topics.path_of(root, f'raw.{domain}')}/{BATCH}={number}")
+
+    writer = rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def run_connectors(spark: SparkSession, inbox: str, root: str, checkpoint: str, every: str | None = "5 seconds", domains: tuple[str, ...] = canonical.DOMAINS) -> dict[str, StreamingQuery]:
+    """One ingest query a domain over <inbox>/<domain>, all on this session."""
+    return {d: ingest_job(spark, f"{inbox}/{d}", root, d, f"{checkpoint}/{d}", every) for d in domains}
+
+
 def canonicalize_job(spark: SparkSession, root: str, domain: str, out_topic: str, dlq_topic: str, checkpoint: str, files_per_trigger: int | None = None, key: str = "$.event_id") -> StreamingQuery:
     """raw.<domain> -> canonical records and dead letters, first copy of an id wins within DEDUP_DAYS."""
     raw = topics.read_stream(spark, root, f"raw.{domain}", files_per_trigger)
@@ -59,9 +80,9 @@ def canonicalize_job(spark: SparkSession, root: str, domain: str, out_topic: str
         fresh = dedup.unseen(dedup.first_by_id(keyed, "arrival").drop("arrival"), known)
         made = canonical.canonicalize(fresh, domain).persist()
         good = canonical.valid_records(made)
-        good.select(F.col("athlete_id").alias("key"), F.to_json(F.struct("*")).alias("value"), F.lit(out_topic).alias("topic"), F.lit(number).cast("bigint").alias("offset"), F.col("ingest_time").alias("timestamp")).write.mode("overwrite").parquet(f"{topics.path_of(root, out_topic)}/{domain}-batch={number}")
+        good.select(F.col("athlete_id").alias("key"), F.to_json(F.struct("*")).alias("value"), F.lit(out_topic).alias("topic"), F.lit(number).cast("bigint").alias("offset"), F.col("ingest_time").alias("timestamp")).write.mode("overwrite").parquet(f"{topics.path_of(root, out_topic)}/{BATCH}={domain}-{number}")
         bad = canonical.rejected(made, f"raw.{domain}", key=key)
-        bad.select(F.col("original_key").alias("key"), F.to_json(F.struct("*")).alias("value"), F.lit(dlq_topic).alias("topic"), F.lit(number).cast("bigint").alias("offset"), "timestamp").write.mode("overwrite").parquet(f"{topics.path_of(root, dlq_topic)}/{domain}-batch={number}")
+        bad.select(F.col("original_key").alias("key"), F.to_json(F.struct("*")).alias("value"), F.lit(dlq_topic).alias("topic"), F.lit(number).cast("bigint").alias("offset"), "timestamp").write.mode("overwrite").parquet(f"{topics.path_of(root, dlq_topic)}/{BATCH}={domain}-{number}")
         now = F.unix_millis(F.current_timestamp())
         ids = fresh.where("coalesce(event_id, '') != ''").select("event_id", now.alias("seen_ms"))
         seen.write(known.where(F.col("seen_ms") > now - DEDUP_DAYS * DAY_MS).unionByName(ids), number)
@@ -70,7 +91,7 @@ def canonicalize_job(spark: SparkSession, root: str, domain: str, out_topic: str
     return raw.writeStream.foreachBatch(step).option("checkpointLocation", f"{checkpoint}/query").trigger(availableNow=True).start()
 
 
-def metrics_job(spark: SparkSession, root: str, checkpoint: str, files_per_trigger: int | None = None) -> StreamingQuery:
+def metrics_job(spark: SparkSession, root: str, checkpoint: str, files_per_trigger: int | None = None, lake_path: str | None = None) -> StreamingQuery:
     """Canonical training events -> daily loads and metrics; late and non-finite events -> dead letters.
 
     A batch adds its sums to the days it touches and recomputes the metrics of their
@@ -82,6 +103,7 @@ def metrics_job(spark: SparkSession, root: str, checkpoint: str, files_per_trigg
     seen = KeyedTable(spark, f"{checkpoint}/seen", "event_id STRING, seen_ms BIGINT")
     clock = KeyedTable(spark, f"{checkpoint}/clock", "largest BIGINT")
     table = KeyedTable(spark, f"{checkpoint}/metrics", METRICS_ROWS)
+    counters = KeyedTable(spark, f"{checkpoint}/counters", COUNTERS)
 
     def step(batch: DataFrame, number: int) -> None:
         known, before = seen.read(before=number), daily.read(before=number)
@@ -92,7 +114,7 @@ def metrics_job(spark: SparkSession, root: str, checkpoint: str, files_per_trigg
         bad = fresh.where("error_type is not null")
         whole = F.to_json(F.struct(*[c for c in fresh.columns if c not in ("late", "error_type", "timestamp")]))
         letters = bad.select(*envelope(F.lit("canonical.training_event"), F.col("event_id"), whole, F.col("error_type"), F.lit("late or not finite")))
-        letters.select(F.col("original_key").alias("key"), F.to_json(F.struct("*")).alias("value"), F.lit("dlq.training_event").alias("topic"), F.lit(number).cast("bigint").alias("offset"), "timestamp").write.mode("overwrite").parquet(f"{topics.path_of(root, 'dlq.training_event')}/metrics-batch={number}")
+        letters.select(F.col("original_key").alias("key"), F.to_json(F.struct("*")).alias("value"), F.lit("dlq.training_event").alias("topic"), F.lit(number).cast("bigint").alias("offset"), "timestamp").write.mode("overwrite").parquet(f"{topics.path_of(root, 'dlq.training_event')}/{BATCH}=metrics-{number}")
         good = fresh.where("error_type is null")
         added = good.groupBy("athlete_id", ms_to_date(F.col("event_time")).alias("day")).agg(F.sum("session_load").alias("daily_load"))
         daily.write(before.unionByName(added).groupBy("athlete_id", "day").agg(F.sum("daily_load").alias("daily_load")), number)
@@ -103,6 +125,12 @@ def metrics_job(spark: SparkSession, root: str, checkpoint: str, files_per_trigg
         table.write(kept.unionByName(remade.select(*kept.columns)), number)
         now = F.unix_millis(F.current_timestamp())
         seen.write(known.where(F.col("seen_ms") > now - DEDUP_DAYS * DAY_MS).unionByName(fresh.where("coalesce(event_id, '') != ''").select("event_id", now.alias("seen_ms"))), number)
+        counts = fresh.agg(F.count("*").alias("processed"), F.count_if(F.col("error_type") == "LATE_DATA").alias("late"), F.count_if(F.col("error_type") == "VALIDATION_FAILURE").alias("not_finite"))
+        counted = counts.crossJoin(events.agg(F.count("*").alias("__all")))  # one row each
+        mine = counted.select(F.lit(number).cast("bigint").alias("batch"), "processed", (F.col("__all") - F.col("processed")).alias("duplicates"), "late", "not_finite")
+        counters.write(counters.read(before=number).unionByName(mine), number)
+        if lake_path:
+            lake.replace_batch(good.drop("late", "error_type", "timestamp"), lake_path, number)
         top = events.agg(F.greatest(F.max("event_time"), F.lit(largest).cast("bigint")).alias("largest"))
         clock.write(top, number)
         fresh.unpersist()
