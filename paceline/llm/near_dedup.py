@@ -40,8 +40,8 @@ PERCENT = 85
 SIGMAS = 5
 #: Ids that may be broadcast to pick texts in the second scan (16 bytes each).
 BROADCAST_IDS = 1_000_000
-#: Members of a block.
-BLOCK = 1_000
+#: Members of a block, and shingles of theirs (16 MB), on average at most.
+BLOCK, BLOCK_SHINGLES = 1_000, 2_000_000
 
 _COUNT = BANDS * ROWS
 _rng = np.random.Generator(np.random.PCG64(85))
@@ -193,9 +193,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_class"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    firsts = rows.select("doc_id", "bands", "packed", F.col("digest").alias("d")).join(classes, (F.col("d") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    firsts = rows.select("doc_id", "n_shingles", "bands", "packed", F.col("digest").alias("d")).join(classes, (F.col("d") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     one = Window.partitionBy("node").orderBy("doc_id")
-    firsts = firsts.select("node", "first_id", "digest", "bands", "packed", F.row_number().over(one).alias("copy")).where("copy = 1").drop("copy")
+    firsts = firsts.select("node", "first_id", "digest", "n_shingles", "bands", "packed", F.row_number().over(one).alias("copy")).where("copy = 1").drop("copy")
     nodes = stored(firsts, "nodes")
 
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -208,7 +208,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = led.where("node != lead").select(F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node")).distinct()
 
     # The second scan: sets of the nodes that are in any bucket.
-    wanted = stored(members.select("node").distinct().join(nodes, "node").select("node", "first_id", "digest", "bands", "packed"), "wanted")
+    wanted = stored(members.select("node").distinct().join(nodes, "node").select("node", "first_id", "digest", "n_shingles", "bands", "packed"), "wanted")
     ids = wanted.select("node", "first_id", "digest")
     picked = texts.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("first_id")))
     sets = stored(picked.select("node", "digest", "text").mapInArrow(_sets, "node long, hashes array<long>"), "sets")
@@ -245,13 +245,13 @@ def _link_rest(members: DataFrame, nodes: DataFrame, sets: DataFrame, labels: Da
     buckets = labelled.groupBy("band", "key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), who)
     buckets = buckets.where("n > 2 and least < most")
     chosen = buckets.groupBy("who", "n").agg(F.min("band").alias("band")).join(buckets.select("who", "n", "band", "key"), ["who", "n", "band"]).select("band", "key")
-    of = stored(labelled.join(chosen, ["band", "key"]), "open")
+    of = stored(labelled.join(chosen, ["band", "key"]).join(nodes.select("node", "n_shingles"), "node"), "open")
 
     # Members are dealt into blocks. A label of more than a block has blocks of its own
     # (owner = label), which aren't compared with each other; the others share blocks.
-    sizes = of.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("owner", F.when(F.col("n") > BLOCK, F.col("label")).otherwise(-1))
-    owners = stored(sizes.groupBy("band", "key", "owner").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")), "owners")
+    sizes = of.groupBy("band", "key", "label").agg(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES).alias("fill"))
+    sizes = sizes.withColumn("owner", F.when(F.col("fill") > 1, F.col("label")).otherwise(-1))
+    owners = stored(sizes.groupBy("band", "key", "owner").agg(F.ceil(F.sum("fill")).cast("int").alias("blocks")), "owners")
     # Written first, so that the join with a hot bucket's members is one that can be split.
     dealing = stored(sizes.select("band", "key", "label", "owner").join(owners, ["band", "key", "owner"]), "dealing")
     dealt = of.join(dealing, ["band", "key", "label"])
