@@ -34,18 +34,24 @@ def load_spine(daily: DataFrame, days: int = LONG_DAYS) -> DataFrame:
     return out.select("athlete_id", "metric_date", F.when(F.col("__k") == 0, F.col("daily_load")).alias("daily_load"))
 
 
-def rolling_load(spine: DataFrame) -> DataFrame:
+def rolling_load(spine: DataFrame, keep_number: bool = False) -> DataFrame:
     """Acute sum over 7 days; chronic means over 28 and 42 days, of the days present; their ratio."""
-    by_date = Window.partitionBy("athlete_id").orderBy(F.unix_date("metric_date"))
+    by_date = Window.partitionBy("athlete_id").orderBy("__d")
     over = lambda days: by_date.rangeBetween(1 - days, 0)
-    out = spine.withColumns(
+    # The day's number is a column of its own, so that all windows, here and in
+    # `deload_flag`, share one sort.
+    out = _numbered(spine).withColumns(
         {
             "acute_load": F.coalesce(F.sum("daily_load").over(over(ACUTE_DAYS)), F.lit(0.0)),
             "chronic_load_28d": F.coalesce(F.avg("daily_load").over(over(CHRONIC_DAYS)), F.lit(0.0)),
             "chronic_load_42d": F.coalesce(F.avg("daily_load").over(over(LONG_DAYS)), F.lit(0.0)),
         }
     )
-    return out.withColumn("acute_chronic_ratio", scores.load_ratio(F.col("acute_load"), F.col("chronic_load_28d")))
+    return out.withColumn("acute_chronic_ratio", scores.load_ratio(F.col("acute_load"), F.col("chronic_load_28d"))).drop(*([] if keep_number else ["__d"]))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows if "__d" in rows.columns else rows.withColumn("__d", F.unix_date("metric_date"))
 
 
 def deload_flag(rolled: DataFrame, streak: int = STREAK) -> DataFrame:
@@ -53,20 +59,20 @@ def deload_flag(rolled: DataFrame, streak: int = STREAK) -> DataFrame:
 
     Runs go over the rows there are, in order of date; a gap without rows doesn't end one.
     """
-    by_date = Window.partitionBy("athlete_id").orderBy(F.unix_date("metric_date"))
-    signed = rolled.withColumn("__sign", scores.ratio_sign(F.col("acute_chronic_ratio")))
+    by_date = Window.partitionBy("athlete_id").orderBy("__d")
+    signed = _numbered(rolled).withColumn("__sign", scores.ratio_sign(F.col("acute_chronic_ratio")))
     turned = F.coalesce((F.col("__sign") != F.lag("__sign").over(by_date)).cast("int"), F.lit(1))
     marked = signed.withColumn("__turn", turned)
     # The number of the last row at which the sign turned gives a run's length, in the same sort.
     numbered = marked.withColumn("__n", F.row_number().over(by_date))
     start = F.max(F.when(F.col("__turn") == 1, F.col("__n"))).over(by_date.rowsBetween(Window.unboundedPreceding, 0))
     length = F.col("__n") - start + 1
-    return numbered.withColumn("deload_flag", F.when(length >= streak, F.col("__sign")).otherwise(0).cast("int")).drop("__sign", "__turn", "__n")
+    return numbered.withColumn("deload_flag", F.when(length >= streak, F.col("__sign")).otherwise(0).cast("int")).drop("__sign", "__turn", "__n", "__d")
 
 
 def metrics_of_days(daily: DataFrame) -> DataFrame:
     """The metrics table's load columns, from daily loads."""
-    rows = deload_flag(rolling_load(load_spine(daily)))
+    rows = deload_flag(rolling_load(load_spine(daily), keep_number=True))
     scored = rows.withColumns({"fatigue_score": scores.fatigue(F.col("acute_load"), F.col("chronic_load_42d")), "readiness_score": scores.readiness(F.col("acute_chronic_ratio"), F.col("chronic_load_28d"))})
     flags = F.to_json(scores.coaching_flags(F.col("deload_flag"), F.col("fatigue_score")))
     return scored.withColumn("coaching_flags", flags).drop("daily_load")
