@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]+"
 
 
+#: The temporary folder of a plain local run, made once.
+_OWN: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,8 +31,8 @@ def scratch(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="paceline-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _OWN.get("base") or tempfile.mkdtemp(prefix="paceline-")
+        _OWN["base"] = base
     return f"{base.rstrip('/')}/paceline/{label}-{uuid.uuid4().hex}"
 
 
