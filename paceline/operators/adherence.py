@@ -13,9 +13,10 @@ from ..functions import loads
 from .dedup import latest_by
 
 
-def latest_plans(plans: DataFrame) -> DataFrame:
-    """The last revision of each block."""
-    return latest_by(plans, ["athlete_id", "block_id"], "ingest_time")
+def latest_plans(plans: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """The last revision of each block, or the last one that was there at a time (`ingest_time` up to `as_of`)."""
+    known = plans if as_of is None else plans.where(F.col("ingest_time") <= as_of)
+    return latest_by(known, ["athlete_id", "block_id"], "ingest_time")
 
 
 def adherence_scores(plans: DataFrame, daily: DataFrame, today: Column) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce as C
 from ..functions import dlq, loads, scores, times
-from ..operators import adherence, canonical, dedup, merge, parity, quality, rolling, serving, wellness
+from ..operators import adherence, canonical, dedup, merge, parity, quality, rolling, serialize, serving, wellness
 from ..sources import demo, files
 from ..streaming import late
 from . import fixtures as X
@@ -144,6 +144,19 @@ def latest_revision(spark, sf_dir):
     return adherence.latest_plans(X.plans(spark, sf_dir))
 
 
+@query(f"WITH {X.PLANS_SQL} SELECT athlete_id, block_id, ingest_time, planned_sessions_per_week FROM revisions WHERE ingest_time <= 1 QUALIFY row_number() OVER (PARTITION BY athlete_id, block_id ORDER BY ingest_time DESC) = 1")
+def plan_as_of(spark, sf_dir):
+    return adherence.latest_plans(X.plans(spark, sf_dir), F.lit(1)).select("athlete_id", "block_id", "ingest_time", "planned_sessions_per_week")
+
+
+@query(f"""WITH {X.EVENT_METRICS_SQL} SELECT athlete_id AS key, epoch_ms(CAST(metric_date AS TIMESTAMP)) AS metric_date, acute_load, deload_flag, fatigue_score, coaching_flags FROM metrics""")
+def metrics_messages(spark, sf_dir):
+    """The messages, read back."""
+    shape = "metric_date BIGINT, acute_load DOUBLE, deload_flag INT, fatigue_score DOUBLE, coaching_flags ARRAY<STRING>"
+    read = serialize.metrics_messages(X.event_metrics(spark, sf_dir)).select("key", F.from_json("value", shape).alias("m")).select("key", "m.*")
+    return read.withColumn("coaching_flags", F.to_json("coaching_flags"))
+
+
 # ---- canonical records
 
 

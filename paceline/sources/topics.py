@@ -58,6 +58,17 @@ def read_stream(spark: SparkSession, root: str, topic: str, files_per_trigger: i
     return reader.parquet(path_of(root, topic))
 
 
+def read_kafka(spark: SparkSession, servers: str, topic: str, stream: bool = True, **options: str) -> DataFrame:
+    """The same columns from a Kafka topic, from its start on; needs Spark's Kafka connector on the class path.
+
+    `stream=False` reads what is there now, between `startingOffsets` and `endingOffsets`
+    (or the ...ByTimestamp forms) among `options`.
+    """
+    reader = (spark.readStream if stream else spark.read).format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    rows = reader.option("startingOffsets", "earliest").options(**options).load()
+    return rows.select(F.col("key").cast("string"), F.col("value").cast("string"), "topic", "offset", F.unix_millis("timestamp").alias("timestamp"))
+
+
 def offsets(spark: SparkSession, root: str, topics: tuple[str, ...] = DLQ_TOPICS) -> DataFrame:
     """(topic, earliest, latest) of topics that hold anything."""
     out = None

@@ -154,3 +154,13 @@ def test_demo_repeats(spark):
     squad = demo.athletes(spark, 24)
     once, twice = (sorted(map(tuple, demo.metrics(spark, squad, "2026-01-31", 10).collect())) for _ in range(2))
     assert once == twice and len(once) == 240 and squad.select("sport").distinct().count() == 12
+
+
+def test_messages_of_metrics(spark):
+    from paceline.operators import serialize
+
+    rows = [("a", dt.date(2024, 1, 1), 1.0, 2.0, 3.0, float("nan"), 0, None, 5.0, '["monitor"]'), ("b", dt.date(2024, 1, 1), float("inf"), 2.0, 3.0, None, 0, None, None, "[]"), ("c", dt.date(2024, 1, 1), None, 2.0, 3.0, None, 0, None, None, "[]")]
+    metrics = spark.createDataFrame(rows, "athlete_id string, metric_date date, acute_load double, chronic_load_28d double, chronic_load_42d double, acute_chronic_ratio double, deload_flag int, fatigue_score double, readiness_score double, coaching_flags string")
+    (m,) = serialize.metrics_messages(metrics).collect()
+    assert json.loads(m.value) == {"athlete_id": "a", "metric_date": 1704067200000, "acute_load": 1.0, "chronic_load_28d": 2.0, "chronic_load_42d": 3.0, "acute_chronic_ratio": None, "fatigue_score": None, "readiness_score": 5.0, "deload_flag": 0, "coaching_flags": ["monitor"]}
+    assert sorted(r.original_key for r in serialize.metrics_rejected(metrics).collect()) == ["b", "c"]
