@@ -19,6 +19,8 @@ from .common import ascii_lower, stored, without_ids
 
 #: A word after lower-casing A-Z: digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words in a text whose letters are as they were.
+WORD_AS_WRITTEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Consecutive words a window has.
 WINDOW = 10
 #: Windows that may be broadcast: at about 200 bytes each, 100 MB.
@@ -69,7 +71,7 @@ def find_contamination(
     window: int = WINDOW,
     broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
-    """A row for each row of `docs`: doc_id, n_words, n_hit, items (sorted strings), spans.
+    """A row for each row of `docs`: doc_id, n_words, n_hit, items (sorted strings), spans, text_key (a hash of the text).
 
     `spans` are the disjoint stretches of hit words, as (first, last) word numbers in
     order. Null and empty texts have no words and no hits; rows that repeat an id are
@@ -84,9 +86,9 @@ def find_contamination(
     marked = grams.unionByName(docs.sparkSession.createDataFrame([(0, 0, "")], "hash long, size int, gram string"))
     marked = meant(marked.withColumnsRenamed({"hash": "w_hash", "size": "w_size"}))
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("doc_id"), words(docs[text_col]).alias("words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_key"), words(docs[text_col]).alias("words"))
     n = F.size("words")
-    spread = rows.select("row", "doc_id", n.alias("n_words"), "words", F.explode(F.sequence(F.lit(-1), F.greatest(n - sizes[0], F.lit(-1)))).alias("at"))
+    spread = rows.select("row", "doc_id", "text_key", n.alias("n_words"), "words", F.explode(F.sequence(F.lit(-1), F.greatest(n - sizes[0], F.lit(-1)))).alias("at"))
     key = lambda size: F.when(F.col("at") < 0, F.lit(0).cast("long")).when(F.col("at") + size <= F.col("n_words"), _window_hash("words", "at", size))
     if len(sizes) == 1:
         spread = spread.withColumns({"size": F.when(F.col("at") < 0, 0).otherwise(sizes[0]), "hash": key(sizes[0])})
@@ -97,10 +99,10 @@ def find_contamination(
     # The sizes are compared by subtraction, so that the join's key is the one 64-bit hash.
     met = spread.join(marked, (F.col("hash") == F.col("w_hash")) & (F.col("size") - F.col("w_size") == 0) & ((F.col("size") == 0) | same_words))
     real = F.col("size") > 0
-    hits = met.select("row", "doc_id", "n_words", "at", "size", "hash", "gram")
+    hits = met.select("row", "doc_id", "text_key", "n_words", "at", "size", "hash", "gram")
 
     # One row a document: its hits are bounded by its words.
-    held = hits.groupBy("row", "doc_id").agg(
+    held = hits.groupBy("row", "doc_id", "text_key").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.collect_set(F.when(real, F.struct("at", (F.col("at") + F.col("size")).alias("end"))))).alias("found"),
         F.collect_set(F.when(real, F.struct("hash", "gram"))).alias("grams"),
@@ -112,14 +114,14 @@ def find_contamination(
           if(size(acc) = 0 or {last}.end < x.at, concat(acc, array(named_struct('at', x.at, 'end', x.end))),
              concat(slice(acc, 1, size(acc) - 1), array(named_struct('at', {last}.at, 'end', greatest({last}.end, x.end))))))"""
     )
-    spans = held.select("row", "doc_id", "n_words", joined_up.alias("spans"), "grams")
+    spans = held.select("row", "doc_id", "text_key", "n_words", joined_up.alias("spans"), "grams")
     listed = spans.where(F.size("grams") > 0).select("row", F.explode("grams").alias("g")).select("row", "g.hash", "g.gram")
     by_gram = windows.where("item_id is not null").select(F.col("hash").alias("w_hash"), F.col("gram").alias("w_gram"), F.col("item_id").cast("string").alias("item"))
     items = listed.join(meant(by_gram), (F.col("hash") == F.col("w_hash")) & (F.col("gram") == F.col("w_gram"))).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     out = spans.join(items, "row", "left")
     return out.select(
         "doc_id", "n_words", F.expr("aggregate(spans, 0, (n, s) -> n + s.end - s.at)").cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans",
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans", "text_key",
     )
 
 
@@ -129,6 +131,20 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     return without_ids(docs, stored(found.select(F.col("doc_id").alias("gone_id")).distinct(), "contaminated"), id_col)
 
 
+def cut_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the hit words: each goes with the signs after it; rows without hits are as they were.
+
+    A text that is all hits becomes what stands before its first word.
+    """
+    found = find_contamination(docs, benchmark, id_col, text_col).where("n_hit > 0")
+    hit = stored(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans")), "spans").dropDuplicates(["__id", "__key"])
+    met = docs.join(hit, docs[id_col].eqNullSafe(hit["__id"]) & (F.xxhash64(docs[text_col]) == hit["__key"]), "left")
+    met = met.withColumns({"__words": F.regexp_extract_all(F.col(text_col), F.lit(WORD_AS_WRITTEN), F.lit(0)), "__signs": F.split(F.col(text_col), WORD_AS_WRITTEN, -1)})
+    kept = F.expr("transform(__words, (w, i) -> if(exists(__spans, s -> i >= s.at and i < s.end), '', concat(w, __signs[i + 1])))")
+    cut = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.concat(F.expr("__signs[0]"), F.array_join(kept, "")))
+    return met.select(*[cut.alias(c) if c == text_col else docs[c] for c in docs.columns])
+
+
 def op3_decontamination(spark, sf_dir):
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "benchmark"))
     found = find_contamination(docs, benchmark)

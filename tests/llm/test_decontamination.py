@@ -62,3 +62,14 @@ def test_edge_cases(spark, empty, clashing):
     assert kept.columns == clashing.columns and kept.count() == 4
     spans = D.find_contamination(clashing, hit).where("n_hit > 0").first().spans
     assert [(s["at"], s["end"]) for s in spans] == [(0, 5)]
+
+
+def test_cutting_spans(spark):
+    docs, bench, d, i = fixture(spark)
+    cut = D.cut_contaminated(docs, bench)
+    got = sorted(((r.doc_id, r.text) for r in cut.collect()), key=str)
+    passage = " ".join(f"p{i}" for i in range(15))
+    want = {1: "x y", 2: "p0 p1 p2 p3 p4", 3: "a ", 4: None, 5: "", 6: "", 7: "soloist", 8: "é ", None: ""}
+    assert [g for g in got if g[0] != 9] == sorted(want.items(), key=str) and passage not in str(got)
+    assert sorted(len(t) for k, t in got if k == 9) == [1, 10000] and cut.columns == docs.columns
+    assert all(r.n_hit == 0 for r in D.find_contamination(cut, bench).collect())
