@@ -78,8 +78,12 @@ def label(name: Column) -> Column:
 
 
 def api_round(x: Column, digits: int = 1) -> Column:
-    """Half to even, null stays null."""
-    return F.bround(x, digits)
+    """The nearest decimal to the exact value of the double, half to even; null stays null.
+
+    `bround` would round the shortest decimal that reads as the double: 242.55 is above
+    the middle as a double, but a tie as a decimal.
+    """
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits)).try_cast("double")
 
 
 def flags_from_json(text: Column) -> Column:

@@ -293,9 +293,9 @@ def sport_label(spark, sf_dir):
     return X.table(spark, sf_dir, "customer").select("c_custkey", scores.label(F.concat(F.lower("c_mktsegment"), F.lit("_team"))).alias("label"))
 
 
-@query("SELECT c_custkey, round_even(c_acctbal / 7, 1) AS one, round_even(c_acctbal / 7, 3) AS three FROM customer")
+@query("SELECT c_custkey, round(sqrt(abs(c_acctbal)), 1) AS one, round(sqrt(abs(c_acctbal)), 3) AS three FROM customer")
 def api_rounding(spark, sf_dir):
-    return X.table(spark, sf_dir, "customer").select("c_custkey", scores.api_round(F.col("c_acctbal") / 7).alias("one"), scores.api_round(F.col("c_acctbal") / 7, 3).alias("three"))
+    return X.table(spark, sf_dir, "customer").select("c_custkey", scores.api_round(F.sqrt(F.abs("c_acctbal"))).alias("one"), scores.api_round(F.sqrt(F.abs("c_acctbal")), 3).alias("three"))
 
 
 # ---- duplicates and late data

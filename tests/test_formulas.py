@@ -84,3 +84,13 @@ def test_times(spark):
 def test_cells(spark):
     got = values(spark, "c string", [("2400.5",), (" 12 ",), ("",), ("x",), (None,)], coerce.cell_int(F.col("c")))
     assert [v for (v,) in got] == [None, 12, None, None, None]
+
+
+def test_rounding_is_of_the_exact_double(spark):
+    import random
+
+    rng = random.Random(1)
+    xs = [242.55, 0.25, 0.35, 2.675, -0.05, 1e-9, 12345678.05, None] + [rng.randrange(-10**6, 10**6) / 200 for _ in range(500)]
+    for digits in (1, 3):
+        got = [v for (v,) in values(spark, "x double", [(x,) for x in xs], scores.api_round(F.col("x"), digits))]
+        assert got == [None if x is None else round(x, digits) for x in xs]
