@@ -151,8 +151,9 @@ def learn(docs: DataFrame, rows: int = LEARN_ROWS, id_col: str = "doc_id", text_
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.2 * rows / n))])
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
     some = known.where(drawn).select("lang", F.xxhash64("text").alias("h"), "text").orderBy("h", "lang", "text").limit(2 * rows * len(counts)).toArrow()
-    some = some.combine_chunks()
-    return Model(np.concatenate([features(c) for c in some["text"].chunks]) if some.num_rows else np.zeros((0, DIM)), some["lang"].to_pylist()) if some.num_rows else None
+    if not some.num_rows:
+        return None
+    return Model(np.concatenate([features(c) for c in some["text"].chunks]), some["lang"].to_pylist())
 
 
 def has_letter(text: bytes) -> bool:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import ids_repeat, small_batches, stored, without_ids
 from .graph import components
-from .shingles import SHINGLE, mix, shingle_sets
+from .shingles import mix, shingle_sets
 
 BANDS, ROWS, BITS = 24, 4, 2
 #: Links need 100 * intersection >= PERCENT * union.
