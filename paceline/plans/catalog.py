@@ -557,7 +557,7 @@ def dlq_depth(spark, sf_dir):
 @query(f"WITH {X.LETTERS_SQL} SELECT topic, count(*) AS n FROM letters GROUP BY topic")
 def union_dlq(spark, sf_dir):
     letters = X.letters(spark, sf_dir)
-    parts = [letters.where(F.col("topic") == t) for t in ("dlq.training_event", "dlq.wellness_event", "dlq.planning_block")]
+    parts = [letters.where(F.col("topic") == t) for t in ("dlq.canonical.training_event", "dlq.canonical.wellness_event", "dlq.canonical.planning_block")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("topic").agg(F.count("*").alias("n"))
 
 

@@ -148,8 +148,8 @@ def letters(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
     i, ms = F.col("event_id"), F.unix_millis(F.col("ts").cast("timestamp"))
     kinds = F.array(*[F.lit(k) for k in ("VALIDATION_FAILURE", "TRANSFORM_ERROR", "LATE_DATA", "SCHEMA_INCOMPATIBILITY", "ODD")])
-    topic = F.element_at(F.array(F.lit("dlq.training_event"), F.lit("dlq.wellness_event"), F.lit("dlq.planning_block")), (i % 3 + 1).cast("int"))
-    origin = F.when(i % 19 == 0, F.lit("")).when(i % 23 == 0, F.lit("dlq.training_event")).when(i % 29 == 0, F.lit(None)).otherwise(F.element_at(F.array(F.lit("raw.strength"), F.lit("raw.wellness"), F.lit("raw.planning")), (i % 3 + 1).cast("int")))
+    topic = F.element_at(F.array(F.lit("dlq.canonical.training_event"), F.lit("dlq.canonical.wellness_event"), F.lit("dlq.canonical.planning_block")), (i % 3 + 1).cast("int"))
+    origin = F.when(i % 19 == 0, F.lit("")).when(i % 23 == 0, F.lit("dlq.canonical.training_event")).when(i % 29 == 0, F.lit(None)).otherwise(F.element_at(F.array(F.lit("raw.strength"), F.lit("raw.wellness"), F.lit("raw.planning")), (i % 3 + 1).cast("int")))
     body = F.struct(
         origin.alias("original_topic"), F.when(i % 31 != 0, i.cast("string")).alias("original_key"), F.when(i % 37 == 0, F.lit("")).when(i % 41 == 0, F.lit(None)).otherwise(F.base64(F.encode("props", "UTF-8"))).alias("original_value"),
         (i % 43 == 0).alias("original_value_truncated"), F.when(i % 47 != 0, F.element_at(kinds, (i % 5 + 1).cast("int"))).alias("error_type"),
@@ -160,8 +160,8 @@ def letters(spark, sf_dir) -> DataFrame:
 
 
 LETTERS_SQL = f"""
-letters AS (SELECT event_id AS "offset", ['dlq.training_event', 'dlq.wellness_event', 'dlq.planning_block'][event_id % 3 + 1] AS topic,
-    CASE WHEN event_id % 19 = 0 THEN '' WHEN event_id % 23 = 0 THEN 'dlq.training_event' WHEN event_id % 29 = 0 THEN NULL ELSE ['raw.strength', 'raw.wellness', 'raw.planning'][event_id % 3 + 1] END AS original_topic,
+letters AS (SELECT event_id AS "offset", ['dlq.canonical.training_event', 'dlq.canonical.wellness_event', 'dlq.canonical.planning_block'][event_id % 3 + 1] AS topic,
+    CASE WHEN event_id % 19 = 0 THEN '' WHEN event_id % 23 = 0 THEN 'dlq.canonical.training_event' WHEN event_id % 29 = 0 THEN NULL ELSE ['raw.strength', 'raw.wellness', 'raw.planning'][event_id % 3 + 1] END AS original_topic,
     CASE WHEN event_id % 31 <> 0 THEN CAST(event_id AS VARCHAR) END AS original_key, CASE WHEN event_id % 37 = 0 THEN 0 ELSE octet_length(encode(props)) END AS payload_size,
     event_id % 43 = 0 AS truncated, CASE WHEN event_id % 47 <> 0 THEN ['VALIDATION_FAILURE', 'TRANSFORM_ERROR', 'LATE_DATA', 'SCHEMA_INCOMPATIBILITY', 'ODD'][event_id % 5 + 1] END AS error_type,
     CASE WHEN event_id % 53 <> 0 THEN CASE WHEN event_id % 59 = 0 THEN {NOW_MS + 5} ELSE (epoch_us(ts) // 1000) END END AS ts_ms,

@@ -35,7 +35,10 @@ PLANS_DDL = (
 #: Topics by kind.
 RAW_TOPICS = tuple(f"raw.{d}" for d in ("strength", "cardio", "recovery", "nutrition", "wellness", "planning"))
 CANONICAL_TOPICS = ("canonical.training_event", "canonical.wellness_event", "canonical.planning_block")
-DLQ_TOPICS = ("dlq.training_event", "dlq.wellness_event", "dlq.planning_block")
+DLQ_TOPICS = ("dlq.canonical.training_event", "dlq.canonical.wellness_event", "dlq.canonical.planning_block")
+
+#: Days that topics keep their records; the canonical ones are compacted as well.
+RETENTION_DAYS = {t: 14 if t in ("raw.recovery", "raw.planning") else 7 for t in RAW_TOPICS + DLQ_TOPICS} | dict(zip(CANONICAL_TOPICS, (30, 30, 90), strict=True))
 
 #: Event types.
 STRENGTH_SET, CARDIO_ACTIVITY = "STRENGTH_SET", "CARDIO_ACTIVITY"

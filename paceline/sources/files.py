@@ -45,7 +45,7 @@ COLUMNS: dict[str, dict[str, tuple[str, bool]]] = {
     },
 }
 #: The `source` of each domain's envelopes.
-SOURCES = {"strength": "strong_csv", "cardio": "strava", "nutrition": "nutrition_csv", "recovery": "apple_health", "wellness": "synthetic_wellness", "planning": "synthetic_planning"}
+SOURCES = {"strength": "strong_csv", "cardio": "synthetic_cardio", "nutrition": "nutrition_csv", "recovery": "apple_health", "wellness": "synthetic_wellness", "planning": "synthetic_planning"}
 
 
 def read_cells(spark: SparkSession, path: str, domain: str) -> DataFrame:

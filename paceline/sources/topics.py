@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import CANONICAL_TOPICS, DLQ_TOPICS, RAW_TOPICS
+from ..operators.dedup import latest_by
+from ..schemas import CANONICAL_TOPICS, DAY_MS, DLQ_TOPICS, RAW_TOPICS, RETENTION_DAYS
 
 TOPICS = RAW_TOPICS + CANONICAL_TOPICS + DLQ_TOPICS
 SHAPE = "key STRING, value STRING, topic STRING, offset BIGINT, timestamp BIGINT"
@@ -41,6 +42,17 @@ def write_batch(messages: DataFrame, root: str, topic: str, first_offset: int =
     out.write.mode("append").parquet(path_of(root, topic))
 
 
+def expired(rows: DataFrame, now_ms: int) -> DataFrame:
+    """Rows of a log that are past their topic's retention."""
+    days = F.create_map(*[F.lit(x) for pair in RETENTION_DAYS.items() for x in pair])
+    return rows.where(F.col("timestamp") < F.lit(now_ms) - F.element_at(days, F.col("topic")).cast("bigint") * DAY_MS)
+
+
+def compacted(rows: DataFrame) -> DataFrame:
+    """The last record of each key of a compacted topic."""
+    return latest_by(rows.withColumn("__at", F.struct("timestamp", "offset")), ["topic", "key"], "__at").drop("__at")
+
+
 def read_batch(spark: SparkSession, root: str, topic: str, start_offset: int | None = None, start_timestamp: int | None = None) -> DataFrame:
     """The log from its start, from an offset or from a time on; the bounds reach the scan."""
     rows = spark.read.schema(SHAPE).parquet(path_of(root, topic))

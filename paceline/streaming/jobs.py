@@ -114,7 +114,7 @@ def metrics_job(spark: SparkSession, root: str, checkpoint: str, files_per_trigg
         bad = fresh.where("error_type is not null")
         whole = F.to_json(F.struct(*[c for c in fresh.columns if c not in ("late", "error_type", "timestamp")]))
         letters = bad.select(*envelope(F.lit("canonical.training_event"), F.col("event_id"), whole, F.col("error_type"), F.lit("late or not finite")))
-        letters.select(F.col("original_key").alias("key"), F.to_json(F.struct("*")).alias("value"), F.lit("dlq.training_event").alias("topic"), F.lit(number).cast("bigint").alias("offset"), "timestamp").write.mode("overwrite").parquet(f"{topics.path_of(root, 'dlq.training_event')}/{BATCH}=metrics-{number}")
+        letters.select(F.col("original_key").alias("key"), F.to_json(F.struct("*")).alias("value"), F.lit("dlq.canonical.training_event").alias("topic"), F.lit(number).cast("bigint").alias("offset"), "timestamp").write.mode("overwrite").parquet(f"{topics.path_of(root, 'dlq.canonical.training_event')}/{BATCH}=metrics-{number}")
         good = fresh.where("error_type is null")
         added = good.groupBy("athlete_id", ms_to_date(F.col("event_time")).alias("day")).agg(F.sum("session_load").alias("daily_load"))
         daily.write(before.unionByName(added).groupBy("athlete_id", "day").agg(F.sum("daily_load").alias("daily_load")), number)

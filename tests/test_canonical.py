@@ -81,13 +81,13 @@ def test_planning_in_both_shapes(spark):
 def test_letters_round_trip(spark):
     raw = spark.createDataFrame([("{broken é",), (json.dumps(STRENGTH),)], "value string")
     bad = canonical.rejected(canonical.canonicalize(raw, "strength"), "raw.strength", F.lit(7))
-    letters = dlq.decode(bad.select(F.lit("dlq.training_event").alias("topic"), F.to_json(F.struct("*")).alias("value"))).collect()
+    letters = dlq.decode(bad.select(F.lit("dlq.canonical.training_event").alias("topic"), F.to_json(F.struct("*")).alias("value"))).collect()
     assert [bytes(r.payload).decode() for r in letters] == ["{broken é"] and letters[0].original_topic == "raw.strength" and letters[0].timestamp == 7
 
 
 def test_corrupt_letters_and_replay(spark):
     good = {"original_topic": "raw.strength", "original_value": base64.b64encode(b"x").decode(), "original_key": None, "error_type": "LATE_DATA", "timestamp": 1}
-    rows = [good, {**good, "original_value": None}, {"original_value": "eA=="}, {**good, "original_topic": "dlq.training_event"}, {**good, "original_value_truncated": True}, {**good, "original_value": ""}, {**good, "original_value": base64.b64encode(b"x" * 50).decode()}]
+    rows = [good, {**good, "original_value": None}, {"original_value": "eA=="}, {**good, "original_topic": "dlq.canonical.training_event"}, {**good, "original_value_truncated": True}, {**good, "original_value": ""}, {**good, "original_value": base64.b64encode(b"x" * 50).decode()}]
     values = [json.dumps(r) for r in rows] + ["nope"]
     letters = dlq.decode(spark.createDataFrame([("t", i, v) for i, v in enumerate(values)], "topic string, offset long, value string"))
     planned = quality.replay_plan(letters, "offset", max_bytes=20)

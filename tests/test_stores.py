@@ -56,6 +56,9 @@ def test_topics(spark, tmp_path):
     assert topics.read_batch(spark, root, "raw.strength", start_timestamp=1 << 50).count() == 0
     with pytest.raises(ValueError):
         topics.path_of(root, "other")
+    log = spark.createDataFrame([("k", "1", "raw.strength", 0, 0), ("k", "2", "raw.strength", 1, 5 * DAY_MS), ("k", "3", "raw.planning", 0, 0), ("j", "4", "raw.strength", 2, 0)], topics.SHAPE)
+    assert sorted(r.value for r in topics.expired(log, 8 * DAY_MS).collect()) == ["1", "4"]
+    assert sorted(r.value for r in topics.compacted(log).collect()) == ["2", "3", "4"]
     (r,) = topics.offsets(spark, root, ("raw.strength",)).collect()
     assert 0 <= r.earliest < 1 << 40 < r.latest
 

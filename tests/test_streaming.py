@@ -27,7 +27,7 @@ def test_from_raw_to_metrics(spark, tmp_path):
     put(spark, root, [raw("e0", 0, 100), raw("e0", 0, 100), raw("e1", 1, 100), "{broken", json.dumps({"event_id": ""})], 0)
 
     def run():
-        jobs.canonicalize_job(spark, root, "strength", "canonical.training_event", "dlq.training_event", f"{ck}/canon", files_per_trigger=1).awaitTermination()
+        jobs.canonicalize_job(spark, root, "strength", "canonical.training_event", "dlq.canonical.training_event", f"{ck}/canon", files_per_trigger=1).awaitTermination()
         jobs.metrics_job(spark, root, f"{ck}/metrics", files_per_trigger=1).awaitTermination()
 
     run()
@@ -40,7 +40,7 @@ def test_from_raw_to_metrics(spark, tmp_path):
     days = [("a", dt.date(2024, 1, 1) + dt.timedelta(k), v) for k, v in ((0, 100.0), (1, 100.0), (4, 50.0), (6, 300.0))]
     want = rolling.metrics_of_days(spark.createDataFrame(days, "athlete_id string, day date, daily_load double")).select(*table.columns)
     assert sorted(map(tuple, table.collect())) == sorted(map(tuple, want.collect()))
-    letters = spark.read.schema(topics.SHAPE).option("recursiveFileLookup", True).parquet(f"{root}/dlq.training_event")
+    letters = spark.read.schema(topics.SHAPE).option("recursiveFileLookup", True).parquet(f"{root}/dlq.canonical.training_event")
     kinds = sorted(r[0] for r in letters.select(F.get_json_object("value", "$.error_type")).collect())
     assert kinds == ["LATE_DATA", "TRANSFORM_ERROR", "VALIDATION_FAILURE"]
 
@@ -84,11 +84,11 @@ def test_command_line(spark, tmp_path):
     from paceline import cli
 
     root = str(tmp_path)
-    assert "dlq.training_event" in topics.create_topics(spark, root) and topics.create_topics(spark, root) == []
+    assert "dlq.canonical.training_event" in topics.create_topics(spark, root) and topics.create_topics(spark, root) == []
     good = {"original_topic": "raw.strength", "original_value": "eA==", "error_type": "LATE_DATA", "timestamp": T0}
-    topics.write_batch(spark.createDataFrame([("k", json.dumps(good)), ("k", "{"), ("k", json.dumps({**good, "error_type": "ODD"}))], "key string, value string"), root, "dlq.training_event")
+    topics.write_batch(spark.createDataFrame([("k", json.dumps(good)), ("k", "{"), ("k", json.dumps({**good, "error_type": "ODD"}))], "key string, value string"), root, "dlq.canonical.training_event")
     out = cli.main(["quality", root, "--now", "2024-01-08T12:00:00"], spark)
-    assert out["scan"] == [{"scanned": 3, "corrupt": 1}] and out["warnings"] == [{"topic": "dlq.training_event", "n": 2}]
+    assert out["scan"] == [{"scanned": 3, "corrupt": 1}] and out["warnings"] == [{"topic": "dlq.canonical.training_event", "n": 2}]
     dry = cli.main(["replay", root, "--error-type", "LATE_DATA", "--dry-run"], spark)
     assert dry["replayed_to"] == {"raw.strength": 1} and topics.read_batch(spark, root, "raw.strength").count() == 0
     cli.main(["replay", root], spark)
