@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Words whose ids a worker remembers, and token pairs; both are forgotten together when full.
+#: Words whose ids a worker remembers, in two generations, and token pairs.
 REMEMBER = 400_000
 #: Characters of a text that are cut into words in one go.
 PIECE = 1 << 22
@@ -64,11 +64,13 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes and decodes texts; remembers words and pairs up to REMEMBER of them."""
+    """Encodes and decodes texts; remembers up to REMEMBER words, the lately used ones, and as many pairs."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.special = {t: i.to_bytes(4, "little") for t, i in vocabulary.special.items()}
         self.follows: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
         self.spines: dict[tuple[int, int], list[tuple[int, float, float]]] = {}
@@ -181,31 +183,42 @@ class Encoder:
                 while some := list(itertools.islice(found, 1 << 18)):
                     yield some
 
+    def _learn(self, words: set[str]) -> None:
+        """Makes `self.words` hold these words; those of the older generation move over."""
+        fresh = words - self.words.keys() - self.special.keys()
+        again = fresh & self.older.keys()
+        self.words.update((w, self.older[w]) for w in again)
+        self.encode_words(fresh - again)
+
+    def _age(self) -> None:
+        """Keeps what is remembered under REMEMBER: words that weren't used for a generation go."""
+        if len(self.words) > REMEMBER // 2:
+            self.older, self.words = self.words, {}
+        if len(self.follows) > REMEMBER:
+            self.follows = {}
+
+    def _ids(self, piece: list[str]) -> bytes:
+        if len(piece) == 1 and piece[0] in self.special:
+            return self.special[piece[0]]
+        known = self.words
+        return b"".join([known[w] for w in piece])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
-        special = {t: i.to_bytes(4, "little") for t, i in self.v.special.items()}
-        if len(self.words) > REMEMBER or len(self.follows) > REMEMBER:
-            self.words, self.follows = {}, {}
-        out = []
-        cut = [list(self._pieces(t)) if len(t) <= PIECE else None for t in texts]
-        fresh = {w for pieces in cut if pieces for p in pieces for w in p} - self.words.keys() - special.keys()
-        self.encode_words(fresh)
-        for text, pieces in zip(texts, cut, strict=True):
-            ids = []
-            for piece in self._pieces(text) if pieces is None else pieces:
-                if len(piece) == 1 and piece[0] in special:
-                    ids.append(special[piece[0]])
-                    continue
-                if pieces is None:
-                    self.encode_words(set(piece) - self.words.keys())
-                known = self.words
-                ids.append(b"".join([known[w] for w in piece]))
-                if pieces is None and len(known) > REMEMBER:
-                    self.words = {}
-            if not self.words:
-                cut_again = {w for later in cut[len(out) + 1 :] if later for p in later for w in p} - special.keys()
-                self.encode_words(cut_again)
-            out.append(b"".join(ids))
+        self._age()
+        out = [b""] * len(texts)
+        short = [(i, list(self._pieces(t))) for i, t in enumerate(texts) if len(t) <= PIECE]
+        self._learn({w for _, pieces in short for p in pieces for w in p})
+        for i, pieces in short:
+            out[i] = b"".join([self._ids(p) for p in pieces])
+        for i, text in enumerate(texts):
+            if len(text) > PIECE:  # in pieces, so that no list holds all of its words
+                ids = []
+                for piece in self._pieces(text):
+                    self._age()
+                    self._learn(set(piece))
+                    ids.append(self._ids(piece))
+                out[i] = b"".join(ids)
         return out
 
     def decode(self, ids: bytes) -> str:
