@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .times import iso_date, iso_to_ms
+from .times import flexible_ms, iso_date, iso_to_ms
 
 
 def blank_to_null(cell: Column) -> Column:
@@ -37,14 +37,12 @@ def cell_value(name: str, kind: str) -> Column:
 
 
 class Json:
-    """Values of a JSON text by path, dynamically typed: each asked for is read once, as its kind and its text.
-
-    `read` puts them in columns behind a one-row generator, which keeps the optimizer from
-    copying the reading into every expression that uses it.
-    """
+    """Values of a JSON text by path, dynamically typed: each asked for is read and typed once."""
 
     def __init__(self):
         self.paths: dict[str, str] = {}
+        self.objects: set[str] = set()
+        self.typed: dict[str, Column] = {}
 
     def _name(self, path: str) -> str:
         return self.paths.setdefault(path, path.replace(".", "__"))
@@ -53,13 +51,21 @@ class Json:
         """`rows` with the values asked for so far and `is_object`."""
         parsed = rows.withColumn("__v", F.try_parse_json(F.col(value)))
         get = lambda path, kind: F.expr(f"try_variant_get(__v, '$.{path}', '{kind}')")
-        fields = [F.coalesce(F.schema_of_variant("__v").startswith("OBJECT"), F.lit(False)).alias("is_object")]
+        # A value's JSON text tells its kind by its first sign, at a fraction of what its schema
+        # costs; for objects, a map of their fields is cheaper still than their text.
+        first = lambda path: F.substring(F.to_json(get(path, "variant")), 1, 1)
+        held = lambda path: F.expr(f"try_variant_get(__v, '{path}', 'map<string,variant>') IS NOT NULL")
+        fields = [F.coalesce(held("$"), F.lit(False)).alias("is_object")]
         for path, name in self.paths.items():
-            fields += [F.expr(f"schema_of_variant(try_variant_get(__v, '$.{path}', 'variant'))").alias(f"__k_{name}"), get(path, "string").alias(f"__t_{name}")]
-        return parsed.select(*rows.columns, F.inline(F.array(F.struct(*fields))))
-
-    def kind(self, path: str) -> Column:
-        """STRING, BIGINT, DOUBLE, DECIMAL(..), BOOLEAN, OBJECT<..>, ARRAY<..>, VOID; null where absent."""
+            if path in self.objects:
+                null = F.coalesce(F.expr(f"is_variant_null(try_variant_get(__v, '$.{path}', 'variant'))"), F.lit(True))
+                fields.append(F.when(held(f"$.{path}"), "{").when(null | get(path, "variant").isNull(), "n").otherwise("?").alias(f"__k_{name}"))
+            else:
+                fields += [first(path).alias(f"__k_{name}"), get(path, "string").alias(f"__t_{name}")]
+        return parsed.select(*rows.columns, *fields).select("*", *[value.alias(name) for name, value in self.typed.items()])
+
+    def _first(self, path: str) -> Column:
+        """The first sign of the value as JSON; null where absent."""
         return F.col(f"__k_{self._name(path)}")
 
     def text(self, path: str) -> Column:
@@ -67,19 +73,41 @@ class Json:
         return F.col(f"__t_{self._name(path)}")
 
     def absent(self, path: str) -> Column:
-        return self.kind(path).isNull() | (self.kind(path) == "VOID")
+        """Not there, or null."""
+        return F.coalesce(self._first(path), F.lit("n")) == "n"
+
+    def is_object(self, path: str) -> Column:
+        self.objects.add(path)
+        return F.coalesce(self._first(path) == "{", F.lit(False))
+
+    def is_text(self, path: str) -> Column:
+        return F.coalesce(self._first(path) == '"', F.lit(False))
 
-    def is_kind(self, path: str, kind: str) -> Column:
-        return F.coalesce(self.kind(path).startswith(kind), F.lit(False))
+    def is_truth(self, path: str) -> Column:
+        return F.coalesce(self._first(path).isin("t", "f"), F.lit(False))
+
+    def _typed(self, kind: str, path: str, make) -> Column:
+        name = f"__{kind}_{self._name(path)}"
+        if name not in self.typed:
+            self.typed[name] = make()
+        return F.col(name)
 
     def int(self, path: str) -> Column:
         """A whole number, also 3.0 or the text '3'; null for fractions, truth values and the rest."""
-        text = F.trim(self.text(path))
-        number = text.try_cast("double")
-        from_number = F.when(number == F.floor(number), number.try_cast("int"))
-        from_text = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
-        return F.when(~self.is_kind(path, "BOOLEAN"), F.when(self.kind(path) == "STRING", from_text).otherwise(from_number))
+
+        def make() -> Column:
+            text = F.trim(self.text(path))
+            number = text.try_cast("double")
+            from_number = F.when(number == F.floor(number), number.try_cast("int"))
+            from_text = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
+            return F.when(~self.is_truth(path), F.when(self.is_text(path), from_text).otherwise(from_number))
+
+        return self._typed("i", path, make)
 
     def double(self, path: str) -> Column:
         """A number or its text; null for truth values and the rest."""
-        return F.when(~self.is_kind(path, "BOOLEAN"), F.trim(self.text(path)).try_cast("double"))
+        return self._typed("d", path, lambda: F.when(~self.is_truth(path), F.trim(self.text(path)).try_cast("double")))
+
+    def millis(self, path: str) -> Column:
+        """Epoch milliseconds, as a whole number or an ISO text."""
+        return self._typed("m", path, lambda: F.when(~self.is_truth(path), flexible_ms(self.text(path))))

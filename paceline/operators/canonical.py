@@ -43,7 +43,7 @@ def _missing(j: Json, path: str) -> Column:
 def _required(j: Json, paths: tuple[str, ...], payload: tuple[str, ...] = ()) -> list[Column]:
     checks = [_missing(j, p) for p in paths]
     if "payload" in paths:
-        checks.append(_failure(~j.is_kind("payload", "OBJECT"), VALIDATION, "payload must be an object"))
+        checks.append(_failure(~j.is_object("payload"), VALIDATION, "payload must be an object"))
     return checks + [_missing(j, f"payload.{p}") for p in payload]
 
 
@@ -52,7 +52,7 @@ def _times(j: Json) -> list[Column]:
 
 
 def _time(j: Json, path: str) -> Column:
-    return F.when(~j.is_kind(path, "BOOLEAN"), times.flexible_ms(j.text(path)))
+    return j.millis(path)
 
 
 def _typed(j: Json, path: str, kind: str) -> Column:
@@ -96,7 +96,7 @@ def _cardio(j: Json, version: int):
     record = _head(j, F.lit(CARDIO_ACTIVITY), version) | _fields(j, kinds) | {"activity_type": F.trim(j.text("payload.activity_type"))}
     record["session_load"] = loads.cardio_load(record["tss"], record["avg_hr"], record["duration_sec"])
     checks = _required(j, _ENVELOPE, ("activity_type", "duration_sec")) + _times(j)
-    checks += [_failure(j.kind("payload.activity_type") != "STRING", VALIDATION, "activity_type must be a string"), *_checks(j, kinds)]
+    checks += [_failure(~j.is_text("payload.activity_type"), VALIDATION, "activity_type must be a string"), *_checks(j, kinds)]
     checks += [_failure(record["session_load"].isNull(), VALIDATION, "session_load needs tss or avg_hr"), _failure(~loads.finite(record["session_load"]), VALIDATION, "session_load must be a finite number")]
     return TRAINING_DDL, record, checks
 
@@ -106,7 +106,7 @@ def _wellness(j: Json, version: int):
     kinds = _BODY | _FOOD | {"nutrition_adherence": "double"} | _FEEL
     event_type = F.when(j.absent("payload.event_type"), F.lit(WELLNESS_DAILY)).otherwise(j.text("payload.event_type"))
     record = _head(j, event_type, version) | _fields(j, kinds)
-    known = F.coalesce((j.kind("payload.event_type") == "STRING") | j.absent("payload.event_type"), F.lit(False)) & event_type.isin(*WELLNESS_TYPES)
+    known = F.coalesce(j.is_text("payload.event_type") | j.absent("payload.event_type"), F.lit(False)) & event_type.isin(*WELLNESS_TYPES)
     checks = _required(j, _ENVELOPE) + _times(j) + _checks(j, kinds) + [_failure(~F.coalesce(known, F.lit(False)), VALIDATION, "unknown event_type")]
     return WELLNESS_DDL, record, checks
 
@@ -186,6 +186,6 @@ def validate_raw(raw: DataFrame, domain: str, value: str = "value") -> DataFrame
     j = Json()
     checks = [_missing(j, p) for p in paths]
     if payload:
-        checks += [_failure(~j.is_kind("payload", "OBJECT"), VALIDATION, "payload must be an object")] + [_missing(j, f"payload.{p}") for p in payload]
+        checks += [_failure(~j.is_object("payload"), VALIDATION, "payload must be an object")] + [_missing(j, f"payload.{p}") for p in payload]
     unreadable = _failure(~F.col("is_object"), VALIDATION, "not a JSON object")
     return j.read(raw, value).select(*raw.columns, F.inline(F.array(F.struct(F.coalesce(unreadable, *checks).alias("error")))))
