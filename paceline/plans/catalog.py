@@ -418,7 +418,7 @@ def severity_bands(spark, sf_dir):
     return m.select("athlete_id", "metric_date", scores.fatigue_band(F.col("fatigue_score")).alias("fatigue_band"), scores.readiness_band(F.col("readiness_score")).alias("readiness_band"))
 
 
-@query(f"WITH {_LATEST} SELECT sport, round(avg(acute_load), 6) AS avg_acute_load, row_number() OVER (ORDER BY avg(acute_load) DESC NULLS LAST, sport) AS place FROM latest JOIN athletes USING (athlete_id) WHERE sport IS NOT NULL GROUP BY sport")
+@query(f"WITH {_LATEST} SELECT sport, round(avg(acute_load), 6) AS avg_acute_load, CAST(row_number() OVER (ORDER BY avg(acute_load) DESC NULLS LAST, sport) AS INTEGER) AS place FROM latest JOIN athletes USING (athlete_id) WHERE sport IS NOT NULL GROUP BY sport")
 def sport_ranking(spark, sf_dir):
     from pyspark.sql import Window
 
