@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Words whose ids a worker remembers, in two generations, and token pairs.
-REMEMBER = 400_000
+#: Repeated words whose ids a worker remembers, and token pairs; new words, a third of it.
+REMEMBER = 300_000
 #: Characters of a text that are cut into words in one go.
 PIECE = 1 << 22
 
@@ -64,12 +64,12 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes and decodes texts; remembers up to REMEMBER words, the lately used ones, and as many pairs."""
+    """Encodes and decodes texts; remembers the words that it meets again."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.often: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
         self.special = {t: i.to_bytes(4, "little") for t, i in vocabulary.special.items()}
         self.follows: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
@@ -136,40 +136,41 @@ class Encoder:
             known = self.alone[a] = self.merge(self.table[a])[0] == [a]
         return known
 
-    def encode_words(self, words: Iterable[str]) -> None:
-        """Adds the ids of words to `self.words`, as little-endian 32-bit numbers.
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The ids of words, as little-endian 32-bit numbers.
 
         An automaton over the vocabulary lists, for each end in a word, the tokens that end
         there, the longest first.
         """
         follows, may_follow, may_begin, suffixes = self.follows, self.may_follow, self.may_begin, self.suffixes
+        made: dict[str, bytes] = {}
         last, back, before = [0], [0], b""  # states of the current path: last token, length before it
-        for spelled, word in sorted((w.encode("utf-8", "replace"), w) for w in words):
+        for word in sorted(words):  # by code point, which is the order of their bytes too
+            spelled = word.encode("utf-8", "replace")
             shared, most = 0, min(len(before), len(spelled))
             while shared < most and before[shared] == spelled[shared]:
                 shared += 1
             del last[shared + 1 :], back[shared + 1 :]
             done = shared - 1  # the last place whose state is known
             for end, (token, size) in suffixes(spelled.decode("latin-1")):
-                if end <= done:
-                    continue
-                start = end + 1 - size
-                if start == 0:
-                    fits = may_begin(token)
-                else:
-                    fits = follows.get((last[start], token))
-                    if fits is None:
-                        fits = may_follow(last[start], token)
-                if fits:
-                    last.append(token)
-                    back.append(start)
-                    done = end
+                if end > done:
+                    start = end + 1 - size
+                    if start:
+                        pair = last[start], token
+                        fits = follows[pair] if pair in follows else may_follow(*pair)
+                    else:
+                        fits = may_begin(token)
+                    if fits:
+                        last.append(token)
+                        back.append(start)
+                        done = end
             before, out, at = spelled, [], len(spelled)
             while at:
                 out.append(last[at])
                 at = back[at]
             out.reverse()
-            self.words[word] = array("I", out).tobytes()
+            made[word] = array("I", out).tobytes()
+        return made
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         """A text's words, in lists; special tokens are cut out first."""
@@ -183,42 +184,42 @@ class Encoder:
                 while some := list(itertools.islice(found, 1 << 18)):
                     yield some
 
-    def _learn(self, words: set[str]) -> None:
-        """Makes `self.words` hold these words; those of the older generation move over."""
-        fresh = words - self.words.keys() - self.special.keys()
-        again = fresh & self.older.keys()
-        self.words.update((w, self.older[w]) for w in again)
-        self.encode_words(fresh - again)
-
-    def _age(self) -> None:
-        """Keeps what is remembered under REMEMBER: words that weren't used for a generation go."""
-        if len(self.words) > REMEMBER // 2:
-            self.older, self.words = self.words, {}
+    def _look_up(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of these words. A word that is met again is remembered for long, a new one for a while."""
+        now, fresh, often, once = {}, [], self.often, self.once
+        for w in words:
+            ids = often.get(w)
+            if ids is None:
+                ids = once.pop(w, None)
+                if ids is None:
+                    fresh.append(w)
+                    continue
+                often[w] = ids
+            now[w] = ids
+        made = self.encode_words(fresh)
+        now.update(made)
+        if len(once) + len(made) > REMEMBER // 3:
+            once.clear()
+        once.update(made)
+        if len(often) > REMEMBER:
+            often.clear()
         if len(self.follows) > REMEMBER:
             self.follows = {}
+        return now
 
-    def _ids(self, piece: list[str]) -> bytes:
-        if len(piece) == 1 and piece[0] in self.special:
-            return self.special[piece[0]]
-        known = self.words
-        return b"".join([known[w] for w in piece])
+    def _join(self, piece: list[str], known: dict[str, bytes]) -> bytes:
+        return self.special[piece[0]] if len(piece) == 1 and piece[0] in self.special else b"".join([known[w] for w in piece])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
-        self._age()
         out = [b""] * len(texts)
         short = [(i, list(self._pieces(t))) for i, t in enumerate(texts) if len(t) <= PIECE]
-        self._learn({w for _, pieces in short for p in pieces for w in p})
+        known = self._look_up({w for _, pieces in short for p in pieces for w in p} - self.special.keys())
         for i, pieces in short:
-            out[i] = b"".join([self._ids(p) for p in pieces])
+            out[i] = b"".join([self._join(p, known) for p in pieces])
         for i, text in enumerate(texts):
             if len(text) > PIECE:  # in pieces, so that no list holds all of its words
-                ids = []
-                for piece in self._pieces(text):
-                    self._age()
-                    self._learn(set(piece))
-                    ids.append(self._ids(piece))
-                out[i] = b"".join(ids)
+                out[i] = b"".join([self._join(p, self._look_up(set(p) - self.special.keys())) for p in self._pieces(text)])
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -254,8 +255,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
         for whole in batches:
-            for at in range(0, len(whole), 128):
-                batch = whole.slice(at, 128)
+            for at in range(0, len(whole), 512):
+                batch = whole.slice(at, 512)
                 ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
                 sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
                 of_ids = pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())
