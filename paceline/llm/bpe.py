@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release_memory, small_batches
 
 #: Repeated words whose ids a worker remembers, and token pairs; new words, a third of it.
 REMEMBER = 300_000
@@ -204,7 +204,7 @@ class Encoder:
         if len(often) > REMEMBER:
             often.clear()
         if len(self.follows) > REMEMBER:
-            self.follows = {}
+            self.follows.clear()
         return now
 
     def _join(self, piece: list[str], known: dict[str, bytes]) -> bytes:
@@ -265,6 +265,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
                 if keep_ids:
                     columns.append(pa.array([memoryview(x).cast("i") for x in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+        release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids

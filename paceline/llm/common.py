@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -65,6 +67,15 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release_memory() -> None:
+    """At a task's end: gives what the worker has freed back to the system, as it stays for other tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library is another
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """Rows of `docs` whose id isn't in `gone` (one column, `gone_id`); null is an id like others.
 

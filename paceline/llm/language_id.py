@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import held_out, release_memory, small_batches
 
 #: Rows a language is learned from, at most.
 LEARN_ROWS = 1_000
@@ -204,6 +204,7 @@ def drop_unknown(docs: DataFrame, model: Model | None = None, id_col: str = "doc
                 names, _ = model.predict(features(raw.slice(k, 512)))
                 keep += [t is not None and has_letter(t) and name != UNKNOWN for t, name in zip(raw.slice(k, 512).to_pylist(), names, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        release_memory()
 
     return small_batches(docs).mapInArrow(run, docs.schema)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_repeat, small_batches, stored, without_ids
+from .common import ids_repeat, release_memory, small_batches, stored, without_ids
 from .graph import components
 from .shingles import mix, shingle_sets
 
@@ -101,6 +101,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(packed, longs)],
             ["doc_id", "n_shingles", "digest", "bands", "packed"],
         )
+    release_memory()
 
 
 def _digest(hashes: np.ndarray) -> bytes:
@@ -114,6 +115,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if _digest(hashes) == batch.column(1)[i].as_py():
                 one = pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), one], ["node", "hashes"])
+    release_memory()
 
 
 def same_fields(a, b):

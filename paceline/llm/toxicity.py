@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import held_out, release_memory, small_batches
 
 #: Labelled toxic rows that are learned from at most; ordinary ones, twice as many.
 LEARN_ROWS = 1_500
@@ -44,8 +44,8 @@ THRESHOLDS = (1, 2, 3, 4, 5, 6)
 #: Deviations by which a window's share of toxic rows must exceed its share of ordinary rows:
 #: of these the one is taken that does best on held-back parts; few rows bear only a low one.
 SIGNIFICANT, LEAST_ROWS = (5.0, 6.0, 8.0, 11.0), 3
-#: Words of a batch of texts that are looked at together, and remembered words.
-REMEMBER = 400_000
+#: Words whose differences a worker remembers.
+REMEMBER = 150_000
 CARRIER = b" " + bytes(range(1, 17))
 _WORD = re.compile(r"\w+")
 
@@ -94,8 +94,8 @@ class Dictionaries:
         fresh = [w for w in set(words) if w not in self.seen]
         if len(self.seen) + len(fresh) > REMEMBER:
             self.seen, fresh = {}, list(set(words))
-        for i in range(0, len(fresh), 100_000):
-            some = fresh[i : i + 100_000]
+        for i in range(0, len(fresh), 20_000):
+            some = fresh[i : i + 20_000]
             inputs = [_window(w) for w in some]
             toxic, ordinary = (c.multi_compress_to_buffer(inputs, threads=0) for c in self.coders)
             self.seen.update((w, len(ordinary[k]) - len(toxic[k])) for k, w in enumerate(some))
@@ -215,6 +215,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
                 texts = batch.column(1).to_pylist()
                 scores = np.zeros(len(texts)) if model is None else model.score(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+        release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return small_batches(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
