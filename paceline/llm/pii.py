@@ -4,8 +4,9 @@ The network is trained in numpy, from labelled spans that `labelled_text` writes
 prose with addresses, numbers and look-alikes in many layouts. Texts are read in windows
 of WINDOW characters, half of which overlap the next. Each window is decoded by Viterbi;
 a span counts in the window whose core it starts in, and spans of a kind that touch or
-overlap are joined over the whole text. Every span holds a digit or an @, so windows
-without either have none and aren't decoded.
+overlap are joined over the whole text. Every span that passes its check holds a digit, an
+@, (at) or [at]: decoded are the windows that hold one of these and, from there on, all
+that a span found reaches or touches. Other windows have no part in any span that passes.
 
 The patterns' spans always stay. The network adds spans that overlap none of them and
 pass the exact check of their kind.
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -301,38 +302,51 @@ def trained_tagger() -> Tagger:
 # ---- windows and their reconciliation
 
 
-def _windows(text: str) -> tuple[np.ndarray, list[int]]:
-    """Windows that hold a digit or an @: character classes, and the places they start at."""
-    of = classes(text)
-    near = np.flatnonzero((of == 2) | (of == 2 + _CLASSES.index("@")))
-    if not len(near):
-        return np.zeros((0, WINDOW), np.int64), []
-    edge = (WINDOW - STRIDE) // 2
+#: What a span must hold one of to pass its check.
+_SIGN = re.compile(r"[0-9@]|\(at\)|\[at\]")
+
+
+def _over(a: int, z: int, length: int) -> range:
+    """Numbers of the windows that hold one of the characters from a to z, which is exclusive."""
     # Window k starts at k * STRIDE - edge; a character lies in WINDOW / STRIDE windows.
-    k = np.unique(np.concatenate([(near + edge) // STRIDE - j for j in range(WINDOW // STRIDE)]))
-    k = k[(k >= 0) & (k * STRIDE < len(of))]
+    edge = (WINDOW - STRIDE) // 2
+    return range(max(0, (a + edge - WINDOW) // STRIDE + 1), min((z - 1 + edge) // STRIDE, (length - 1) // STRIDE) + 1)
+
+
+def _windows(text: str, numbers: set[int] | None = None) -> tuple[np.ndarray, list[int]]:
+    """Windows by number, or all that hold a sign: character classes, and the places they start at."""
+    if numbers is None:
+        numbers = {k for m in _SIGN.finditer(text) for k in _over(*m.span(), len(text))}
+    if not numbers:
+        return np.zeros((0, WINDOW), np.int64), []
+    of = classes(text)
     padded = np.zeros(len(of) + 2 * WINDOW, np.int64)
     padded[WINDOW : WINDOW + len(of)] = of
-    starts = k * STRIDE - edge
+    starts = np.array(sorted(numbers)) * STRIDE - (WINDOW - STRIDE) // 2
     return padded[starts[:, None] + WINDOW + np.arange(WINDOW)], [int(s) for s in starts]
 
 
-def reconcile(starts: list[int], tags: np.ndarray, length: int) -> list[tuple[str, int, int]]:
+def _pieces(row: np.ndarray) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the spans that a window's tags say."""
+    out = []
+    for t in np.flatnonzero(row).tolist():
+        if out and t < out[-1][2]:
+            continue
+        kind, z = (int(row[t]) - 1) // 2, t + 1
+        while z < WINDOW and row[z] == 2 + 2 * kind:
+            z += 1
+        out.append((kind, t, z))
+    return out
+
+
+def reconcile(starts: list[int], tags: Iterable[np.ndarray], length: int) -> list[tuple[str, int, int]]:
     """Spans of a text from its windows' tags, joined where those of a kind overlap or touch."""
     edge, found = (WINDOW - STRIDE) // 2, []
     for start, row in zip(starts, tags, strict=True):
-        t = 0
-        while t < WINDOW:
-            if row[t] == 0:
-                t += 1
-                continue
-            kind, a = (int(row[t]) - 1) // 2, t
-            t += 1
-            while t < WINDOW and row[t] == 2 + 2 * kind:
-                t += 1
+        for kind, a, z in _pieces(row):
             # A span that the window's start cuts off belongs to the window before.
             if edge <= a < edge + STRIDE and a + start < length:
-                found.append((kind, a + start, min(t + start, length)))
+                found.append((kind, a + start, min(z + start, length)))
     joined: list[list[int]] = []
     for kind, a, z in sorted(found):
         if joined and joined[-1][0] == kind and a <= joined[-1][2]:
@@ -344,22 +358,32 @@ def reconcile(starts: list[int], tags: np.ndarray, length: int) -> list[tuple[st
 
 def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], tagger: Tagger) -> list[list[tuple[str, int, int]]]:
     """For each text the network's spans that overlap no base span and pass their check."""
-    parts = [_windows(text) for text in texts]
+    tags: list[dict[int, np.ndarray]] = [{} for _ in texts]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    if not any(s for _, s in parts):
-        return out
-    ids = np.concatenate([w for w, _ in parts])
-    tags = np.concatenate([tagger.decode(ids[i : i + 1024]) for i in range(0, len(ids), 1024)])
-    at = 0
-    for n, (text, (_, starts), base) in enumerate(zip(texts, parts, bases, strict=True)):
-        for kind, a, z in reconcile(starts, tags[at : at + len(starts)], len(text)):
+    todo: dict[int, set[int] | None] = dict.fromkeys(range(len(texts)))
+    while todo:
+        parts = [(n, *_windows(texts[n], numbers)) for n, numbers in todo.items()]
+        todo = {}
+        if not any(s for _, _, s in parts):
+            break
+        ids = np.concatenate([w for _, w, _ in parts])
+        rows = iter(np.concatenate([tagger.decode(ids[i : i + 1024]) for i in range(0, len(ids), 1024)]))
+        for n, _, starts in parts:
+            fresh = dict(zip(starts, rows, strict=False))
+            tags[n] |= fresh
+            # A span found may go on, or be joined to one, in any window it reaches or touches.
+            over = {k for s, row in fresh.items() for _, a, z in _pieces(row) for k in _over(s + a - 1, s + z + 1, len(texts[n]))}
+            over = {k for k in over if k * STRIDE - (WINDOW - STRIDE) // 2 not in tags[n]}
+            if over:
+                todo[n] = over
+    for n, (text, base) in enumerate(zip(texts, bases, strict=True)):
+        for kind, a, z in reconcile(list(tags[n]), list(tags[n].values()), len(text)):
             while a < z and not (text[a].isalnum() or text[a] in "+(_"):
                 a += 1
             while a < z and not (text[z - 1].isalnum() or text[z - 1] in "_"):
                 z -= 1
             if a < z and all(z <= x or a >= y for _, x, y in base) and _plausible(kind, text[a:z]):
                 out[n].append((kind, a, z))
-        at += len(starts)
     return out
 
 

@@ -154,6 +154,27 @@ def test_windows_reach_the_whole_text(tagger):
     assert [far[a:z] for _, a, z in added[0]] == ["555-010-1234"] and added[1:] == [[], []]
 
 
+def test_addresses_without_digits_or_at_signs(tagger):
+    text = "some words here " * 30 + "write to karl(at)example.org today or anna.meier [at] firma.de please " + "and more words " * 30
+    (added,) = pii.added_spans([text], [[]], tagger)
+    assert [text[a:z] for _, a, z in added] == ["karl(at)example.org", "anna.meier [at] firma.de"]
+
+
+def test_windows_left_out_have_no_part(tagger):
+    rng = np.random.default_rng(5)
+    texts = ["no such signs " * 9 + pii.labelled_text(rng)[0] + " plain words only" * int(rng.integers(0, 30)) + pii.labelled_text(rng)[0] for _ in range(150)]
+    for text, added in zip(texts, pii.added_spans(texts, [[] for _ in texts], tagger), strict=True):
+        windows, starts = pii._windows(text, set(range((len(text) - 1) // pii.STRIDE + 1)))
+        every = []
+        for kind, a, z in pii.reconcile(starts, tagger.decode(windows), len(text)):
+            while a < z and not (text[a].isalnum() or text[a] in "+(_"):
+                a += 1
+            while a < z and not (text[z - 1].isalnum() or text[z - 1] in "_"):
+                z -= 1
+            every += [(kind, a, z)] if a < z and pii._plausible(kind, text[a:z]) else []
+        assert added == every
+
+
 def test_personal_data_edge_cases(spark, empty, clashing, awkward):
     assert pii.find_personal_data(empty).count() == 0
     assert all(r.base == [] and r.spans == [] for r in pii.find_personal_data(clashing).collect())
