@@ -3,8 +3,8 @@
 The network is trained in numpy, from labelled spans that `labelled_text` writes: made-up
 prose with addresses, numbers and look-alikes in many layouts. Texts are read in windows
 of WINDOW characters, half of which overlap the next. Each window is decoded by Viterbi;
-a span counts in the window whose core it starts in, and spans of a kind that touch or
-overlap are joined over the whole text. Every span that passes its check holds a digit, an
+a span counts in the window whose core it starts in, and what goes on past that window's end
+in the next one as well; spans of a kind that touch or overlap are joined over the whole text. Every span that passes its check holds a digit, an
 @, (at) or [at]: decoded are the windows that hold one of these and, from there on, all
 that a span found reaches or touches. Other windows have no part in any span that passes.
 
@@ -341,17 +341,25 @@ def _pieces(row: np.ndarray) -> list[tuple[int, int, int]]:
 
 def reconcile(starts: list[int], tags: Iterable[np.ndarray], length: int) -> list[tuple[str, int, int]]:
     """Spans of a text from its windows' tags, joined where those of a kind overlap or touch."""
-    edge, found = (WINDOW - STRIDE) // 2, []
+    edge, found, tails = (WINDOW - STRIDE) // 2, [], []
     for start, row in zip(starts, tags, strict=True):
         for kind, a, z in _pieces(row):
-            # A span that the window's start cuts off belongs to the window before.
-            if edge <= a < edge + STRIDE and a + start < length:
-                found.append((kind, a + start, min(z + start, length)))
+            span = (kind, a + start, min(z + start, length))
+            if edge <= a < edge + STRIDE:
+                found += [span] if a + start < length else []
+            # The window before ends at place WINDOW - STRIDE of this one. What goes on past
+            # that is for this window to say: all of a span whose start it sees, else the tail.
+            elif a < edge and z > WINDOW - STRIDE and a + start >= 0:
+                if a:
+                    found.append(span)
+                else:
+                    tails.append((kind, start + WINDOW - STRIDE, span[2]))
     joined: list[list[int]] = []
-    for kind, a, z in sorted(found):
+    own = set(found)
+    for kind, a, z in sorted(own.union(tails)):
         if joined and joined[-1][0] == kind and a <= joined[-1][2]:
             joined[-1][2] = max(z, joined[-1][2])
-        else:
+        elif (kind, a, z) in own:
             joined.append([kind, a, z])
     return [(KINDS[k], a, z) for k, a, z in joined]
 

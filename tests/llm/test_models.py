@@ -175,6 +175,28 @@ def test_windows_left_out_have_no_part(tagger):
         assert added == every
 
 
+def test_long_spans_at_every_place_of_a_window(tagger):
+    rng = random.Random(12)
+    for span in ("miriam.oldenburg [at] institute.northern.org", "miriam.oldenburg(at)institute.northern.org", "miriam.oldenburg @ institute.northern.org"):
+        for at in range(pii.WINDOW, pii.WINDOW + pii.STRIDE):
+            before = "".join(rng.choice("abcdeilmnorst") if i % 6 else " " for i in range(at - 1)) + " "
+            text = before + span + " and some more words after it for a while, as there are in letters of all sorts"
+            assert [text[a:z] for _, a, z in pii.added_spans([text], [[]], tagger)[0]] == [span], at
+
+
+def test_spans_beyond_a_window_are_joined():
+    begin, inside = 1, 2
+    rows = np.zeros((4, pii.WINDOW), np.int64)
+    starts = [k * pii.STRIDE - 24 for k in range(4)]
+    for row, start in zip(rows, starts, strict=True):  # one span from 30 to 160, as every window sees it
+        for t in range(pii.WINDOW):
+            row[t] = begin if start + t == 30 else inside if 30 < start + t < 160 else 0
+    assert pii.reconcile(starts, rows, 300) == [("email", 30, 160)]
+    # Tails that touch no span stay out.
+    rows[0] = 0
+    assert pii.reconcile(starts[:1] + starts[2:], rows[[0, 2, 3]], 300) == []
+
+
 def test_personal_data_edge_cases(spark, empty, clashing, awkward):
     assert pii.find_personal_data(empty).count() == 0
     assert all(r.base == [] and r.spans == [] for r in pii.find_personal_data(clashing).collect())
