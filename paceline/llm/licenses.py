@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
 A candidate block is a stretch of text around words that license notices use, taken as
-its words in lower case. Each template, taken likewise, serves as a zstandard raw dictionary: how many bytes shorter the block gets with
-it, as a share of the template's own compressed size, says how much of the template the
-block holds. The templates are ranked by that, and a winner is confirmed by comparing
-wordings: its words must occur in the block in order, within a tenth, and its decisive
+its words in lower case. Each template, taken likewise, serves as a zstandard raw dictionary: how many bytes shorter a part of the
+block gets with it, as a share of what the template itself would save, says how much of
+the template the part holds. The parts overlap and are bounded by the template's length, so
+that the share doesn't depend on the block's. The templates are ranked by their best part,
+and those that save enough are confirmed by comparing wordings in the whole block: its words must occur in the block in order, within a tenth, and its decisive
 words (names, versions, conditions) must all be there, and none that another variant has
 in their place.
 """
@@ -55,7 +56,9 @@ ANCHOR = re.compile(r"licen[cs]|permission|public\W+domain|copyright|unencumbere
 #: Characters of a block before and after an anchor; overlapping blocks are joined.
 BEFORE, AFTER = 120, 320
 LEVEL = 19
-#: Share of a template's compressed size a block must save; share of its words that must agree.
+#: Words of a part, as twice one of these; a place of a template has at most one of them.
+SPANS = (8, 16, 32, 64, 128)
+#: Share of a template's compressed size a part of a block must save; share of its words that must agree.
 LEAST_SAVED, LEAST_ALIKE = 0.3, 0.9
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
@@ -97,18 +100,22 @@ class Scanner:
             given = coder(dict_data=zstandard.ZstdCompressionDict(low, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             # What a block that is the template would save.
             most = len(self.plain.compress(low)) - len(given.compress(low))
-            self.with_.append((name, words, [w for w in words if w in DECISIVE or w[0].isdigit()], given, max(1, most)))
+            span = next(x for x in SPANS if x > len(words) + len(words) // 10)
+            self.with_.append((name, words, [w for w in words if w in DECISIVE or w[0].isdigit()], given, max(1, most), span))
 
     def ranked(self, words: list[tuple[str, int, int]]) -> list[tuple[float, int]]:
-        """Templates by the share of their size that the block's words save given them, largest first."""
-        low = " ".join(w for w, _, _ in words).encode()
-        alone = len(self.plain.compress(low))
-        saved = [((alone - len(given.compress(low))) / most, k) for k, (_, _, _, given, most) in enumerate(self.with_)]
+        """Templates by the share of their size that a part of the block saves given them, largest first."""
+        only, parts = [w for w, _, _ in words], {}
+        for span in {of[5] for of in self.with_}:
+            # A place of at most `span` words lies whole in the part it starts in the first half of.
+            lows = [" ".join(only[i : i + 2 * span]).encode() for i in range(0, max(1, len(only) - span), span)]
+            parts[span] = [(low, len(self.plain.compress(low))) for low in dict.fromkeys(lows)]
+        saved = [(max((alone - len(given.compress(low))) / most for low, alone in parts[span]), k) for k, (_, _, _, given, most, span) in enumerate(self.with_)]
         return sorted((s, k) for s, k in saved if s >= LEAST_SAVED)[::-1]
 
     def confirm(self, words: list[tuple[str, int, int]], k: int, saved: float) -> list[Match]:
         """Every place in the block whose wording is the template's, within LEAST_ALIKE."""
-        name, template, decisive, _, _ = self.with_[k]
+        name, template, decisive, _, _, _ = self.with_[k]
         found, only, i, n = [], [w for w, _, _ in words], 0, len(template)
         starts = [j for j, w in enumerate(only) if w in template[: 1 + n // 5]]
         for j in starts:

@@ -259,6 +259,27 @@ def test_license_wordings():
     assert scan(None) == (0, []) and scan("") == (0, [])
 
 
+def test_notices_in_long_blocks():
+    scanner, rng = licenses.Scanner(), random.Random(1)
+    words = "the of a river stone house walks green under morning light and over by with from this licence for his garden people sometimes seen".split()
+    for name, notice in [licenses.TEMPLATES[k] for k in (0, 2, 9, 15)]:
+        for repeats in (1, 5, 15, 60):
+            text = " ".join(" ".join(rng.choice(words) + rng.choice(["", "s", "ed"]) for _ in range(45)) + " " + notice for _ in range(repeats))
+            n, found = scanner.scan(text)
+            assert n == 1 and [m.license for m in found] == [name] * repeats, (name, repeats)
+
+
+def test_ranking_leaves_out_nothing_that_the_wordings_confirm():
+    scanner, told = licenses.Scanner(), [w for _, t in licenses.TEMPLATES for w, _, _ in licenses.wording(t)]
+    for seed in range(12):
+        rng = random.Random(seed)
+        text = " ".join(" ".join(rng.choice(told) for _ in range(rng.randrange(60))) + " " + rng.choice(licenses.TEMPLATES)[1] for _ in range(rng.choice([1, 3, 12])))
+        for a, z in licenses.blocks(text):
+            words = licenses.wording(text[a:z])
+            ranked = {k for _, k in scanner.ranked(words)}
+            assert all(k in ranked or not scanner.confirm(words, k, 0.0) for k in range(len(licenses.TEMPLATES)))
+
+
 def test_licenses_in_spark(empty, clashing, awkward):
     assert licenses.scan_licenses(empty).count() == 0
     assert licenses.scan_licenses(clashing).where("size(matches) = 0").count() == 5
