@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: License notices (name, wording), public wordings of common licenses.
+#: License notices (name, wording), public wordings of common licenses. The scan
+#: knows these wordings only.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
@@ -48,11 +49,33 @@ TEMPLATES = (
     ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    # Standard headers, titles and opening paragraphs. BSD's is the same with two and three clauses.
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    *((f"{short}-{v}.0", f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the Free Software Foundation, {which}")
+      for short, name, v in (("GPL", "", 2), ("GPL", "", 3), ("LGPL", "Lesser ", 3), ("AGPL", "Affero ", 3))
+      for which in (f"either version {v} of the License, or (at your option) any later version.", f"version {v} of the License.")),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    *((f"CC-{short}-4.0", f"Licensed under {the} Creative Commons {name} 4.0 International License.")
+      for short, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+      for the in ("a", "the")),
+    ("CC0-1.0", "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication"),
+    *((name, f"SPDX-License-Identifier: {name}{more}")
+      for name in "Apache-2.0 MIT BSD-2-Clause BSD-3-Clause ISC GPL-2.0 GPL-3.0 LGPL-3.0 AGPL-3.0 MPL-2.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 CC0-1.0 Unlicense".split()
+      for more in (("", "-only", "-or-later") if "GPL" in name else ("",))),
 )
+#: An SPDX identifier that goes on is another one.
+_GOES_ON = re.compile(r"-\w")
 #: Words that tell one license from another; numbers are decisive too.
-DECISIVE = frozenset("apache mit bsd isc gnu general lesser affero mozilla cc by sa nc nd cc0 unencumbered restriction fee".split())
+DECISIVE = frozenset("apache mit bsd isc gnu general lesser affero mozilla cc by sa nc nd cc0 unencumbered restriction fee commercial noncommercial alike sharealike derivatives noderivatives noderivs".split())
 #: Words that make the text around them a candidate block.
-ANCHOR = re.compile(r"licen[cs]|permission|public\W+domain|copyright|unencumbered|source\W+code\W+form", re.I)
+ANCHOR = re.compile(r"licen[cs]|permission|public\W+domain|copyright|unencumbered|source\W+code\W+form|redistribut", re.I)
 #: Characters of a block before and after an anchor; overlapping blocks are joined.
 BEFORE, AFTER = 120, 320
 LEVEL = 19
@@ -147,7 +170,8 @@ class Scanner:
             n += 1
             words = wording(text[a:z])
             for saved, k in self.ranked(words):
-                found += [m._replace(start=m.start + a, end=m.end + a) for m in self.confirm(words, k, saved)]
+                here = [m._replace(start=m.start + a, end=m.end + a) for m in self.confirm(words, k, saved)]
+                found += [m for m in here if not (self.with_[k][1][0] == "spdx" and _GOES_ON.match(text, m.end))]
         kept: list[Match] = []
         for m in sorted(found, key=lambda m: (m.start - m.end, -m.alike, m.start, m.license)):
             if all(m.start >= x.end or m.end <= x.start for x in kept):

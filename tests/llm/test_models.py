@@ -259,6 +259,35 @@ def test_license_wordings():
     assert scan(None) == (0, []) and scan("") == (0, [])
 
 
+def test_headers_and_identifiers_of_real_files():
+    scan = licenses.Scanner().scan
+    names = lambda t: [m.license for m in scan(t)[1]]
+    gpl = """# This file is part of Some Tool.
+#
+# Some Tool is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# Some Tool is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."""
+    assert names(gpl) == ["GPL-3.0"] and names(gpl.replace("GNU General", "GNU Lesser General")) == ["LGPL-3.0"]
+    assert names(gpl.replace("version 3", "version 2")) == ["GPL-2.0"] and names(gpl.replace("version 3", "version 4")) == []
+    bsd = """Copyright (c) 2020, Somebody. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice.
+"""
+    assert names(bsd) == ["BSD"]
+    assert names(bsd + "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.") == ["BSD", "BSD-3-Clause"]
+    for line, found in (("MIT", ["MIT"]), ("MIT-0", []), ("GPL-2.0-only", ["GPL-2.0"]), ("GPL-2.0+", ["GPL-2.0"]), ("LGPL-3.0-or-later", ["LGPL-3.0"]), ("BSD-3-Clause", ["BSD-3-Clause"]), ("BSD-3-Clause-Clear", []), ("CC-BY-NC-4.0", ["CC-BY-NC-4.0"]), ("LGPL-2.1-only", [])):
+        assert names(f"// SPDX-License-Identifier: {line}\n\nint main() {{ return 0; }}") == found, line
+    assert names("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.") == ["CC-BY-NC-4.0"]
+
+
 def test_notices_in_long_blocks():
     scanner, rng = licenses.Scanner(), random.Random(1)
     words = "the of a river stone house walks green under morning light and over by with from this licence for his garden people sometimes seen".split()
