@@ -2,8 +2,9 @@
 zstandard dictionary of toxic text or with one of ordinary text?
 
 Both dictionaries are raw content of one length and have the same first part, trained by
-zstandard on ordinary text. The toxic one goes on with a dictionary trained on the
-windows of toxic rows that are significantly more frequent there than in ordinary rows;
+zstandard on ordinary text. The toxic one goes on with the
+windows of toxic rows that are significantly more frequent there than in ordinary rows,
+joined as they are, or with a dictionary trained on them where they are over OWN_BYTES;
 the ordinary one with one trained on further ordinary windows. So ordinary windows
 compress alike with both, and the difference in bytes marks toxic ones.
 
@@ -42,8 +43,9 @@ FOLDS = 4
 #: Differences in bytes that are counted.
 THRESHOLDS = (1, 2, 3, 4, 5, 6)
 #: Deviations by which a window's share of toxic rows must exceed its share of ordinary rows:
-#: of these the one is taken that does best on held-back parts; few rows bear only a low one.
-SIGNIFICANT, LEAST_ROWS = (5.0, 6.0, 8.0, 11.0), 3
+#: of these the one is taken that does best on held-back parts. A window in n toxic and no
+#: ordinary rows has the square root of 2 n, so the least lets LEAST_ROWS decide.
+SIGNIFICANT, LEAST_ROWS = (2.4, 3.5, 5.0, 6.0, 8.0, 11.0), 3
 #: Words whose differences a worker remembers.
 REMEMBER = 150_000
 CARRIER = b" " + bytes(range(1, 17))
@@ -121,7 +123,8 @@ def make_dictionaries(toxic: list[list[str]], ordinary: list[list[str]], signifi
     half = len(plain) // 2
     own = b"".join(b" " + w.encode("utf-8", "replace") + b" " for w in marked)
     if len(own) > OWN_BYTES:
-        own = _trained(OWN_BYTES, [b" " + w.encode("utf-8", "replace") + b" " for words in toxic for w in words if w in set(marked)])
+        chosen = set(marked)
+        own = _trained(OWN_BYTES, [b" " + w.encode("utf-8", "replace") + b" " for words in toxic for w in words if w in chosen])
     other = _trained(len(own), plain[half : half + 40_000])
     other = other[-len(own) :] if own else b""
     shared = _trained(SHARED_BYTES, plain[: min(half, 40_000)])

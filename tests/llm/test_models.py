@@ -41,6 +41,22 @@ def toxicity_held(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 
 
+def test_toxic_words_of_few_rows_are_learnt():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("aeiou") + rng.choice("bdlmnrst") for _ in range(rng.randrange(1, 4)))
+    slurs = ["".join(rng.choice("kpqvwxz") + rng.choice("aeiou") for _ in range(4)) for _ in range(60)]
+
+    def rows(each):  # every slur in `each` toxic rows, fewer than the 13 that five deviations ask for
+        toxic = [[word() for _ in range(40)] + [slurs[i % 60]] * 2 for i in range(60 * each)]
+        return [(w, 1) for w in toxic] + [([word() for _ in range(42)], 0) for _ in range(120 * each)]
+
+    learn, held = rows(8), rows(2)
+    rng.shuffle(learn)
+    scores = toxicity.Model(learn).score([" ".join(w) for w, _ in held])
+    got = [(s >= 0.5) == y for s, (_, y) in zip(scores, held, strict=True)]
+    assert np.mean(got[:120]) > 0.9 and np.mean(got[120:]) > 0.9
+
+
 def test_toxicity_edge_cases(empty, clashing, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.learn(clashing, none) is None
