@@ -258,14 +258,15 @@ def _link_rest(members: DataFrame, nodes: DataFrame, sets: DataFrame, labels: Da
     dealing = stored(sizes.select("band", "key", "label", "owner").join(owners, ["band", "key", "owner"]), "dealing")
     dealt = of.join(dealing, ["band", "key", "label"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
-    block = owners.select("band", "key", "owner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    block = block.select("band", "key", F.struct("owner", "block").alias("x"))
-    cells = block.join(block.withColumnRenamed("x", "y"), ["band", "key"])  # pairs of blocks, not of members
+    block = owners.select("band", "key", "owner", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    block = block.select("band", "key", "blocks", F.struct("owner", "block").alias("x"))
+    cells = block.join(block.select("band", "key", F.col("x").alias("y")), ["band", "key"])  # pairs of blocks, not of members
     cells = cells.where((F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("x.owner") == -1)))
     cells = cells.where((F.col("x.owner") != F.col("y.owner")) | (F.col("x.owner") == -1))
-    # Small cells share a task, so that no Python call is made for a few members.
+    # Small cells share a task, so that no Python call is made for a few members. The blocks of
+    # a bucket that has several are full, and have tasks of their own.
     tasks = max(1, of.count() // BLOCK)
-    small = (F.size("side") == 1) & (F.col("x.owner") == -1)
+    small = (F.size("side") == 1) & (F.col("x.owner") == -1) & (F.col("blocks") == 1)
     sides = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("at"), F.lit(2).alias("side"))))
     sides = sides.otherwise(F.array(F.struct(F.col("x").alias("at"), F.lit(0).alias("side")), F.struct(F.col("y").alias("at"), F.lit(1).alias("side"))))
     cells = cells.withColumn("cell", F.xxhash64("band", "key", "x", "y")).withColumn("side", sides)

@@ -89,3 +89,15 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 160))
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_blocks_of_a_hot_bucket_have_tasks_of_their_own(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(N, "stored", lambda df, name: kept.setdefault(name, df))
+    n = 9 * N.BLOCK // 2
+    members = spark.range(n).selectExpr("0 as band", "7L as key", "id as node")
+    nodes = spark.range(n).selectExpr("id as node", "10 as n_shingles", "array(0L) as bands", "array(0L) as packed")
+    sets, labels = spark.range(n).selectExpr("id as node", "array(id) as hashes"), spark.createDataFrame([], "node long, label long")
+    N._link_rest(members, nodes, sets, labels, 85)
+    cells = kept["cells"].select("task", "cell").distinct().collect()
+    assert len(cells) == 15 and len({r.task for r in cells}) == 15
