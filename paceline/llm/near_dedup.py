@@ -3,7 +3,8 @@
 1. One scan hashes each text's word shingles and keeps, a row: the set's size and
    128-bit digest, BANDS band keys from full minima, and a packed signature with the low
    BITS bits of each of BANDS * ROWS minima. Texts aren't kept.
-2. Rows of equal sets are one node. A third of all rows may be one node.
+2. Rows of equal sets are one node. A third of all rows may be one node; one of its rows,
+   found again by a hash of id and text, stands for it in the second scan.
 3. Nodes that share a band key are a bucket. Four of its nodes lead; each member is
    compared with its leaders, once a pair. Pairs whose signatures' bit counts, corrected
    for chance collisions, say that a similarity of `percent` is over five standard
@@ -12,11 +13,16 @@
 4. Buckets whose members still are in different components are compared in whole: members
    are dealt into blocks, and each pair of blocks is one cell. A cell joins up what it
    links as it goes and compares only members that aren't joined yet, so no pair list is
-   made and a large group costs a cell at most one link a member.
+   made and a large group costs a cell at most one link a member. Where a bucket would have
+   more than CELLS cells a block, its members first part by rare shingles: ordered from rare
+   to frequent in the bucket, linked sets of sizes a >= b share one of the first
+   a - ceil(t a) + 1 of the larger and the first b - ceil(2 t b / (1 + t)) + 1 of the smaller,
+   so members that have only frequent shingles in common don't meet.
 5. Components of all links; each has its smallest doc_id as its name.
 
 A pair of similarity 0.85 shares no band with a chance of (1 - 0.85**4)**24 = 2e-8; more
-alike pairs, less. Sets are held as 64-bit shingle hashes.
+alike pairs, less; by its signature it is passed over with one of 1.5e-6 (the binomial's
+lower tail). Sets are held as 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -26,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_repeat, release_memory, small_batches, stored, without_ids
+from .common import ids_repeat, one_of_each, passing, release_memory, small_batches, stored, without_ids
 from .graph import components
 from .shingles import mix, shingle_sets
 
@@ -38,10 +44,14 @@ BANDS, ROWS, BITS = 24, 4, 2
 PERCENT = 85
 #: Standard deviations by which an estimate may miss before a pair is passed over.
 SIGMAS = 5
-#: Ids that may be broadcast to pick texts in the second scan (16 bytes each).
-BROADCAST_IDS = 1_000_000
+#: Nodes that may be broadcast to pick texts in the second scan (a hash, a number and a digest each: 32 bytes).
+BROADCAST_NODES = 1_000_000
 #: Members of a block, and shingles of theirs (16 MB), on average at most.
 BLOCK, BLOCK_SHINGLES = 1_000, 2_000_000
+#: Cells a block beyond which a bucket's members part by rare shingles.
+CELLS = 8
+#: Owners of blocks that small labels share; numbers from 0 on are labels with blocks of their own.
+SHARED, SHARED_LATER = -1, -2
 
 _COUNT = BANDS * ROWS
 _rng = np.random.Generator(np.random.PCG64(85))
@@ -85,7 +95,7 @@ def least_same(percent: int = PERCENT) -> int:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, digests, bands, packed = [], [], [], []
-        for hashes in shingle_sets(batch.column(1)):
+        for hashes in shingle_sets(batch.column(2)):
             sizes.append(len(hashes))
             if len(hashes):
                 digests.append(_digest(hashes))
@@ -98,8 +108,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 packed.append(None)
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(packed, longs)],
-            ["doc_id", "n_shingles", "digest", "bands", "packed"],
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(packed, longs)],
+            ["doc_id", "at", "n_shingles", "digest", "bands", "packed"],
         )
     release_memory()
 
@@ -109,7 +119,7 @@ def _digest(hashes: np.ndarray) -> bytes:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, hashes) of (node, digest, text) where the text's set has that digest: an id can repeat with another text."""
+    """(node, hashes) of (node, digest, text) where the text's set has that digest: another row can have the same hash."""
     for batch in batches:
         for i, hashes in enumerate(shingle_sets(batch.column(2))):
             if _digest(hashes) == batch.column(1)[i].as_py():
@@ -184,22 +194,35 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A document's set: its distinct 5-word shingles after lower-casing A-Z; with fewer
     words, all of them as one. Null, empty and blank texts have an empty set and are
-    linked with nothing. component_id is the smallest doc_id reachable over links, kept
-    says whether the row's id is that; n_class counts the rows of the same set. Rows that
-    repeat an id are separate members. A null id is smaller than none: a component of
-    null ids only has a null component_id, and its rows are kept. An empty table gives an
-    empty result. Further columns of `docs` are not read.
+    linked with nothing. Ids may be of any type that can be ordered. component_id is the
+    smallest doc_id reachable over links, kept says whether the row's id is that; n_class
+    counts the rows of the same set. Rows that repeat an id are separate members. A null id
+    is smaller than none: a component of null ids only has a null component_id, and its
+    rows are kept. An empty table gives an empty result. Further columns of `docs` are not read.
     """
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    rows = stored(small_batches(texts).mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>, packed array<long>"), "signatures")
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[id_col], docs[text_col]).alias("at"), docs[text_col].alias("text"))
+    rows = stored(small_batches(texts).mapInArrow(_signatures, f"doc_id {kind}, at long, n_shingles long, digest binary, bands array<long>, packed array<long>"), "signatures")
 
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_class"))
+    # Equal sets have equal sizes, bands and signatures.
+    same = [F.any_value(c).alias(c) for c in ("n_shingles", "bands", "packed")]
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("at").alias("at"), F.count("*").alias("n_class"), *same)
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    firsts = rows.select("doc_id", "n_shingles", "bands", "packed", F.col("digest").alias("d")).join(classes, (F.col("d") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    one = Window.partitionBy("node").orderBy("doc_id")
-    firsts = firsts.select("node", "first_id", "digest", "n_shingles", "bands", "packed", F.row_number().over(one).alias("copy")).where("copy = 1").drop("copy")
-    nodes = stored(firsts, "nodes")
+    nodes = classes.select("node", "at", "digest", "n_shingles", "bands", "packed")
 
+    with passing(docs.sparkSession) as keep:
+        labels = keep(_labels(nodes, texts, percent))
+
+    named = classes.select("digest", "node", "first_id", "n_class").join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("label", F.coalesce("label", "node"))
+    names = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    of_class = named.select("digest", "label", "n_class").join(names, "label").select(F.col("digest").alias("d"), "component_id", "n_class")
+    out = rows.select("doc_id", "n_shingles", "digest").join(of_class, F.col("digest") == F.col("d"), "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "n_class")
+
+
+def _labels(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of the nodes that have links: the smallest node that each reaches."""
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     # Four leaders a bucket: the smallest and largest node, by number and by hash.
     mixed = F.xxhash64("node")
@@ -210,10 +233,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = led.where("node != lead").select(F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node")).distinct()
 
     # The second scan: sets of the nodes that are in any bucket.
-    wanted = stored(members.select("node").distinct().join(nodes, "node").select("node", "first_id", "digest", "n_shingles", "bands", "packed"), "wanted")
-    ids = wanted.select("node", "first_id", "digest")
-    picked = texts.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("first_id")))
+    wanted = stored(members.select("node").distinct().join(nodes, "node"), "wanted")
+    marks, n_wanted = wanted.select("node", F.col("at").alias("mark"), "digest"), wanted.count()
+    picked = texts.join(F.broadcast(marks) if n_wanted <= BROADCAST_NODES else marks, F.col("at") == F.col("mark"))
     sets = stored(picked.select("node", "digest", "text").mapInArrow(_sets, "node long, hashes array<long>"), "sets")
+    if sets.count() > n_wanted:  # rows that repeat id and text
+        sets = stored(sets.groupBy("node").agg(F.any_value("hashes").alias("hashes")), "sets")
 
     hers = wanted.select(F.col("node").alias("l"), F.col("packed").alias("l_packed"))
     his = wanted.select(F.col("node").alias("m"), F.col("packed").alias("m_packed"))
@@ -227,15 +252,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labels = stored(components(links), "labels")
 
     more = stored(_link_rest(members, wanted, sets, labels, percent), "links")
-    if not more.isEmpty():
-        labels = stored(components(links.unionByName(more)), "labels")
-
-    named = classes.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("label", F.coalesce("label", "node"))
-    names = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_class = named.select("digest", "label", "n_class").join(names, "label").select(F.col("digest").alias("d"), "component_id", "n_class")
-    out = rows.select("doc_id", "n_shingles", "digest").join(of_class, F.col("digest") == F.col("d"), "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "n_class")
+    return labels if more.isEmpty() else stored(components(links.unionByName(more)), "labels")
 
 
 def _link_rest(members: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -247,31 +264,41 @@ def _link_rest(members: DataFrame, nodes: DataFrame, sets: DataFrame, labels: Da
     buckets = labelled.groupBy("band", "key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), who)
     buckets = buckets.where("n > 2 and least < most")
     chosen = buckets.groupBy("who", "n").agg(F.min("band").alias("band")).join(buckets.select("who", "n", "band", "key"), ["who", "n", "band"]).select("band", "key")
-    of = stored(labelled.join(chosen, ["band", "key"]).join(nodes.select("node", "n_shingles"), "node"), "open")
+    of = stored(labelled.join(chosen, ["band", "key"]).join(nodes.select("node", "n_shingles"), "node").withColumn("first", F.lit(True)), "open")
+    owners, _ = _owners(of)
+    # Cells: pairs of blocks of different owners, and of shared blocks. Linear in the blocks where one label owns most.
+    shared, every = F.sum(F.when(F.col("owner") < 0, F.col("blocks")).otherwise(0)), F.sum("blocks")
+    cells = (every * every - F.sum(F.when(F.col("owner") >= 0, F.col("blocks") * F.col("blocks")).otherwise(0)) + shared) / 2
+    wide = owners.groupBy("band", "key").agg(cells.alias("cells"), every.alias("every")).where(F.col("cells") > CELLS * F.col("every")).select("band", "key")
+    wide = stored(wide, "wide")
+    if not wide.isEmpty():
+        parted = _part(of.join(wide, ["band", "key"], "left_semi"), sets, percent)
+        of = stored(of.join(wide, ["band", "key"], "left_anti").unionByName(parted), "open")
 
     # Members are dealt into blocks. A label of more than a block has blocks of its own
     # (owner = label), which aren't compared with each other; the others share blocks.
-    sizes = of.groupBy("band", "key", "label").agg(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES).alias("fill"))
-    sizes = sizes.withColumn("owner", F.when(F.col("fill") > 1, F.col("label")).otherwise(-1))
-    owners = stored(sizes.groupBy("band", "key", "owner").agg(F.ceil(F.sum("fill")).cast("int").alias("blocks")), "owners")
+    owners, sizes = _owners(of)
+    owners = stored(owners, "owners")
     # Written first, so that the join with a hot bucket's members is one that can be split.
-    dealing = stored(sizes.select("band", "key", "label", "owner").join(owners, ["band", "key", "owner"]), "dealing")
-    dealt = of.join(dealing, ["band", "key", "label"])
+    dealing = stored(sizes.select("band", "key", "label", "first", "owner").join(owners, ["band", "key", "owner"]), "dealing")
+    dealt = of.join(dealing, ["band", "key", "label", "first"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
-    block = owners.select("band", "key", "owner", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    block = block.select("band", "key", "blocks", F.struct("owner", "block").alias("x"))
+    block = owners.select("band", "key", "owner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    block = block.select("band", "key", F.struct("owner", "block").alias("x"))
     cells = block.join(block.select("band", "key", F.col("x").alias("y")), ["band", "key"])  # pairs of blocks, not of members
-    cells = cells.where((F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("x.owner") == -1)))
-    cells = cells.where((F.col("x.owner") != F.col("y.owner")) | (F.col("x.owner") == -1))
+    cells = cells.where((F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("x.owner") == SHARED)))
+    cells = cells.where((F.col("x.owner") != F.col("y.owner")) | (F.col("x.owner") == SHARED))
     # Small cells share a task, so that no Python call is made for a few members. The blocks of
     # a bucket that has several are full, and have tasks of their own.
-    tasks = max(1, of.count() // BLOCK)
-    small = (F.size("side") == 1) & (F.col("x.owner") == -1) & (F.col("blocks") == 1)
+    n_of, n_hashes = of.agg(F.count("*"), F.sum("n_shingles")).first()
+    tasks = max(1, n_of // BLOCK, (n_hashes or 0) // BLOCK_SHINGLES)
+    alone = owners.groupBy("band", "key").agg(((F.max("blocks") == 1) & (F.max("owner") < 0)).alias("small"))
+    cells = cells.join(alone, ["band", "key"])
     sides = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("at"), F.lit(2).alias("side"))))
     sides = sides.otherwise(F.array(F.struct(F.col("x").alias("at"), F.lit(0).alias("side")), F.struct(F.col("y").alias("at"), F.lit(1).alias("side"))))
     cells = cells.withColumn("cell", F.xxhash64("band", "key", "x", "y")).withColumn("side", sides)
-    alone = cells.withColumn("task", F.when(small, F.pmod(F.xxhash64("band", "key"), F.lit(tasks))).otherwise(F.col("cell")))
-    spread = alone.select("band", "key", "cell", "task", F.explode("side").alias("s")).select("band", "key", "cell", "task", "s.side", "s.at.owner", "s.at.block")
+    cells = cells.withColumn("task", F.when(F.col("small"), F.pmod(F.xxhash64("band", "key"), F.lit(tasks))).otherwise(F.col("cell")))
+    spread = cells.select("band", "key", "cell", "task", F.explode("side").alias("s")).select("band", "key", "cell", "task", "s.side", "s.at.owner", "s.at.block")
     rows = dealt.join(stored(spread, "cells"), ["band", "key", "owner", "block"]).select("task", "cell", "band", "side", "node", "label")
     rows = rows.join(nodes.select(F.col("node").alias("k"), "bands", "packed"), F.col("node") == F.col("k")).join(sets.select(F.col("node").alias("l"), "hashes"), F.col("node") == F.col("l"))
 
@@ -288,19 +315,43 @@ def _link_rest(members: DataFrame, nodes: DataFrame, sets: DataFrame, labels: Da
     return rows.select("task", "cell", "band", "side", "node", "label", "bands", "packed", "hashes").groupBy("task").applyInPandas(link, "u long, v long")
 
 
+def _owners(of: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(band, key, owner, blocks), and the owner of each (band, key, label, first)."""
+    fill = F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
+    sizes = of.groupBy("band", "key", "label", "first").agg(fill.alias("fill"))
+    sizes = sizes.withColumn("owner", F.when(F.col("fill") > 1, F.col("label")).when(F.col("first"), SHARED).otherwise(SHARED_LATER))
+    return sizes.groupBy("band", "key", "owner").agg(F.ceil(F.sum("fill")).cast("int").alias("blocks")), sizes
+
+
+def _part(of: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members of wide buckets in smaller ones, a bucket a rare shingle; `first`: it is early enough for a partner of the same size or more.
+
+    Two members that are linked meet in one of these, where the smaller has `first`.
+    """
+    tokens = of.join(sets.select(F.col("node").alias("n"), "hashes"), F.col("node") == F.col("n")).select("band", "key", "node", "label", "n_shingles", F.explode("hashes").alias("token"))
+    often = tokens.groupBy("band", "key", "token").agg(F.count("*").alias("often"))
+    ranked = tokens.join(often, ["band", "key", "token"])
+    ordered = ranked.groupBy("band", "key", "node", "label", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("tokens"))
+    n = F.col("n_shingles")
+    head = lambda over, under: (n - F.ceil(n * over / under) + 1).cast("int")
+    heads = ordered.select("band", "key", "node", "label", "n_shingles", F.posexplode(F.slice("tokens", 1, head(percent, 100))).alias("at", "head"))
+    parts = heads.select("band", F.xxhash64("key", "head.token").alias("key"), "node", "label", "n_shingles", (F.col("at") < head(2 * percent, 100 + percent)).alias("first"))
+    met = parts.groupBy("band", "key").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.max("first").alias("any")).where("a < z and any").select("band", "key")
+    return parts.join(stored(met, "met"), ["band", "key"]).select(*of.columns)
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with the columns of `docs`.
 
     Of rows equal in id and text, one stays. Where an id repeats with different texts, all
     of these stay if any of them names its component.
     """
-    verdicts = stored(near_classes(docs, id_col, text_col), "near-verdicts")
+    with passing(docs.sparkSession) as keep:
+        verdicts = keep(stored(near_classes(docs, id_col, text_col), "near-verdicts"))
     if not ids_repeat(verdicts, "doc_id"):
         return without_ids(docs, verdicts.where("not kept").select(F.col("doc_id").alias("gone_id")), id_col)
-    stay = verdicts.where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    met = docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    copy = Window.partitionBy(id_col, F.sha2(text_col, 256)).orderBy(F.lit(1))
-    return met.withColumn("__copy", F.row_number().over(copy)).where("__copy = 1").select(*docs.columns)
+    stay = verdicts.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return one_of_each(docs.join(stay, docs[id_col].eqNullSafe(stay["kept_id"]), "left_semi"), id_col, docs[text_col])
 
 
 def op8_near_dedup(spark, sf_dir):

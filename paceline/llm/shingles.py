@@ -1,7 +1,13 @@
-"""Word shingles of many texts at once, as 64-bit hashes, without a Python step a word."""
+"""Word shingles of many texts at once, as 64-bit hashes, without a Python step a word.
+
+A word of up to LONG_WORD bytes is hashed as a polynomial modulo 2**64 over random numbers a
+byte. Longer ones, which are rare, by BLAKE2b: modulo a power of two the polynomials of long
+words can be equal by construction (a Thue-Morse word and its complement).
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +17,8 @@ import pyarrow.compute as pc
 #: Bytes of text that are hashed in one go; a longer text is cut at white space.
 PIECE = 1 << 18
 SHINGLE = 5
+#: Bytes beyond which a word is hashed by BLAKE2b.
+LONG_WORD = 32
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -60,6 +68,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     sums = np.cumsum(_BYTE[low] * _power(_BASE, n), dtype=np.uint64)
     before = np.where(a > 0, sums[np.maximum(a - 1, 0)], np.uint64(0))
     hashes = mix((sums[z] - before) * _power(inverse, n)[a] + (z - a + 1).astype(np.uint64))
+    for i in np.flatnonzero(z - a >= LONG_WORD):
+        hashes[i] = int.from_bytes(hashlib.blake2b(low[a[i] : z[i] + 1].tobytes(), digest_size=8).digest(), "little")
     return hashes, np.searchsorted(a, starts)
 
 

@@ -101,3 +101,49 @@ def test_blocks_of_a_hot_bucket_have_tasks_of_their_own(spark, monkeypatch):
     N._link_rest(members, nodes, sets, labels, 85)
     cells = kept["cells"].select("task", "cell").distinct().collect()
     assert len(cells) == 15 and len({r.task for r in cells}) == 15
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    """A Thue-Morse word and its complement."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    hashes = [next(shingle_sets(pa.array([w]))).tolist() for w in (one, two)]
+    assert hashes[0] != hashes[1]
+    rows = [(1, one), (2, two), (3, f"{one} b c d e"), (4, f"{two} b c d e")]
+    assert found(N.near_classes(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_ids_of_other_types(spark):
+    rows = [("x1", "a b c d e f g"), ("x10", "A b c d e f g"), ("b", "other words are in here now"), (None, "a b c d e f g")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: (r.component_id, r.kept) for r in N.near_classes(docs).collect()}
+    assert got == {"x1": ("x1", True), "x10": ("x1", False), "b": ("b", True), None: ("x1", False)}
+    assert sorted(r.doc_id for r in N.drop_near_copies(docs).collect()) == ["b", "x1"]
+
+
+def test_a_hot_bucket_of_unlinked_members_is_not_compared_in_whole(spark):
+    """Members share four fifths of their shingles, so bands meet; by rare shingles only the linked ones do."""
+    n, core = 200, list(range(1, 81))
+    sets = {i: core + [1000 + 20 * i + k for k in range(20)] for i in range(n)}
+    for i in range(0, n, 50):  # linked with the next one
+        sets[i + 1] = sets[i][:-2] + [900_000 + 2 * i, 900_001 + 2 * i]
+    of = spark.createDataFrame([(0, 7, i, i, 100, True) for i in range(n)], "band int, key long, node long, label long, n_shingles long, first boolean")
+    parted = N._part(of, spark.createDataFrame([(i, s) for i, s in sets.items()], "node long, hashes array<long>"), 85).collect()
+    by_bucket = defaultdict(set)
+    for r in parted:
+        by_bucket[r.key].add(r.node)
+    assert {frozenset(b) for b in by_bucket.values()} == {frozenset((i, i + 1)) for i in range(0, n, 50)}
+
+
+def test_members_of_any_size_meet_if_they_are_linked(spark):
+    rng = random.Random(8)
+    base = list(range(100))
+    sets = [sorted(set(base[: rng.randrange(85, 101)]) - {rng.randrange(100) for _ in range(rng.randrange(6))} | {500 + rng.randrange(200) for _ in range(rng.randrange(8))}) for _ in range(80)]
+    of = spark.createDataFrame([(0, 7, i, i, len(s), True) for i, s in enumerate(sets)], "band int, key long, node long, label long, n_shingles long, first boolean")
+    parted = N._part(of, spark.createDataFrame(list(enumerate(sets)), "node long, hashes array<long>"), 85).collect()
+    buckets = defaultdict(dict)
+    for r in parted:
+        buckets[r.key][r.node] = r.first
+    met = {(a, b) for m in buckets.values() for a in m for b in m if a < b and (m[a] or m[b])}
+    linked = {(a, b) for b in range(80) for a in range(b) if 100 * len({*sets[a]} & {*sets[b]}) >= 85 * len({*sets[a]} | {*sets[b]})}
+    assert linked and linked <= met
