@@ -8,12 +8,14 @@ DataFrame operations only. The steps:
    the directory's, the directory doubles. Equal keys can't be split and don't count
    twice, so a hot text never makes the directory grow.
 3. Keys of more than one row get their bytes compared: a second scan keeps the texts
-   of those keys only and groups them by key and bytes, with partial sums before the
-   shuffle, so that a text with a million copies leaves each map task once.
-4. Owner tasks each take a range of buckets, chain the different texts of a key, and
-   write their part of the index: one row a different text.
-5. Entries meet the index by (key, SHA-256). A hot text has one index row; its entries
-   are split by the skew-join rule.
+   of those keys only and sums up equal ones before the shuffle, so that a text with a
+   million copies leaves each map task once.
+4. The directory routes these sums, and the entries of keys that occur once, to owner
+   tasks, each of which takes a range of buckets. An owner compares the bytes of a key's
+   texts, chains those that differ, and writes its part of the index: one row a chained
+   text, with the smallest id and the number of rows.
+5. Each entry looks itself up: the directory gives its bucket, the index the row of its key
+   and SHA-256 there. A hot text has one index row; its entries are split by the skew-join rule.
 
 Shuffled: about 100 bytes a row, and each repeated text once a map task. No text that
 occurs once is moved.
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, ids_repeat, stored, without_ids
+from .common import WHITE, ids_repeat, one_of_each, passing, stored, without_ids
 
 #: Distinct keys a bucket holds before it splits.
 CAPACITY = 100_000
@@ -32,6 +34,8 @@ CAPACITY = 100_000
 MAX_DEPTH = 16
 #: Repeated keys that may be broadcast (8 bytes each); beyond that every text takes part in step 3.
 BROADCAST_KEYS = 1_000_000
+#: Sums of one text that an owner gets at most.
+PARTS = 8
 
 
 def normalised(text):
@@ -75,9 +79,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     say where the index holds the text (chain over 1: another text has the same key).
     An empty table gives an empty result. Further columns of `docs` are not read.
     """
+    return _deduped(docs, id_col, text_col, capacity)[0]
+
+
+def _deduped(docs: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY) -> tuple[DataFrame, bool]:
+    """The verdicts, and whether any id repeats."""
     spark = docs.sparkSession
     source = docs.select(docs[id_col].alias("doc_id"), normalised(docs[text_col]).alias("norm")).withColumn("key", F.xxhash64("norm"))
-    entries = stored(source.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256")), "dedup-entries")
+    entries = stored(source.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "dedup-entries")
 
     keys = entries.groupBy("key").agg(F.count("*").alias("n_rows"))
     total, repeated = keys.agg(F.count("*"), F.count_if(F.col("n_rows") > 1)).first()
@@ -85,37 +94,42 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = entries.select("key").distinct().groupBy(slot(F.col("key"), depth).alias("slot")).count()
     directory = split_buckets({r["slot"]: r["count"] for r in counted.collect()}, depth, capacity)
     bits = len(directory).bit_length() - 1
-    slots = F.broadcast(spark.createDataFrame(directory, "slot int, bucket int, local_depth int"))
+    slots = F.broadcast(spark.createDataFrame([(s, b) for s, b, _ in directory], "slot int, bucket int"))  # 2**MAX_DEPTH rows at most
+    route = lambda rows: rows.withColumn("slot", slot(F.col("key"), bits)).join(slots, "slot").drop("slot")
 
     many = keys.where("n_rows > 1").select("key")
     suspects = source.join(F.broadcast(many), "key", "left_semi") if repeated <= BROADCAST_KEYS else source
-    compared = suspects.groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    compared = compared.select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
+    sums = suspects.groupBy("key", "norm", (F.spark_partition_id() % PARTS).alias("part")).agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
+    sums = sums.select("key", F.sha2("norm", 256).alias("text_sha256"), "norm", "least_id", "n")
     if repeated <= BROADCAST_KEYS:
         single = entries.join(F.broadcast(many), "key", "left_anti")
-        compared = compared.unionByName(single.select("key", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")))
-    owned = compared.withColumn("slot", slot(F.col("key"), bits)).join(slots, "slot").repartitionByRange("bucket", "key")
-    chain = Window.partitionBy("bucket", "key").orderBy("text_sha256")
-    index = stored(owned.withColumn("chain", F.row_number().over(chain)).drop("slot", "local_depth"), "dedup-index")
-
-    copy = Window.partitionBy("text_sha256", "doc_id").orderBy("key")
-    rows = entries.withColumn("copy", F.row_number().over(copy))
-    joined = rows.join(index.withColumnRenamed("text_sha256", "sha"), (rows["key"] == index["key"]) & (F.col("text_sha256") == F.col("sha")))
-    return joined.select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256", "bucket", "chain"
-    )
+        sums = sums.unionByName(single.select("key", "text_sha256", F.lit(None).cast("string").alias("norm"), F.col("doc_id").alias("least_id"), F.lit(1).cast("long").alias("n")))
+    # Owner tasks: a range of buckets each; equal bytes get the same place in the key's chain.
+    owned = route(sums).repartitionByRange("bucket", "key")
+    chain = F.dense_rank().over(Window.partitionBy("bucket", "key").orderBy("norm"))
+    index = owned.withColumn("chain", chain).groupBy("bucket", "key", "chain").agg(F.any_value("text_sha256").alias("sha"), F.min("least_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    index = stored(index, "dedup-index").withColumnsRenamed({"bucket": "in_bucket", "key": "in_key"})
+
+    found = route(entries).join(index, (F.col("bucket") == F.col("in_bucket")) & (F.col("key") == F.col("in_key")) & (F.col("text_sha256") == F.col("sha")))
+    kept, repeats = F.col("doc_id").eqNullSafe(F.col("keep_id")), ids_repeat(entries, "doc_id")
+    if repeats:  # of rows that repeat id and text, the first stays
+        firsts = found.where(kept).groupBy("key", "chain").agg(F.min("row").alias("first_row")).withColumnsRenamed({"key": "k", "chain": "c"})
+        found = found.join(stored(firsts, "dedup-firsts"), (F.col("key") == F.col("k")) & (F.col("chain") == F.col("c")))
+        kept = F.col("row") == F.col("first_row")
+    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "bucket", "chain"), repeats
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with its columns; of rows equal in id and text, one."""
-    verdicts = stored(exact_dedup(docs, id_col, text_col), "dedup-verdicts")
-    if not ids_repeat(verdicts, "doc_id"):
+    """The rows of `docs` that stay, with its columns, whatever their names; of rows equal in id and text, one."""
+    with passing(docs.sparkSession) as keep:
+        verdicts, repeats = _deduped(docs, id_col, text_col)
+        verdicts = keep(stored(verdicts, "dedup-verdicts"))
+    if not repeats:
         return without_ids(docs, verdicts.where("not kept").select(F.col("doc_id").alias("gone_id")), id_col)
-    stay = verdicts.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__text_sha", F.sha2(normalised(docs[text_col]), 256))
-    met = marked.join(stay, marked[id_col].eqNullSafe(F.col("__id")) & (F.col("__text_sha") == F.col("__sha")), "left_semi")
-    copy = Window.partitionBy(id_col, "__text_sha").orderBy(F.lit(1))
-    return met.withColumn("__copy", F.row_number().over(copy)).where("__copy = 1").select(*docs.columns)
+    stay = verdicts.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    norm = normalised(docs[text_col])
+    met = docs.join(stay, docs[id_col].eqNullSafe(stay["kept_id"]) & (F.sha2(norm, 256) == stay["kept_sha"]), "left_semi")
+    return one_of_each(met, id_col, norm)
 
 
 def op1_exact_dedup(spark, sf_dir):
