@@ -6,8 +6,10 @@ join. Split, explode, hash and probe are one codegen stage, so positions that hi
 nothing never leave the task. Hits are verified word by word in the same stage; only
 they, and one row a document, are shuffled.
 
-The windows are broadcast only up to BROADCAST_WINDOWS rows (counted first); beyond
-that the same join runs as a shuffled one.
+The windows are broadcast only up to BROADCAST_WINDOWS rows (counted first). Beyond that
+(hash of the text, place, size, hash of the window) is dealt by the window's hash, without
+words; what meets a window comes back to the texts of that hash, once a different text, and
+is verified there.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, without_ids
+from .common import ascii_lower, passing, stored, unused, without_ids
 
 #: A word after lower-casing A-Z: digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -23,8 +25,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_AS_WRITTEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Consecutive words a window has.
 WINDOW = 10
-#: Windows that may be broadcast: at about 200 bytes each, 100 MB.
-BROADCAST_WINDOWS = 500_000
+#: Windows that may be broadcast, and bytes of their words on average: 100 MB.
+BROADCAST_WINDOWS, WINDOW_BYTES = 500_000, 200
 
 
 def words(text):
@@ -81,12 +83,33 @@ def find_contamination(
     windows = stored(benchmark_windows(benchmark, item_col, item_text_col, window), "windows")
     grams = windows.select("hash", "size", "gram").distinct()
     sizes = sorted(r["size"] for r in grams.select("size").distinct().collect()) or [window]  # at most `window` numbers
-    meant = F.broadcast if windows.count() <= broadcast_windows else lambda df: df
-    # A document's position -1 stands for itself and meets the one row of size 0.
-    marked = grams.unionByName(docs.sparkSession.createDataFrame([(0, 0, "")], "hash long, size int, gram string"))
-    marked = meant(marked.withColumnsRenamed({"hash": "w_hash", "size": "w_size"}))
-
+    n_windows, n_bytes = windows.agg(F.count("*"), F.sum(F.octet_length("gram"))).first()
+    near = n_windows <= broadcast_windows and (n_bytes or 0) <= WINDOW_BYTES * broadcast_windows
+    meant = F.broadcast if near else lambda df: df
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_key"), words(docs[text_col]).alias("words"))
+    held = stored((_held if near else _held_far)(rows, grams, sizes), "hits")
+    last = "element_at(acc, -1)"
+    joined_up = F.expr(
+        f"""aggregate(found, cast(array() as array<struct<at:int,end:int>>), (acc, x) ->
+          if(size(acc) = 0 or {last}.end < x.at, concat(acc, array(named_struct('at', x.at, 'end', x.end))),
+             concat(slice(acc, 1, size(acc) - 1), array(named_struct('at', {last}.at, 'end', greatest({last}.end, x.end))))))"""
+    )
+    spans = held.select("row", "doc_id", "text_key", "n_words", joined_up.alias("spans"), "grams")
+    listed = spans.where(F.size("grams") > 0).select("row", F.explode("grams").alias("g")).select("row", "g.hash", "g.gram")
+    by_gram = windows.where("item_id is not null").select(F.col("hash").alias("w_hash"), F.col("gram").alias("w_gram"), F.col("item_id").cast("string").alias("item"))
+    items = listed.join(meant(by_gram), (F.col("hash") == F.col("w_hash")) & (F.col("gram") == F.col("w_gram"))).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = spans.join(items, "row", "left")
+    return out.select(
+        "doc_id", "n_words", F.expr("aggregate(spans, 0, (n, s) -> n + s.end - s.at)").cast("long").alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans", "text_key",
+    )
+
+
+def _held(rows: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
+    """`rows` with `found` (hit windows by place) and `grams`: a broadcast hash set, probed and verified in one stage."""
+    # A document's position -1 stands for itself and meets the one row of size 0.
+    marked = grams.unionByName(rows.sparkSession.createDataFrame([(0, 0, "")], "hash long, size int, gram string"))
+    marked = F.broadcast(marked.withColumnsRenamed({"hash": "w_hash", "size": "w_size"}))
     n = F.size("words")
     spread = rows.select("row", "doc_id", "text_key", n.alias("n_words"), "words", F.explode(F.sequence(F.lit(-1), F.greatest(n - sizes[0], F.lit(-1)))).alias("at"))
     key = lambda size: F.when(F.col("at") < 0, F.lit(0).cast("long")).when(F.col("at") + size <= F.col("n_words"), _window_hash("words", "at", size))
@@ -102,33 +125,35 @@ def find_contamination(
     hits = met.select("row", "doc_id", "text_key", "n_words", "at", "size", "hash", "gram")
 
     # One row a document: its hits are bounded by its words.
-    held = hits.groupBy("row", "doc_id", "text_key").agg(
+    return hits.groupBy("row", "doc_id", "text_key").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.collect_set(F.when(real, F.struct("at", (F.col("at") + F.col("size")).alias("end"))))).alias("found"),
         F.collect_set(F.when(real, F.struct("hash", "gram"))).alias("grams"),
     )
-    held = stored(held, "hits")
-    last = "element_at(acc, -1)"
-    joined_up = F.expr(
-        f"""aggregate(found, cast(array() as array<struct<at:int,end:int>>), (acc, x) ->
-          if(size(acc) = 0 or {last}.end < x.at, concat(acc, array(named_struct('at', x.at, 'end', x.end))),
-             concat(slice(acc, 1, size(acc) - 1), array(named_struct('at', {last}.at, 'end', greatest({last}.end, x.end))))))"""
-    )
-    spans = held.select("row", "doc_id", "text_key", "n_words", joined_up.alias("spans"), "grams")
-    listed = spans.where(F.size("grams") > 0).select("row", F.explode("grams").alias("g")).select("row", "g.hash", "g.gram")
-    by_gram = windows.where("item_id is not null").select(F.col("hash").alias("w_hash"), F.col("gram").alias("w_gram"), F.col("item_id").cast("string").alias("item"))
-    items = listed.join(meant(by_gram), (F.col("hash") == F.col("w_hash")) & (F.col("gram") == F.col("w_gram"))).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    out = spans.join(items, "row", "left")
-    return out.select(
-        "doc_id", "n_words", F.expr("aggregate(spans, 0, (n, s) -> n + s.end - s.at)").cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans", "text_key",
-    )
+
+
+def _held_far(rows: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
+    """The same where the windows are too many to broadcast: places go by hash, without words, and hits come back to their text."""
+    n = F.size("words")
+    spread = rows.select("text_key", "words", n.alias("n_words"), F.explode(F.when(n >= sizes[0], F.sequence(F.lit(0), n - sizes[0]))).alias("at"))
+    kinds = [F.struct(F.lit(size).alias("size"), F.when(F.col("at") + size <= F.col("n_words"), _window_hash("words", "at", size)).alias("hash")) for size in sizes]
+    places = spread.select("text_key", "at", F.explode(F.array(*kinds)).alias("k")).select("text_key", "at", "k.size", "k.hash").where("hash is not null")
+    marked = grams.withColumnsRenamed({"hash": "w_hash", "size": "w_size"})
+    met = places.join(marked, (F.col("hash") == F.col("w_hash")) & (F.col("size") == F.col("w_size"))).select("text_key", "at", "size", "hash", "gram").distinct()
+    of_text = met.groupBy(F.col("text_key").alias("of_key")).agg(F.collect_list(F.struct("at", "size", "hash", "gram")).alias("met"))
+    # Another text may have the same hash: what met is verified against each text's own words.
+    real = F.expr("filter(coalesce(met, array()), m -> array_join(slice(words, m.at + 1, m.size), ' ') = m.gram)")
+    held = rows.join(of_text, F.col("text_key") == F.col("of_key"), "left").select("row", "doc_id", "text_key", n.alias("n_words"), real.alias("met"))
+    found = F.expr("array_sort(array_distinct(transform(met, m -> named_struct('at', m.at, 'end', m.at + m.size))))")
+    return held.select("row", "doc_id", "text_key", "n_words", found.alias("found"), F.expr("array_distinct(transform(met, m -> named_struct('hash', m.hash, 'gram', m.gram)))").alias("grams"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` in which no window of an item occurs, with its columns; an id goes if any of its rows is hit."""
-    found = find_contamination(docs, benchmark, id_col, text_col).where("n_hit > 0")
-    return without_ids(docs, stored(found.select(F.col("doc_id").alias("gone_id")).distinct(), "contaminated"), id_col)
+    with passing(docs.sparkSession) as keep:
+        found = find_contamination(docs, benchmark, id_col, text_col).where("n_hit > 0")
+        gone = keep(stored(found.select(F.col("doc_id").alias("gone_id")).distinct(), "contaminated"))
+    return without_ids(docs, gone, id_col)
 
 
 def cut_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,12 +161,15 @@ def cut_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
 
     A text that is all hits becomes what stands before its first word.
     """
-    found = find_contamination(docs, benchmark, id_col, text_col).where("n_hit > 0")
-    hit = stored(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans")), "spans").dropDuplicates(["__id", "__key"])
-    met = docs.join(hit, docs[id_col].eqNullSafe(hit["__id"]) & (F.xxhash64(docs[text_col]) == hit["__key"]), "left")
-    met = met.withColumns({"__words": F.regexp_extract_all(F.col(text_col), F.lit(WORD_AS_WRITTEN), F.lit(0)), "__signs": F.split(F.col(text_col), WORD_AS_WRITTEN, -1)})
-    kept = F.expr("transform(__words, (w, i) -> if(exists(__spans, s -> i >= s.at and i < s.end), '', concat(w, __signs[i + 1])))")
-    cut = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.concat(F.expr("__signs[0]"), F.array_join(kept, "")))
+    w, g, p = (unused(docs, name) for name in ("words_", "signs_", "spans_"))
+    with passing(docs.sparkSession) as keep:
+        found = find_contamination(docs, benchmark, id_col, text_col).where("n_hit > 0")
+        hit = keep(stored(found.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), F.col("spans").alias(p)), "spans"))
+    hit = hit.dropDuplicates(["hit_id", "hit_key"])
+    met = docs.join(hit, docs[id_col].eqNullSafe(hit["hit_id"]) & (F.xxhash64(docs[text_col]) == hit["hit_key"]), "left")
+    met = met.withColumns({w: F.regexp_extract_all(docs[text_col], F.lit(WORD_AS_WRITTEN), F.lit(0)), g: F.split(docs[text_col], WORD_AS_WRITTEN, -1)})
+    kept = F.expr(f"transform(`{w}`, (w, i) -> if(exists(`{p}`, s -> i >= s.at and i < s.end), '', concat(w, `{g}`[i + 1])))")
+    cut = F.when(F.col(p).isNull(), docs[text_col]).otherwise(F.concat(F.get(F.col(g), F.lit(0)), F.array_join(kept, "")))
     return met.select(*[cut.alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
