@@ -3,10 +3,11 @@
 Both levels are linear support vector machines over hashed byte n-grams. Families of
 several languages are settled among them one against one, by votes and then margins.
 
-Learning takes rows with a language whose id isn't held out, LEARN_ROWS a language at
-most: of each language the rows whose hashed text falls under a threshold that its count
-gives, so a language with a third of all rows costs no more than another. Everything
-else reads every text in whole.
+Learning takes rows with a language whose id isn't held out, LEARN_ROWS different texts a
+language at most: those whose hash falls under a threshold that the language's count of
+different texts gives. A language with a third of all rows costs no more than another, and a
+text with many copies counts once. Features are taken on the executors, so the driver gets
+24 KB a row at most, however long the texts. Everything else reads every text in whole.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, release_memory, small_batches
 
-#: Rows a language is learned from, at most.
-LEARN_ROWS = 1_000
+#: Rows a language is learned from, at most, and all of them; languages, the most frequent ones.
+LEARN_ROWS, LEARN_ALL, LANGUAGES = 1_000, 20_000, 200
 #: Buckets of hashed n-grams.
 DIM = 4_096
 #: Families of languages (ISO 639-1). Another code is a family of its own.
@@ -141,19 +142,42 @@ class Model:
         return list(names), 1 / (1 + np.exp(-3 * np.clip(sure, -10, 10)))
 
 
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, h, places, values) of (lang, h, text): the features that aren't zero."""
+    for whole in batches:
+        for at in range(0, len(whole), 256):
+            batch = whole.slice(at, 256)
+            x = features(batch.column(2))
+            rows = [np.flatnonzero(r) for r in x]
+            places = pa.array([r.astype(np.uint16).tobytes() for r in rows], pa.binary())
+            values = pa.array([v[r].tobytes() for v, r in zip(x, rows, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), places, values], ["lang", "h", "places", "values"])
+
+
 def learn(docs: DataFrame, rows: int = LEARN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """None where no row has a language. Held-out rows, null texts and null languages aren't read."""
-    known = docs.select(docs[lang_col].alias("lang"), docs[text_col].alias("text"), docs[id_col].alias("doc_id"))
-    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
-    if not counts:
-        return None
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.2 * rows / n))])
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
-    some = known.where(drawn).select("lang", F.xxhash64("text").alias("h"), "text").orderBy("h", "lang", "text").limit(2 * rows * len(counts)).toArrow()
-    if not some.num_rows:
+    """None where no row has a language. Held-out rows, null texts and null languages aren't read.
+
+    Of each language at most `rows` texts are drawn, and of all at most LEARN_ALL; beyond
+    LANGUAGES different values of `lang` the rarest ones aren't learnt.
+    """
+    known = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"), docs[id_col].alias("doc_id"))
+    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text").alias("h"))
+    counted = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not counted:
         return None
-    return Model(np.concatenate([features(c) for c in some["text"].chunks]), some["lang"].to_pylist())
+    rows = min(rows, LEARN_ALL // len(counted))
+    share = F.create_map(*[F.lit(v) for r in counted for v in (r["lang"], min(1.0, 1.2 * rows / max(1, r["n"])))])
+    drawn = known.where(F.pmod(F.col("h"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    # Copies of a text become one before they are moved; what is left of a language is about 1.2 * rows.
+    once = drawn.groupBy("lang", "h").agg(F.any_value("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    few = once.withColumn("place", place).where(F.col("place") <= rows).select("lang", "h", "text")
+    some = small_batches(few).mapInArrow(_sparse, "lang string, h long, places binary, values binary").collect()
+    some.sort(key=lambda r: (r["h"], r["lang"]))
+    x = np.zeros((len(some), DIM), np.float32)
+    for i, r in enumerate(some):
+        x[i, np.frombuffer(r["places"], np.uint16)] = np.frombuffer(r["values"], np.float32)
+    return Model(x, [r["lang"] for r in some])
 
 
 def has_letter(text: bytes) -> bool:
@@ -189,20 +213,22 @@ def predict_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_i
 
 
 def drop_unknown(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose text has a language, with its columns, in one pass over them."""
+    """The rows of `docs` whose text has a language, with its columns, in one pass over them.
+
+    Null texts and texts without a letter go. Where there was nothing to learn from, the
+    others stay.
+    """
     if model is None:
         model = learn(docs, id_col=id_col, text_col=text_col)
-    if model is None:
-        return docs
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(at).cast(pa.large_binary())
-            keep = []
+            raw, keep = batch.column(at).cast(pa.large_binary()), []
             for k in range(0, len(batch), 512):
-                names, _ = model.predict(features(raw.slice(k, 512)))
-                keep += [t is not None and has_letter(t) and name != UNKNOWN for t, name in zip(raw.slice(k, 512).to_pylist(), names, strict=True)]
+                some = raw.slice(k, 512)
+                names = model.predict(features(some))[0] if model else [""] * len(some)
+                keep += [t is not None and has_letter(t) and name != UNKNOWN for t, name in zip(some.to_pylist(), names, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
         release_memory()
 
