@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paceline.llm import bpe, decontamination, exact_dedup, language_id, near_dedup
-from paceline.llm.common import stored, table
+from paceline.llm.common import passing, removed, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is null or has no letter go."""
+    """Documents whose text is null or has no letter go; no document needs a `lang`."""
     return language_id.drop_unknown(docs)
 
 
@@ -45,7 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage over what the others keep. A stage's table goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with passing(spark) as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if before:
+            removed(spark, before)
+        before = docs.stored_at
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
-import sys
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -26,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, small_batches
+from .common import release_memory, small_batches, worker_cache
 
 #: Repeated words whose ids a worker remembers, and token pairs; new words, a third of it.
-REMEMBER = 300_000
+REMEMBER = 100_000
 #: Characters of a text that are cut into words in one go.
 PIECE = 1 << 22
 
@@ -230,7 +229,7 @@ class Encoder:
 
 def worker_encoder(path: str) -> Encoder:
     """The encoder of this Python process: what one task remembers serves the next."""
-    kept = sys.__dict__.setdefault("_paceline_encoders", {})
+    kept = worker_cache().setdefault("encoders", {})
     if path not in kept:
         kept[path] = Encoder(Vocabulary(path))
     return kept[path]
