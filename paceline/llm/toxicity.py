@@ -2,11 +2,14 @@
 zstandard dictionary of toxic text or with one of ordinary text?
 
 Both dictionaries are raw content of one length and have the same first part, trained by
-zstandard on ordinary text. The toxic one goes on with the
-windows of toxic rows that are significantly more frequent there than in ordinary rows,
-joined as they are, or with a dictionary trained on them where they are over OWN_BYTES;
-the ordinary one with one trained on further ordinary windows. So ordinary windows
-compress alike with both, and the difference in bytes marks toxic ones.
+zstandard on ordinary text. The ordinary one goes on with one trained on further ordinary
+windows; the toxic one with one trained on those windows of toxic rows that begin with a
+telling stem, and with these stems. So ordinary windows compress alike with both, and the
+difference in bytes marks toxic ones.
+
+A stem is the beginning of a word, or the word, that significantly more toxic than ordinary
+rows hold; of stems that go on from each other, the most telling. Which deviation is
+significant, and how many bytes are trained on, is decided on held-back rows.
 
 A window is a word between two spaces, followed by a carrier that both dictionaries end
 with: zstandard looks for no match in the last bytes of its input, and stores tiny inputs
@@ -14,7 +17,7 @@ as they are, so without the carrier short words would not compress at all.
 
 A text's score is a logistic function of how many windows differ by 1, 2, ... bytes at
 least, as numbers and as shares. Its weights and the windows' thresholds are calibrated
-on each quarter of the labelled sample, by dictionaries made from the others.
+on each of FOLDS parts of the labelled sample, by dictionaries made from the others.
 """
 
 from __future__ import annotations
@@ -33,8 +36,9 @@ from .common import held_out, release_memory, small_batches
 
 #: Labelled toxic rows that are learned from at most; ordinary ones, twice as many.
 LEARN_ROWS = 1_500
-#: Bytes of the shared part of the dictionaries and at most of each class's own.
-SHARED_BYTES, OWN_BYTES = 24_000, 8_000
+#: Bytes of the shared part of the dictionaries, and of what the toxic one is trained on (of
+#: these the number is taken that does best on held-back parts; stems come on top).
+SHARED_BYTES, OWN_BYTES, STEM_BYTES = 24_000, (0, 6_000), 4_000
 LEVEL = 3
 #: What calling an ordinary text toxic costs, in misses.
 FALSE_ALARM = 4
@@ -42,10 +46,12 @@ FALSE_ALARM = 4
 FOLDS = 4
 #: Differences in bytes that are counted.
 THRESHOLDS = (1, 2, 3, 4, 5, 6)
-#: Deviations by which a window's share of toxic rows must exceed its share of ordinary rows:
-#: of these the one is taken that does best on held-back parts. A window in n toxic and no
-#: ordinary rows has the square root of 2 n, so the least lets LEAST_ROWS decide.
-SIGNIFICANT, LEAST_ROWS = (2.4, 3.5, 5.0, 6.0, 8.0, 11.0), 3
+#: Deviations by which a stem's share of toxic rows must exceed its share of ordinary rows: of
+#: these the one is taken that does best on held-back parts. A stem in n toxic and no ordinary
+#: rows has the square root of 2 n. Fewer than LEAST_ROWS toxic rows never decide.
+SIGNIFICANT, LEAST_ROWS = (2.4, 5.0, 8.0), 3
+#: Letters of a word's beginning that may be a stem; a whole word of any length may be one.
+STEM = range(4, 13)
 #: Words whose differences a worker remembers.
 REMEMBER = 150_000
 CARRIER = b" " + bytes(range(1, 17))
@@ -105,30 +111,57 @@ class Dictionaries:
         return np.array([seen[w] for w in words], np.int64)
 
 
-def make_dictionaries(toxic: list[list[str]], ordinary: list[list[str]], significant: float) -> Dictionaries:
-    """From the words of toxic and of ordinary rows."""
-    rows = [Counter(w for words in side for w in set(words)) for side in (toxic, ordinary)]
-    n1, n0 = max(1, len(toxic)), max(1, len(ordinary))
+def beginnings(word: str) -> list[str]:
+    return [word[:k] for k in STEM if k < len(word)] + [word]
+
+
+class Evidence:
+    """In how many toxic and ordinary rows of each fold stems occur."""
 
-    def deviations(w: str) -> float:
-        a, b = rows[0][w], rows[1][w]
+    def __init__(self, rows: list[tuple[list[str], int]]):
+        toxic = Counter(p for words, t in rows if t for p in {p for w in set(words) for p in beginnings(w)})
+        self.stems = sorted(p for p, n in toxic.items() if n >= LEAST_ROWS)
+        self.place = {p: i for i, p in enumerate(self.stems)}
+        self.counts, self.rows = np.zeros((len(self.stems), 2, FOLDS)), np.zeros((2, FOLDS))
+        for i, (words, t) in enumerate(rows):
+            self.rows[t, i % FOLDS] += 1
+            held = {self.place[p] for w in set(words) for p in beginnings(w) if p in self.place}
+            self.counts[list(held), t, i % FOLDS] += 1
+
+    def telling(self, significant: float, without: int | None = None) -> list[str]:
+        """Stems by how telling they are, the most telling last; rows of fold `without` don't count."""
+        folds = [f for f in range(FOLDS) if f != without]
+        (b, a), (n0, n1) = self.counts[:, :, folds].sum(axis=2).T, np.maximum(1, self.rows[:, folds].sum(axis=1))
         p = (a + b) / (n1 + n0)
-        return (a / n1 - b / n0) / (p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12) ** 0.5
-
-    marked = [w for w, n in rows[0].items() if n >= LEAST_ROWS and deviations(w) >= significant]
-    # The most telling come last, where a match costs least.
-    marked.sort(key=lambda w: (deviations(w), w))
-    plain = [(" " + " ".join(words[i : i + 8]) + " ").encode("utf-8", "replace") for words in ordinary for i in range(0, len(words), 8)]
-    np.random.default_rng(2).shuffle(plain)
-    half = len(plain) // 2
-    own = b"".join(b" " + w.encode("utf-8", "replace") + b" " for w in marked)
-    if len(own) > OWN_BYTES:
-        chosen = set(marked)
-        own = _trained(OWN_BYTES, [b" " + w.encode("utf-8", "replace") + b" " for words in toxic for w in words if w in chosen])
-    other = _trained(len(own), plain[half : half + 40_000])
-    other = other[-len(own) :] if own else b""
-    shared = _trained(SHARED_BYTES, plain[: min(half, 40_000)])
-    return Dictionaries(shared + own + CARRIER, shared + other + CARRIER)
+        z = (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+        good = {self.stems[i]: float(z[i]) for i in np.flatnonzero((z >= significant) & (a >= LEAST_ROWS))}
+        longer: dict[str, float] = {}  # how telling the best longer stem is
+        for stem, v in good.items():
+            for k in range(1, len(stem)):
+                longer[stem[:k]] = max(longer.get(stem[:k], 0.0), v)
+        best = [(v, s) for s, v in good.items() if v > longer.get(s, 0.0) and v >= max((good.get(s[:k], 0.0) for k in range(1, len(s))), default=0.0)]
+        return [s for _, s in sorted(best)]
+
+
+class Ordinary:
+    """What dictionaries take from ordinary rows: the shared part, and windows for the ordinary one's own."""
+
+    def __init__(self, rows: list[list[str]]):
+        plain = [(" " + " ".join(words[i : i + 8]) + " ").encode("utf-8", "replace") for words in rows for i in range(0, len(words), 8)]
+        np.random.default_rng(2).shuffle(plain)
+        half = len(plain) // 2
+        self.shared, self.rest = _trained(SHARED_BYTES, plain[: min(half, 40_000)]), plain[half : half + 40_000]
+
+
+def make_dictionaries(toxic: list[list[str]], ordinary: Ordinary, stems: list[str], own_bytes: int) -> Dictionaries:
+    """From the words of toxic rows, what ordinary rows gave, and the telling stems."""
+    own, begins = b"", tuple(stems)
+    if own_bytes and stems:
+        windows_ = [b" " + w.encode("utf-8", "replace") + b" " for words in toxic for w in words if w.startswith(begins)]
+        own = _trained(own_bytes, windows_)[-own_bytes:]
+    own += b"".join(b" " + s.encode("utf-8", "replace") + b" " for s in stems)[-STEM_BYTES:]
+    other = _trained(max(256, len(own)), ordinary.rest)[-len(own) :] if own else b""
+    return Dictionaries(ordinary.shared + own + CARRIER, ordinary.shared + other + CARRIER)
 
 
 def counts(differences: np.ndarray) -> np.ndarray:
@@ -142,19 +175,23 @@ class Model:
     """Dictionaries and the logistic function of a text's counts."""
 
     def __init__(self, rows: list[tuple[list[str], int]]):
-        sides = lambda some: ([w for w, t in some if t], [w for w, t in some if not t])
+        sides = lambda some: ([w for w, t in some if t], Ordinary([w for w, t in some if not t]))
+        evidence, tried = Evidence(rows), [(z, n) for z in SIGNIFICANT for n in OWN_BYTES]
+        x = {at: [] for at in tried}
+        for fold in range(FOLDS):
+            toxic, ordinary = sides([row for i, row in enumerate(rows) if i % FOLDS != fold])
+            for z, n in tried:
+                part = make_dictionaries(toxic, ordinary, evidence.telling(z, without=fold), n)
+                x[z, n] += [counts(part.differences(w)) for w, _ in rows[fold::FOLDS]]
+        y = np.array([t for fold in range(FOLDS) for _, t in rows[fold::FOLDS]], float)
         best = None
-        for significant in SIGNIFICANT:
-            x, y = [], []
-            for fold in range(FOLDS):
-                part = make_dictionaries(*sides([row for i, row in enumerate(rows) if i % FOLDS != fold]), significant)
-                x += [counts(part.differences(w)) for w, _ in rows[fold::FOLDS]]
-                y += [t for _, t in rows[fold::FOLDS]]
-            cost = self._fit(np.array(x), np.array(y, float))
+        for at in tried:
+            cost = self._fit(np.array(x[at]), y)
             if best is None or cost <= best[0]:
-                best = (cost, significant, self.mean, self.sd, self.w)
-        _, self.significant, self.mean, self.sd, self.w = best
-        self.dictionaries = make_dictionaries(*sides(rows), self.significant)
+                best = (cost, at, self.mean, self.sd, self.w)
+        _, self.chosen, self.mean, self.sd, self.w = best
+        toxic, ordinary = sides(rows)
+        self.dictionaries = make_dictionaries(toxic, ordinary, evidence.telling(self.chosen[0]), self.chosen[1])
 
     def _fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> float:
         """Newton steps for a logistic regression, each label weighing as it occurs; then the offset
