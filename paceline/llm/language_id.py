@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import held_out, release_memory, small_batches
 
 #: Rows a language is learned from, at most, and all of them; languages, the most frequent ones.
-LEARN_ROWS, LEARN_ALL, LANGUAGES = 1_000, 20_000, 200
+LEARN_ROWS, LEARN_ALL, LANGUAGES = 600, 12_000, 200
 #: Buckets of hashed n-grams.
 DIM = 4_096
 #: Families of languages (ISO 639-1). Another code is a family of its own.
@@ -79,11 +79,12 @@ def features(texts: pa.Array) -> np.ndarray:
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and offset of a linear machine with squared hinge loss, y being -1 or 1.
+    """Weights and offset of a linear machine with squared hinge loss, y being -1 or 1, or 0 for rows that don't count.
 
-    The classes weigh alike. Accelerated gradient steps from zero, so runs repeat.
+    The classes weigh alike. Accelerated gradient steps from zero, so runs repeat. The rows
+    aren't copied, as the driver holds them.
     """
-    n = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    n = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), np.where(y < 0, 0.5 / max(1, (y < 0).sum()), 0)).astype(np.float32)
     w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
     pw, pb, rate = w, b, 1 / (1 / c + 4)
     for t in range(steps):
@@ -106,8 +107,7 @@ class Model:
         jobs = [("", a, b, fam == a, fam == b) for i, a in enumerate(self.families) for b in self.families[i + 1 :]]
         jobs += [(f, a, b, own == a, own == b) for f in self.families for i, a in enumerate(self.langs[f]) for b in self.langs[f][i + 1 :]]
         for f, a, b, is_a, is_b in jobs:
-            some = is_a | is_b
-            w, off = train_svm(x[some], np.where(is_a[some], 1, -1).astype(np.float32))
+            w, off = train_svm(x, is_a.astype(np.float32) - is_b.astype(np.float32))
             self.columns.append((f, a, b))
             weights.append(w)
             offsets.append(off)
@@ -172,12 +172,16 @@ def learn(docs: DataFrame, rows: int = LEARN_ROWS, id_col: str = "doc_id", text_
     once = drawn.groupBy("lang", "h").agg(F.any_value("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     few = once.withColumn("place", place).where(F.col("place") <= rows).select("lang", "h", "text")
-    some = small_batches(few).mapInArrow(_sparse, "lang string, h long, places binary, values binary").collect()
-    some.sort(key=lambda r: (r["h"], r["lang"]))
-    x = np.zeros((len(some), DIM), np.float32)
-    for i, r in enumerate(some):
-        x[i, np.frombuffer(r["places"], np.uint16)] = np.frombuffer(r["values"], np.float32)
-    return Model(x, [r["lang"] for r in some])
+    some = small_batches(few).mapInArrow(_sparse, "lang string, h long, places binary, values binary").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
+    x = np.zeros((some.num_rows, DIM), np.float32)
+    for i, (places, values) in enumerate(zip(some["places"], some["values"], strict=True)):
+        x[i, np.frombuffer(places.as_buffer(), np.uint16)] = np.frombuffer(values.as_buffer(), np.float32)
+    langs = some["lang"].to_pylist()
+    del some
+    model = Model(x, langs)
+    del x
+    release_memory()
+    return model
 
 
 def has_letter(text: bytes) -> bool:
