@@ -38,10 +38,10 @@ def safe_name(text: str) -> str:
 
 
 def letters(spark: SparkSession, root: str, names: list[str], start_offset: int | None = None, start_time: int | None = None) -> DataFrame:
-    """Decoded letters of the topics, with `topic` and `offset`."""
+    """Decoded letters of the topics, with `topic`, `partition` and `offset`."""
     out = None
     for name in names:
-        one = topics.read_batch(spark, root, name, start_offset, start_time).select("topic", "offset", "value")
+        one = topics.read_batch(spark, root, name, start_offset, start_time).select(*topics.ORDER, "value")
         out = one if out is None else out.unionByName(one)
     return dlq.decode(out)
 
@@ -49,7 +49,7 @@ def letters(spark: SparkSession, root: str, names: list[str], start_offset: int
 def quality_report(found: DataFrame, now_ms: int) -> dict[str, list[dict]]:
     """All reports; each has a row a topic and class at most, so they fit the driver."""
     aged = quality.ages(found, F.lit(now_ms))
-    parts = {"scan": quality.scan_counters(found), "error_types": quality.error_types(found), "ages": aged, "triage": quality.triage(found), "warnings": quality.retention_warning(aged), "samples": quality.samples(found, "offset")}
+    parts = {"scan": quality.scan_counters(found), "error_types": quality.error_types(found), "ages": aged, "triage": quality.triage(found), "warnings": quality.retention_warning(aged), "samples": quality.samples(found, *topics.ORDER)}
     return {name: [r.asDict() for r in df.collect()] for name, df in parts.items()}
 
 
@@ -72,7 +72,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         now = args.now if args.now is not None else int(datetime.now(UTC).timestamp() * 1000)
         out = quality_report(found, now)
     else:
-        planned = quality.replay_plan(found, "offset", args.error_type, args.max_count, args.max_bytes)
+        planned = quality.replay_plan(found, topics.ORDER, args.error_type, args.max_count, args.max_bytes)
         out = {"report": [r.asDict() for r in quality.replay_report(planned).collect()], "replayed_to": topics.replay(planned, args.root, args.dry_run), "dry_run": args.dry_run}
     print(json.dumps(out, default=str))
     return out

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_by_id(events: DataFrame, order: str, id_col: str = "event_id") -> DataFrame:
+def first_by_id(events: DataFrame, order: str | Column, id_col: str = "event_id") -> DataFrame:
     """Of rows that share an id, the first in `order`; a null or empty id is nobody's copy.
 
-    Rows without an id get keys of their own, so they neither meet in one task nor
-    shadow each other.
+    One aggregate: a hot id leaves each task as one row, and no rows are sorted. Rows
+    without an id get keys of their own, so they neither meet in one task nor shadow
+    each other.
     """
     blank = F.coalesce(F.col(id_col).cast("string"), F.lit("")) == ""
-    keyed = events.withColumn("__blank", blank).withColumn("__salt", F.when(blank, F.xxhash64(order)))
-    rank = F.row_number().over(Window.partitionBy(id_col, "__salt").orderBy(order))
-    return keyed.withColumn("__n", rank).where("__n = 1 or __blank").drop("__n", "__blank", "__salt")
+    by = F.col(order) if isinstance(order, str) else order
+    keyed = events.select(F.when(blank, F.monotonically_increasing_id()).alias("alone"), F.col(id_col).alias("id"), F.struct(by.alias("by")).alias("by"), F.struct("*").alias("row"))
+    return keyed.groupBy("id", "alone").agg(F.min_by("row", "by").alias("row")).select("row.*")
 
 
 def unseen(events: DataFrame, seen: DataFrame, id_col: str = "event_id") -> DataFrame:

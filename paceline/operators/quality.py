@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,11 @@ def error_types(letters: DataFrame) -> DataFrame:
     return rolled.select(F.coalesce("topic", F.lit("ALL")).alias("topic"), "error_type", "n")
 
 
+def label_keys(*reports: DataFrame, key: str) -> DataFrame:
+    """The labels that any of several reports has, each once: the rows of a table that shows them side by side."""
+    return functools.reduce(DataFrame.unionByName, [r.select(key) for r in reports]).distinct()
+
+
 def ages(letters: DataFrame, now_ms: Column) -> DataFrame:
     of = letters.where("not corrupt")
     return of.groupBy("topic", dlq.age_bucket(F.col("timestamp"), now_ms).alias("bucket")).agg(F.count("*").alias("n"), F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"))
@@ -31,17 +39,17 @@ def triage(letters: DataFrame) -> DataFrame:
     return letters.where("not corrupt").groupBy("topic", dlq.fixability(F.col("error_type")).alias("fixability"), origin.alias("origin")).agg(F.count("*").alias("n"))
 
 
-def samples(letters: DataFrame, order: str, count: int = 3) -> DataFrame:
+def samples(letters: DataFrame, *order: str, count: int = 3) -> DataFrame:
     """The first `count` letters of each topic, error type and origin, without their payloads."""
     origin = F.when(F.coalesce("original_topic", F.lit("")) == "", "UNKNOWN_ORIGIN").otherwise(F.col("original_topic"))
-    of = letters.where("not corrupt").select("topic", F.coalesce("error_type", F.lit("NULL")).alias("error_type"), origin.alias("origin"), order)
-    rank = F.row_number().over(Window.partitionBy("topic", "error_type", "origin").orderBy(order))
+    of = letters.where("not corrupt").select("topic", F.coalesce("error_type", F.lit("NULL")).alias("error_type"), origin.alias("origin"), *[c for c in order if c != "topic"])
+    rank = F.row_number().over(Window.partitionBy("topic", "error_type", "origin").orderBy(*order))
     return of.withColumn("n", rank).where(F.col("n") <= count)
 
 
-def scan_counters(letters: DataFrame, max_count: int | None = None, order: str | None = None) -> DataFrame:
+def scan_counters(letters: DataFrame, max_count: int | None = None, order: Sequence[str] = ("topic", "partition", "offset")) -> DataFrame:
     """How many letters a scan saw and could not read; of the first `max_count` where one is given."""
-    of = letters.orderBy(order).limit(max_count) if max_count is not None else letters
+    of = letters.orderBy(*order).limit(max_count) if max_count is not None else letters
     return of.agg(F.count("*").alias("scanned"), F.count_if("corrupt").alias("corrupt"))
 
 
@@ -56,11 +64,11 @@ def depth(offsets: DataFrame) -> DataFrame:
     return of.withColumn("status", dlq.depth_status(F.col("depth")))
 
 
-def replay_plan(letters: DataFrame, order: str, error_type: str | None = None, max_count: int | None = None, max_bytes: int = MAX_REPLAY_BYTES) -> DataFrame:
+def replay_plan(letters: DataFrame, order: str | Sequence[str], error_type: str | None = None, max_count: int | None = None, max_bytes: int = MAX_REPLAY_BYTES) -> DataFrame:
     """`letters` with `outcome`: replayed, skipped_unrecoverable, skipped_oversized or filtered, the first rule that holds.
 
     With `max_count`, letters after that many processed ones (filtered ones don't count)
-    are left out.
+    are left out, also where several share a place in the `order` of columns.
     """
     valid = F.coalesce(F.col("original_topic").isin(*RAW_TOPICS, *CANONICAL_TOPICS), F.lit(False))
     size = F.octet_length("payload")
@@ -71,10 +79,12 @@ def replay_plan(letters: DataFrame, order: str, error_type: str | None = None, m
     planned = letters.withColumn("outcome", outcome).withColumn("null_key", (F.col("outcome") == "replayed") & F.col("original_key").isNull())
     if max_count is None:
         return planned
-    # The order of the last letter to be processed bounds the scan; no running count over all rows.
-    last = planned.where("outcome != 'filtered'").orderBy(order).limit(max_count).agg(F.max(order).alias("__last"), F.count("*").alias("__n"))
-    bounded = planned.crossJoin(F.broadcast(last))  # one row
-    return bounded.where((F.col("__n") < max_count) | (F.col(order) <= F.col("__last"))).drop("__last", "__n")
+    order = [order] if isinstance(order, str) else list(order)
+    # Exactly the first letters that are processed, and the filtered ones before the last of them.
+    first = planned.where("outcome != 'filtered'").orderBy(*order).limit(max_count)
+    last = first.agg(F.max(F.struct(*order)).alias("last"), F.count("*").alias("n"))  # one row
+    passed = planned.where("outcome = 'filtered'").crossJoin(F.broadcast(last)).where((F.col("n") < max_count) | (F.struct(*order) <= F.col("last")))
+    return first.unionByName(passed.select(*planned.columns))
 
 
 def replay_report(planned: DataFrame) -> DataFrame:

@@ -19,17 +19,24 @@ def is_late(event_time: Column, largest: Column, delay_ms: int = DELAY_MS, laten
     return F.coalesce(day_end + lateness_ms <= largest - delay_ms, F.lit(False))
 
 
+#: Arrivals a block has, and blocks a group of them.
+BLOCK, GROUP = 100_000, 10_000
+
+
 def late_by_arrival(events: DataFrame, order: str) -> DataFrame:
     """`events` with `late`, each judged against the largest event time that arrived before it.
 
-    The running maximum over all rows is made in two steps, so that no task sees them all:
-    a maximum a block of arrivals, then a window within each block.
+    The running maximum over all rows is made in three steps, so that no task sees them all:
+    within a block of BLOCK arrivals, over the blocks of a group, and over the groups, of
+    which there is one for each BLOCK * GROUP arrivals.
     """
-    spark_blocks = F.floor(F.col(order) / F.lit(100_000))
-    blocked = events.withColumn("__block", spark_blocks)
-    tops = blocked.groupBy("__block").agg(F.max("event_time").alias("__top"))
-    before = tops.withColumn("__before", F.max("__top").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))).drop("__top")
-    own = F.max("event_time").over(Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    met = blocked.withColumn("__own", own).join(before, "__block")
+    before = lambda of: of.rowsBetween(Window.unboundedPreceding, -1)
+    blocked = events.withColumn("__block", F.floor(F.col(order) / F.lit(BLOCK)))
+    blocks = blocked.groupBy("__block").agg(F.max("event_time").alias("__top")).withColumn("__group", F.floor(F.col("__block") / F.lit(GROUP)))
+    groups = blocks.groupBy("__group").agg(F.max("__top").alias("__most"))
+    groups = groups.select("__group", F.max("__most").over(before(Window.orderBy("__group"))).alias("__groups"))
+    tops = blocks.join(groups, "__group").withColumn("__blocks", F.max("__top").over(before(Window.partitionBy("__group").orderBy("__block"))))
+    own = F.max("event_time").over(before(Window.partitionBy("__block").orderBy(order)))
+    met = blocked.withColumn("__own", own).join(tops.select("__block", F.greatest("__groups", "__blocks").alias("__before")), "__block")
     largest = F.greatest("__own", "__before")  # null only where both are
     return met.withColumn("late", is_late(F.col("event_time"), largest)).drop("__block", "__own", "__before")
