@@ -1,7 +1,8 @@
 """Readers of the domains' delimited files and of planning documents, in batch and as streams.
 
-Every cell is read as text and typed by column expressions; a row that breaks a rule
-keeps its cells and says why in `error`, so nothing is lost and no file fails as a whole.
+Every cell is read as text, found by its file's own header, and typed by column expressions;
+a row that breaks a rule keeps its cells and says why in `error`, so nothing is lost and no
+file fails as a whole. Batches and streams share all of it.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from ..functions import coerce as C
 from ..functions import times
@@ -48,15 +50,50 @@ COLUMNS: dict[str, dict[str, tuple[str, bool]]] = {
 SOURCES = {"strength": "strong_csv", "cardio": "synthetic_cardio", "nutrition": "nutrition_csv", "recovery": "apple_health", "wellness": "synthetic_wellness", "planning": "synthetic_planning"}
 
 
-def read_cells(spark: SparkSession, path: str, domain: str) -> DataFrame:
-    """All *.csv files under a folder, or one file, by header name, each cell as text.
+#: Cells of a line that are read; files whose headers may be broadcast (some hundred bytes each).
+WIDTH, BROADCAST_HEADS = 64, 50_000
+#: Domains whose plans may also come as documents, and the suffixes of these.
+DOCUMENTS = ("planning",)
+_JSON, _YAML = "*.json", "*.{yaml,yml}"
+
+
+def _lines(reader: DataFrameReader | DataStreamReader, path: str, domain: str) -> DataFrame:
+    """(file, start, cells, doc): the lines of *.csv, header lines too, cells by place; `start` is where the file's part begins.
+
+    Plans may hold line breaks in quoted cells, so their files aren't split.
+    """
+    schema = ", ".join(f"c{i} STRING" for i in range(WIDTH))
+    read = reader.option("header", False).option("encoding", "UTF-8").option("escape", '"').option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).option("multiLine", domain in DOCUMENTS)
+    rows = read.schema(schema).csv(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.array(*rows.columns).alias("cells"), F.lit(None).cast("string").alias("doc"))
+
+
+def _documents(reader: DataFrameReader | DataStreamReader, path: str, glob: str) -> DataFrame:
+    rows = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.lit(None).cast("array<string>").alias("cells"), F.col("value").alias("doc"))
+
+
+def _names(domain: str) -> list[str]:
+    return list(COLUMNS[domain]) + (["start_date"] if domain == "cardio" else [])
+
+
+def cells_by_header(lines: DataFrame, domain: str) -> DataFrame:
+    """The domain's cells, and `file`, of the lines of any files: each file's first line names its columns, in any order.
 
-    Absent columns are null. Column order may differ from file to file.
+    Columns that a file lacks are null, further ones are left out.
     """
-    names = list(COLUMNS[domain]) + (["start_date"] if domain == "cardio" else [])
-    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"').option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
-    cells = reader.option("enforceSchema", False).csv(path)
-    return cells.select(*[F.col(n) if n in cells.columns else F.lit(None).cast("string").alias(n) for n in names])
+    counted = lines.where("cells is not null").withColumn("n", F.monotonically_increasing_id())
+    heads = counted.where("start = 0").groupBy(F.col("file").alias("of")).agg(F.min("n").alias("head"), F.min_by("cells", "n").alias("names")).persist()
+    if heads.count() <= BROADCAST_HEADS:  # then lines stay where they are, in their order
+        heads = F.broadcast(heads)
+    names = F.transform("names", lambda x: F.regexp_replace(x, "^\ufeff", ""))
+    body = counted.join(heads, F.col("file") == F.col("of")).where("n != head").withColumn("names", names)
+    return body.select(*[F.get(F.col("cells"), (F.array_position("names", n) - 1).cast("int")).alias(n) for n in _names(domain)], "file")
+
+
+def read_cells(spark: SparkSession, path: str, domain: str) -> DataFrame:
+    """All *.csv files under a folder, or one file, by each file's own header, each cell as text; with `file`."""
+    return cells_by_header(_lines(spark.read, path, domain), domain)
 
 
 def typed_rows(cells: DataFrame, domain: str) -> DataFrame:
@@ -71,19 +108,37 @@ def typed_rows(cells: DataFrame, domain: str) -> DataFrame:
             F.when(C.cell_int(F.col("planned_sessions_per_week")) <= 0, F.lit("planned_sessions_per_week must be > 0")),
             F.when(F.try_parse_json("weekly_volume_targets").isNull(), F.lit("weekly_volume_targets is not valid JSON")),
         ]
-    return cells.select(*[C.cell_value(n, kind).alias(n) for n, (kind, _) in columns.items()], F.coalesce(*errors).alias("error"))
+    kept = [C.cell_value(n, kind).alias(n) for n, (kind, _) in columns.items()] + ["file"] * ("file" in cells.columns)
+    return cells.select(*kept, F.coalesce(*errors).alias("error"))
 
 
 def read_rows(spark: SparkSession, path: str, domain: str) -> DataFrame:
     return typed_rows(read_cells(spark, path, domain), domain)
 
 
-def stream_rows(spark: SparkSession, path: str, domain: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A folder of *.csv as a stream of typed rows: each file once, its columns in the domain's order."""
-    reader = spark.readStream.option("header", True).option("escape", '"').option("pathGlobFilter", "*.csv").schema(", ".join(f"`{n}` STRING" for n in COLUMNS[domain]))
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return typed_rows(reader.csv(path), domain)
+def stream_lines(spark: SparkSession, path: str, domain: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The files of a folder as a stream, each file once and whole: what `rows_of` reads."""
+
+    def reader() -> DataStreamReader:
+        made = spark.readStream
+        return made.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else made
+
+    lines = _lines(reader(), path, domain)
+    if domain in DOCUMENTS:
+        for glob in (_JSON, _YAML):
+            lines = lines.unionByName(_documents(reader(), path, glob))
+    return lines
+
+
+def rows_of(lines: DataFrame, domain: str) -> DataFrame:
+    """Typed rows, with `file` and `error`, of lines and documents of whole files."""
+    rows = typed_rows(cells_by_header(lines, domain), domain)
+    if domain in DOCUMENTS:
+        docs = lines.where("doc is not null").select("file", "doc")
+        yaml = F.col("file").rlike(r"\.ya?ml$")
+        read = docs.where(~yaml).unionByName(docs.where(yaml).mapInPandas(_yaml_to_json, "file string, doc string"))
+        rows = rows.unionByName(typed_rows(plan_cells(read, "doc"), domain))
+    return rows
 
 
 def read_plans(spark: SparkSession, path: str) -> DataFrame:
@@ -91,16 +146,26 @@ def read_plans(spark: SparkSession, path: str) -> DataFrame:
 
     YAML is read by a vectorized function, file by file, as nothing built in reads it.
     """
-    whole = lambda glob: spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True)
-    docs = whole("*.json").unionByName(whole("*.{yaml,yml}").mapInPandas(_yaml_to_json, "value string"))
-    return typed_rows(plan_cells(docs), "planning").unionByName(read_rows(spark, path, "planning"))
+    lines = _lines(spark.read, path, "planning").unionByName(_documents(spark.read, path, _JSON)).unionByName(_documents(spark.read, path, _YAML))
+    return rows_of(lines, "planning")
+
+
+def rejected(rows: DataFrame) -> DataFrame:
+    """(file, error, cells): the rows that broke a rule, their typed cells as JSON."""
+    names = [c for c in rows.columns if c not in ("file", "error")]
+    return rows.where("error is not null").select("file", "error", F.to_json(F.struct(*names)).alias("cells"))
+
+
+def summaries(rows: DataFrame) -> DataFrame:
+    """(file, published, skipped): good rows and others of each file that has any."""
+    return rows.groupBy("file").agg(F.count_if(F.col("error").isNull()).alias("published"), F.count_if(F.col("error").isNotNull()).alias("skipped"))
 
 
 def plan_cells(docs: DataFrame, value: str = "value") -> DataFrame:
     """Cells of JSON documents, one object a row; a document that is none has only nulls."""
     j = C.Json()
     cells = {n: j.text(n) for n in COLUMNS["planning"]}
-    return j.read(docs, value).select(*[F.when(F.col("is_object"), c).alias(n) for n, c in cells.items()])
+    return j.read(docs, value).select(*[F.when(F.col("is_object"), c).alias(n) for n, c in cells.items()], *["file"] * ("file" in docs.columns))
 
 
 def _yaml_to_json(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,7 +178,7 @@ def _yaml_to_json(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return None
 
     for frame in frames:
-        yield pd.DataFrame({"value": [read(t) for t in frame["value"]]})
+        yield frame.assign(doc=[read(t) for t in frame["doc"]])
 
 
 def envelopes(rows: DataFrame, domain: str, ingest_ms: Column) -> DataFrame:
