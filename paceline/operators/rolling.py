@@ -20,6 +20,21 @@ def daily_load(events: DataFrame) -> DataFrame:
     return events.where(finite(F.col("session_load"))).groupBy("athlete_id", ms_to_date(F.col("event_time")).alias("day")).agg(F.sum("session_load").alias("daily_load"))
 
 
+def largest_of_day(rows: DataFrame) -> DataFrame:
+    """One row an athlete and day from several versions of it: the largest load, as a window that fires again only adds."""
+    return rows.groupBy("athlete_id", "day").agg(F.max("daily_load").alias("daily_load"))
+
+
+def recent_days(daily: DataFrame) -> DataFrame:
+    """The daily loads that each athlete's latest metrics row depends on.
+
+    That row stands LONG_DAYS - 1 days after the last training day; its windows and those of
+    the rows that decide its streak reach back STREAK - 1 days before it at most.
+    """
+    last = F.max("day").over(Window.partitionBy("athlete_id"))
+    return daily.withColumn("__last", last).where(F.datediff("__last", "day") < STREAK).drop("__last")
+
+
 def load_spine(daily: DataFrame, days: int = LONG_DAYS) -> DataFrame:
     """A row for each day whose window of `days` holds a training day, with that day's load or null.
 

@@ -44,17 +44,23 @@ def sport_exists(athletes: DataFrame, sport: str) -> bool:
     return not athletes.where(F.col("sport") == sport).limit(1).isEmpty()
 
 
+def athlete_exists(metrics: DataFrame, athlete_id: str) -> bool:
+    return not metrics.where(F.col("athlete_id") == athlete_id).limit(1).isEmpty()
+
+
 def athlete_list(metrics: DataFrame) -> DataFrame:
-    return metrics.select("athlete_id").distinct()
+    return metrics.select("athlete_id").distinct().orderBy("athlete_id")
 
 
 def athlete_directory(metrics: DataFrame, athletes: DataFrame) -> DataFrame:
-    """Every athlete with metrics; name and sport are null without a directory row."""
-    return _with_athletes(athlete_list(metrics), athletes, ("name", "sport"), "left")
+    """Every athlete with metrics, by sport and id; name and sport are null without a directory row, and come last."""
+    some = _with_athletes(metrics.select("athlete_id").distinct(), athletes, ("name", "sport"), "left")
+    return some.orderBy(F.asc_nulls_last("sport"), "athlete_id")
 
 
 def sports(athletes: DataFrame) -> DataFrame:
-    return athletes.groupBy("sport").agg(F.count("*").alias("athlete_count"))
+    """Sports and their athletes, the largest first."""
+    return athletes.groupBy("sport").agg(F.count("*").alias("athlete_count")).orderBy(F.desc("athlete_count"), "sport")
 
 
 def sport_facets(directory: DataFrame) -> DataFrame:
@@ -71,7 +77,7 @@ def athlete_search(directory: DataFrame, text: str, sport: str = "all", limit: i
 
 
 def metrics_range(metrics: DataFrame, athlete_id: str, start: Column, end: Column) -> DataFrame:
-    """One athlete's rows from start to end, both included; with the flags as a list."""
+    """One athlete's rows from start to end, both included; with the flags as a list. None where start is after end."""
     rows = metrics.where((F.col("athlete_id") == athlete_id) & F.col("metric_date").between(start, end))
     return rows.withColumn("coaching_flags", scores.flags_from_json(F.col("coaching_flags"))).orderBy("metric_date")
 
@@ -83,14 +89,14 @@ def densify(metrics: DataFrame, columns: list[str]) -> DataFrame:
     return days.join(metrics.select("athlete_id", "metric_date", *columns), ["athlete_id", "metric_date"], "left")
 
 
-def athlete_vs_sport(metrics: DataFrame, athletes: DataFrame, athlete_id: str, start: Column, end: Column) -> DataFrame:
-    """An athlete's days beside the mean of their sport."""
-    own = metrics.where((F.col("athlete_id") == athlete_id) & F.col("metric_date").between(start, end)).select("athlete_id", "metric_date", "acute_load")
-    sport = athletes.where(F.col("athlete_id") == athlete_id).select("sport")
-    peers = athletes.join(sport, "sport", "left_semi").select("athlete_id")
-    some = metrics.where(F.col("metric_date").between(start, end)).join(peers, "athlete_id", "left_semi")
-    mean = some.groupBy("metric_date").agg(F.avg("acute_load").alias("sport_acute_load"))
-    return own.join(mean, "metric_date", "left").select("athlete_id", "metric_date", "acute_load", "sport_acute_load")
+def athlete_vs_sport(metrics: DataFrame, athletes: DataFrame, chosen: str | DataFrame, start: Column, end: Column) -> DataFrame:
+    """An athlete's days, or those of each of several (a table of ids), beside the mean of their sport."""
+    one = athletes.where(F.col("athlete_id") == chosen) if isinstance(chosen, str) else athletes.join(chosen.select("athlete_id"), "athlete_id", "left_semi")
+    days = metrics.where(F.col("metric_date").between(start, end)).select("athlete_id", "metric_date", "acute_load")
+    peers = athletes.join(one.select("sport").distinct(), "sport", "left_semi").select("athlete_id", "sport")
+    mean = days.join(peers, "athlete_id").groupBy("sport", "metric_date").agg(F.avg("acute_load").alias("sport_acute_load"))
+    own = days.join(one.select("athlete_id", "sport"), "athlete_id") if not isinstance(chosen, str) else days.where(F.col("athlete_id") == chosen).join(one.select("athlete_id", "sport"), "athlete_id", "left")
+    return own.join(mean, ["sport", "metric_date"], "left").select("athlete_id", "metric_date", "acute_load", "sport_acute_load")
 
 
 def sport_ranking(summary: DataFrame, by: str, descending: bool = True) -> DataFrame:
@@ -98,6 +104,16 @@ def sport_ranking(summary: DataFrame, by: str, descending: bool = True) -> DataF
     return summary.orderBy(F.desc_nulls_last(by) if descending else F.asc_nulls_first(by), "sport")
 
 
+def danger_ranking(risks: DataFrame) -> DataFrame:
+    """Sports by their athletes in danger, most first; ties go by sport."""
+    return risks.orderBy(F.desc("danger"), "sport")
+
+
+def metric_ranking(summary: DataFrame, by: str) -> DataFrame:
+    """Sports by a metric, largest first, null counting as 0; ties go by sport."""
+    return summary.orderBy(F.desc(F.coalesce(F.col(by), F.lit(0.0))), "sport")
+
+
 def chart_domain(metrics: DataFrame, column: str = "acute_load", default: float = 200.0) -> DataFrame:
     """The chart's upper end: a tenth over the largest value, rounded up."""
     return metrics.agg(F.coalesce(F.ceil(F.max(column) * 1.1).cast("double"), F.lit(default)).alias("upper"))

@@ -50,6 +50,12 @@ def daily_load(spark, sf_dir):
     return rolling.daily_load(X.training_events(spark, sf_dir))
 
 
+@query("SELECT 'u' || user_id AS athlete_id, CAST(ts AS DATE) AS day, max(value) AS daily_load FROM events GROUP BY ALL")
+def largest_of_day(spark, sf_dir):
+    rows = X.table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("athlete_id"), F.col("ts").cast("date").alias("day"), F.col("value").alias("daily_load"))
+    return rolling.largest_of_day(rows)
+
+
 @query(f"WITH {X.TRAINING_SQL} SELECT athlete_id, count(*) FILTER (WHERE session_load IS NOT NULL AND NOT isnan(session_load)) AS kept, count(*) FILTER (WHERE session_load IS NULL OR isnan(session_load)) AS rejected FROM training GROUP BY athlete_id")
 def finite_guard(spark, sf_dir):
     ok = loads.finite(F.col("session_load"))
@@ -329,7 +335,7 @@ def late_events(spark, sf_dir):
 
 @query(f"WITH {X.METRICS_SQL} SELECT {_METRIC_COLUMNS} FROM metrics QUALIFY row_number() OVER (PARTITION BY athlete_id ORDER BY metric_date DESC) = 1")
 def latest_row(spark, sf_dir):
-    return serving.latest_metrics(X.metrics(spark, sf_dir))
+    return serving.latest_metrics(X.latest_metrics(spark, sf_dir))
 
 
 _LATEST = f"{X.METRICS_SQL}, {X.ATHLETES_SQL}, latest AS (SELECT * FROM metrics QUALIFY row_number() OVER (PARTITION BY athlete_id ORDER BY metric_date DESC) = 1)"
@@ -342,13 +348,13 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 @query(f"""WITH {_LATEST} SELECT sport, count(*) AS athlete_count, round(avg(acute_load), 6) AS avg_acute_load, round(avg(chronic_load_28d), 6) AS avg_chronic_load, round(avg(acute_chronic_ratio), 6) AS avg_acr,
   round(avg(fatigue_score), 6) AS avg_fatigue, round(avg(readiness_score), 6) AS avg_readiness FROM latest JOIN athletes USING (athlete_id) GROUP BY sport""")
 def by_sport(spark, sf_dir):
-    return _rounded(serving.by_sport(X.metrics(spark, sf_dir), X.athletes(spark, sf_dir)))
+    return _rounded(serving.by_sport(X.latest_metrics(spark, sf_dir), X.athletes(spark, sf_dir)))
 
 
 @query(f"""WITH {_LATEST} SELECT sport, count(*) FILTER (WHERE acute_chronic_ratio < 1.3) AS safe, count(*) FILTER (WHERE acute_chronic_ratio BETWEEN 1.3 AND 1.5) AS caution,
   count(*) FILTER (WHERE acute_chronic_ratio > 1.5) AS danger, count(*) FILTER (WHERE acute_chronic_ratio IS NULL) AS unknown FROM latest JOIN athletes USING (athlete_id) GROUP BY sport""")
 def risk_distribution(spark, sf_dir):
-    return serving.risk_distribution(X.metrics(spark, sf_dir), X.athletes(spark, sf_dir))
+    return serving.risk_distribution(X.latest_metrics(spark, sf_dir), X.athletes(spark, sf_dir))
 
 
 _RANGE = "DATE '1997-01-01' AND DATE '1997-03-31'"
@@ -397,12 +403,19 @@ def densify_series(spark, sf_dir):
     return serving.densify(X.metrics(spark, sf_dir), ["acute_load", "deload_flag"])
 
 
-@query(f"""WITH {X.METRICS_SQL}, {X.ATHLETES_SQL}, one AS (SELECT min(athlete_id) AS id FROM athletes WHERE sport IS NOT NULL),
-mean AS (SELECT metric_date, round(avg(acute_load), 6) AS sport_acute_load FROM metrics JOIN athletes USING (athlete_id) WHERE sport = (SELECT sport FROM athletes, one WHERE athlete_id = id) AND metric_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' GROUP BY metric_date)
-SELECT athlete_id, metric_date, acute_load, sport_acute_load FROM metrics LEFT JOIN mean USING (metric_date) WHERE athlete_id = (SELECT id FROM one) AND metric_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'""")
+_VS = "DATE '1996-01-01' AND DATE '1998-12-31'"
+
+
+# The SQL makes the metrics of the sport's athletes only, from the days that any window of the range holds.
+@query(f"""WITH {X.ORDER_DAYS_SQL}, {X.ATHLETES_SQL}, one AS (SELECT min(athlete_id) AS id FROM athletes WHERE sport IS NOT NULL),
+peers AS (SELECT athlete_id FROM athletes WHERE sport = (SELECT sport FROM athletes WHERE athlete_id = (SELECT id FROM one))),
+peer_days AS (SELECT * FROM order_days WHERE athlete_id IN (SELECT athlete_id FROM peers) AND day BETWEEN DATE '1995-11-01' AND DATE '1998-12-31'),
+{X.metrics_sql("peer_days")},
+mean AS (SELECT metric_date, round(avg(acute_load), 6) AS sport_acute_load FROM metrics WHERE metric_date BETWEEN {_VS} GROUP BY metric_date)
+SELECT athlete_id, metric_date, acute_load, sport_acute_load FROM metrics LEFT JOIN mean USING (metric_date) WHERE athlete_id = (SELECT id FROM one) AND metric_date BETWEEN {_VS}""")
 def athlete_vs_sport(spark, sf_dir):
     athletes = X.athletes(spark, sf_dir)
-    one = athletes.where("sport is not null").agg(F.min("athlete_id")).first()[0]
+    one = athletes.where("sport is not null").agg(F.min("athlete_id").alias("athlete_id"))
     return _rounded(serving.athlete_vs_sport(X.metrics(spark, sf_dir), athletes, one, _date("1996-01-01"), _date("1998-12-31")))
 
 
@@ -422,12 +435,34 @@ def severity_bands(spark, sf_dir):
 def sport_ranking(spark, sf_dir):
     from pyspark.sql import Window
 
-    summary = serving.by_sport(X.metrics(spark, sf_dir), X.athletes(spark, sf_dir)).where("sport is not null")
+    summary = serving.by_sport(X.latest_metrics(spark, sf_dir), X.athletes(spark, sf_dir)).where("sport is not null")
     # A row a sport, so one task may number them.
     place = F.row_number().over(Window.orderBy(F.desc_nulls_last("avg_acute_load"), "sport"))
     return _rounded(serving.sport_ranking(summary, "avg_acute_load").select("sport", "avg_acute_load", place.alias("place")))
 
 
+def _placed(ranked: DataFrame, *order) -> DataFrame:
+    from pyspark.sql import Window
+
+    return ranked.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # a row a sport
+
+
+@query(f"""WITH {_LATEST}, risks AS (SELECT sport, count(*) FILTER (WHERE acute_chronic_ratio > 1.5) AS danger FROM latest JOIN athletes USING (athlete_id) WHERE sport IS NOT NULL GROUP BY sport)
+SELECT sport, danger, CAST(row_number() OVER (ORDER BY danger DESC, sport) AS INTEGER) AS place FROM risks""")
+def risk_ranking(spark, sf_dir):
+    risks = serving.risk_distribution(X.latest_metrics(spark, sf_dir), X.athletes(spark, sf_dir)).where("sport is not null")
+    return _placed(serving.danger_ranking(risks).select("sport", "danger"), F.desc("danger"), "sport")
+
+
+@query(f"""WITH {_LATEST}, means AS (SELECT sport, round(avg(CASE WHEN sport <> 'building' THEN readiness_score END), 6) AS readiness FROM latest JOIN athletes USING (athlete_id) WHERE sport IS NOT NULL GROUP BY sport)
+SELECT sport, readiness, CAST(row_number() OVER (ORDER BY coalesce(readiness, 0) DESC, sport) AS INTEGER) AS place FROM means""")
+def metric_ranking(spark, sf_dir):
+    """A sport without the metric counts as 0: here, one sport's is left out."""
+    m = X.latest_metrics(spark, sf_dir)
+    summary = serving.by_sport(m, X.athletes(spark, sf_dir)).where("sport is not null").select("sport", F.when(F.col("sport") != "building", F.round("avg_readiness", 6)).alias("readiness"))
+    return _placed(serving.metric_ranking(summary, "readiness"), F.desc(F.coalesce("readiness", F.lit(0.0))), "sport")
+
+
 @query(f"WITH {X.METRICS_SQL} SELECT CAST(ceil(max(acute_load) * 1.1) AS DOUBLE) AS upper FROM metrics")
 def chart_domain(spark, sf_dir):
     return serving.chart_domain(X.metrics(spark, sf_dir))
@@ -463,6 +498,16 @@ def partial_upsert(spark, sf_dir):
     return merge.upsert_columns(table, wellness.recovery_scores(X.wellness_events(spark, sf_dir)), ["athlete_id", "metric_date"], ["recovery_score"])
 
 
+@query(f"""WITH {_ADHERENCE_SQL}, days AS (SELECT athlete_id, day AS metric_date, daily_load FROM order_days WHERE day BETWEEN DATE '1996-03-01' AND DATE '1996-06-30'),
+scores AS (SELECT athlete_id, metric_date, arg_max(adherence_score, block_id) AS adherence_score FROM adherence GROUP BY ALL)
+SELECT coalesce(d.athlete_id, s.athlete_id) AS athlete_id, coalesce(d.metric_date, s.metric_date) AS metric_date, d.daily_load, s.adherence_score FROM days d FULL JOIN scores s ON d.athlete_id = s.athlete_id AND d.metric_date = s.metric_date""")
+def adherence_upsert(spark, sf_dir):
+    """Adherence scores as a partial upsert into a table that has other columns."""
+    table = X.order_days(spark, sf_dir).where(F.col("day").between(_date("1996-03-01"), _date("1996-06-30"))).select("athlete_id", F.col("day").alias("metric_date"), "daily_load", F.lit(None).cast("double").alias("adherence_score"))
+    scored = adherence.adherence_scores(X.plans(spark, sf_dir), X.order_days(spark, sf_dir), _date("1996-06-30"))
+    return merge.upsert_columns(table, scored, ["athlete_id", "metric_date"], ["adherence_score"], arrival="block_id")
+
+
 @query(f"""WITH {X.EVENT_METRICS_SQL}, {X.WELLNESS_SQL} SELECT athlete_id, metric_date, acute_load, recovery_score FROM metrics JOIN recovery USING (athlete_id, metric_date)""")
 def training_by_wellness(spark, sf_dir):
     return X.event_metrics(spark, sf_dir).join(wellness.recovery_scores(X.wellness_events(spark, sf_dir)), ["athlete_id", "metric_date"]).select("athlete_id", "metric_date", "acute_load", "recovery_score")
@@ -538,14 +583,37 @@ def dlq_replay_plan(spark, sf_dir):
     return quality.replay_plan(_letters(spark, sf_dir), "offset", max_bytes=8).select("offset", "topic", "outcome", "null_key")
 
 
-@query(f"""WITH {_PLAN_SQL.format(other="true")}, numbered AS (SELECT *, count(*) FILTER (WHERE outcome <> 'filtered') OVER (ORDER BY "offset" ROWS UNBOUNDED PRECEDING) AS done FROM planned)
-SELECT topic, count(*) FILTER (WHERE outcome = 'replayed') AS replayed, count(*) FILTER (WHERE outcome = 'skipped_oversized') AS skipped_oversized, count(*) FILTER (WHERE outcome = 'skipped_unrecoverable') AS skipped_unrecoverable
-FROM numbered WHERE outcome <> 'filtered' AND done <= 500 GROUP BY topic""")
+_REPORT = """SELECT topic, count(*) FILTER (WHERE outcome = 'replayed') AS replayed, count(*) FILTER (WHERE outcome = 'skipped_oversized') AS skipped_oversized, count(*) FILTER (WHERE outcome = 'skipped_unrecoverable') AS skipped_unrecoverable"""
+
+
+@query(f"""WITH {_PLAN_SQL.format(other="true")} {_REPORT} FROM planned WHERE outcome <> 'filtered' GROUP BY topic""")
 def dlq_replay_report(spark, sf_dir):
-    """The replay of one error type, of 500 letters at most, as its options ask."""
+    """The replay of one error type, over all letters."""
+    return quality.replay_report(quality.replay_plan(_letters(spark, sf_dir), "offset", error_type="TRANSFORM_ERROR", max_bytes=8))
+
+
+@query(f"""WITH {_PLAN_SQL.format(other="true")}, numbered AS (SELECT *, count(*) FILTER (WHERE outcome <> 'filtered') OVER (ORDER BY "offset" ROWS UNBOUNDED PRECEDING) AS done FROM planned)
+{_REPORT} FROM numbered WHERE outcome <> 'filtered' AND done <= 500 GROUP BY topic""")
+def dlq_replay_first(spark, sf_dir):
+    """The replay's option to stop after so many letters: here 500."""
     return quality.replay_report(quality.replay_plan(_letters(spark, sf_dir), "offset", error_type="TRANSFORM_ERROR", max_count=500, max_bytes=8))
 
 
+# Offsets are the topics' own here, so that letters of three topics share each, and each is there three times.
+@query(f"""WITH {_PLAN_SQL.format(other="true")} SELECT least(400, count(*)) AS processed FROM planned WHERE outcome <> 'filtered'""")
+def dlq_replay_tied(spark, sf_dir):
+    letters = _letters(spark, sf_dir).withColumns({"offset": F.floor(F.col("offset") / 9), "partition": F.lit(0)})
+    planned = quality.replay_plan(letters, ("topic", "partition", "offset"), error_type="TRANSFORM_ERROR", max_count=400, max_bytes=8)
+    return planned.where("outcome != 'filtered'").agg(F.count("*").alias("processed"))
+
+
+@query(f"""WITH {X.LETTERS_SQL} SELECT DISTINCT coalesce(error_type, 'NULL') AS error_type FROM readable WHERE topic <> 'dlq.canonical.planning_block'""")
+def dlq_label_keys(spark, sf_dir):
+    letters = _letters(spark, sf_dir)
+    reports = [quality.error_types(letters.where(F.col("topic") == t)) for t in ("dlq.canonical.training_event", "dlq.canonical.wellness_event")]
+    return quality.label_keys(*reports, key="error_type")
+
+
 @query("""WITH p AS (SELECT 'dlq.' || l_returnflag AS topic, l_suppkey AS part, min(l_orderkey) AS a, max(l_orderkey) - 10 AS z FROM lineitem GROUP BY ALL)
 SELECT topic, CAST(sum(greatest(z - a, 0)) AS BIGINT) AS depth, CASE WHEN sum(greatest(z - a, 0)) <= 0 THEN 'ok' ELSE 'warning' END AS status FROM p GROUP BY topic""")
 def dlq_depth(spark, sf_dir):
@@ -561,20 +629,32 @@ def union_dlq(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("topic").agg(F.count("*").alias("n"))
 
 
-# ---- without SQL
+# ---- made-up rows, and ids
+
 
+_SPORT_ROWS = ", ".join(f"({i}, '{sport}', {load})" for i, (sport, load) in enumerate(demo.SPORTS.items()))
+_NOISE = lambda seed, text: f"CAST(('0x' || substr(md5('{seed}-' || {text}), 1, 8)) AS UBIGINT) / 4294967296.0"
 
-@query()
+
+@query(f"""WITH sports AS (SELECT i, sport, CAST(base AS DOUBLE) AS base FROM (VALUES {_SPORT_ROWS}) AS t(i, sport, base)),
+squad AS (SELECT 'demo-' || lpad(CAST(id AS VARCHAR), 5, '0') AS athlete_id, sport, base FROM range(0, (SELECT count(*) FROM customer)) AS r(id), sports WHERE i = id % {len(demo.SPORTS)}),
+days AS (SELECT *, CAST(1 AS DOUBLE) + 0.05 * CAST({_NOISE(7, "athlete_id || '-' || k")} AS DOUBLE) AS c, {_NOISE(8, "athlete_id || '-' || k")} AS a, {_NOISE(9, "athlete_id")} AS s FROM squad, range(0, 45) AS t(k))
+SELECT sport, count(*) AS n, round(avg(base * c * 7 * (1 + sin(k * 2 * 3.141592653589793 / 14) * 0.2 + CASE WHEN k >= 38 AND s < 0.25 THEN 0.35 ELSE 0 END + 0.1 * (a - 0.5))), 4) AS avg_acute_load FROM days GROUP BY sport""")
 def demo_squad(spark, sf_dir):
-    """A seeded squad of the size of the customer table, and its metrics by sport; random numbers have no SQL twin."""
+    """A made-up squad of the size of the customer table, and its metrics by sport."""
     n = X.table(spark, sf_dir, "customer").count()
     squad = demo.athletes(spark, n)
-    return demo.metrics(spark, squad, "2024-06-30").join(squad.select("athlete_id", "sport"), "athlete_id").groupBy("sport").agg(F.count("*").alias("n"), F.avg("acute_load").alias("avg_acute_load"))
+    return demo.metrics(spark, squad, "2024-06-30").join(squad.select("athlete_id", "sport"), "athlete_id").groupBy("sport").agg(F.count("*").alias("n"), F.round(F.avg("acute_load"), 4).alias("avg_acute_load"))
+
+
+_CELLS = """'"workout_id":"' || l_orderkey || '","exercise_id":"x","set_number":' || l_linenumber || ',"reps":' || CAST(l_quantity AS INTEGER) || ',"weight_kg":' || CAST(l_extendedprice AS VARCHAR)"""
 
 
-@query()
+@query(f"""WITH r AS (SELECT *, strftime(l_shipdate, '%Y-%m-%d') AS d FROM lineitem)
+SELECT CAST(l_suppkey AS VARCHAR) AS key, '{{{{"event_id":"' || sha256('{{{{"domain":"strength","athlete_id":"' || l_suppkey || '",' || {_CELLS} || ',"timestamp":"' || d || '"}}}}') || '","event_time":"' || d || 'T00:00:00","ingest_time":"2024-01-31T00:00:00","source":"strong_csv","athlete_id":"' || l_suppkey
+  || '","payload":{{{{' || {_CELLS} || ',"rpe":null,"rir":null,"timestamp":"' || d || '"}}}}}}}}' AS value FROM r""".replace("{{", "{").replace("}}", "}"))
 def envelope_ids(spark, sf_dir):
-    """Envelopes of strength rows: the same row always gets the same id; digests of JSON have no SQL twin."""
+    """Envelopes of strength rows: the same row always gets the same id, the digest of its JSON."""
     line = X.table(spark, sf_dir, "lineitem")
     rows = line.select(F.col("l_suppkey").cast("string").alias("athlete_id"), F.col("l_orderkey").cast("string").alias("workout_id"), F.lit("x").alias("exercise_id"), F.col("l_linenumber").alias("set_number"), F.col("l_quantity").cast("int").alias("reps"), F.col("l_extendedprice").alias("weight_kg"), F.lit(None).cast("double").alias("rpe"), F.lit(None).cast("double").alias("rir"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("timestamp"))
     return files.envelopes(rows, "strength", F.lit(X.NOW_MS))

@@ -73,6 +73,11 @@ def metrics(spark, sf_dir) -> DataFrame:
     return rolling.metrics_of_days(order_days(spark, sf_dir))
 
 
+def latest_metrics(spark, sf_dir) -> DataFrame:
+    """A metrics table whose latest row of each athlete is that of `metrics`, made from the days these depend on."""
+    return rolling.metrics_of_days(rolling.recent_days(order_days(spark, sf_dir)))
+
+
 def event_metrics(spark, sf_dir) -> DataFrame:
     return rolling.athlete_metrics(training_events(spark, sf_dir))
 

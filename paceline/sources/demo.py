@@ -1,8 +1,11 @@
-"""A made-up squad: athletes over sports, and metrics with a wave and a spike. Seeded, so runs repeat."""
+"""A made-up squad: athletes over sports, and metrics with a wave and a spike.
+
+The noise is a digest of athlete, day and seed, so that runs repeat wherever rows are computed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Sports and their base loads.
@@ -15,13 +18,18 @@ def athletes(spark: SparkSession, n: int = 1000) -> DataFrame:
     return spark.range(n).select(F.concat(F.lit("demo-"), number).alias("athlete_id"), F.concat(F.lit("Athlete "), number).alias("name"), F.element_at(sports, (F.col("id") % len(SPORTS) + 1).cast("int")).alias("sport"))
 
 
+def _noise(seed: int, *names: str) -> Column:
+    """A number from 0 to under 1 that depends on the seed and the columns only."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), *names)), 1, 8), 16, 10).cast("double") / 2**32
+
+
 def metrics(spark: SparkSession, squad: DataFrame, end: str, days: int = 45, seed: int = 7) -> DataFrame:
     base = F.element_at(F.create_map(*[F.lit(x) for pair in SPORTS.items() for x in pair]), F.col("sport")).cast("double")
     day = F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("k")
     rows = squad.select("athlete_id", "sport", day)
     wave = F.sin(F.col("k") * 2 * 3.141592653589793 / 14) * 0.2
-    spike = F.when(F.col("k") >= days - 7, 0.35 * (F.pmod(F.xxhash64("athlete_id"), F.lit(4)) == 0).cast("double")).otherwise(0.0)
-    chronic = base * (1 + 0.05 * F.rand(seed))
-    acute = chronic * 7 * (1 + wave + spike + 0.1 * (F.rand(seed + 1) - 0.5))
+    spike = F.when((F.col("k") >= days - 7) & (_noise(seed + 2, "athlete_id") < 0.25), 0.35).otherwise(0.0)
+    chronic = base * (1 + 0.05 * _noise(seed, "athlete_id", "k"))
+    acute = chronic * 7 * (1 + wave + spike + 0.1 * (_noise(seed + 1, "athlete_id", "k") - 0.5))
     out = rows.select("athlete_id", F.date_sub(F.lit(end).cast("date"), F.lit(days - 1) - F.col("k")).alias("metric_date"), acute.alias("acute_load"), chronic.alias("chronic_load_28d"))
     return out.withColumn("acute_chronic_ratio", F.col("acute_load") / F.col("chronic_load_28d") / 7)

@@ -66,3 +66,15 @@ def test_sliding_windows_agree_with_rolling_sums(spark):
     events = spark.createDataFrame(days, "athlete_id string, d date, session_load double").selectExpr("athlete_id", "cast(d as timestamp) as event_ts", "session_load")
     got = {r.metric_date: r.window_load for r in rolling.sliding_windows(events).collect()}
     assert got[START] == 0 and got[START + dt.timedelta(3)] == 3 and got[START + dt.timedelta(50)] == 50 and len(got) == 45 + 42
+
+
+def test_the_latest_rows_need_recent_days_only(spark):
+    import random
+
+    from paceline.operators import serving
+
+    rng, day = random.Random(3), dt.date(2026, 1, 1)
+    rows = {(a, day + dt.timedelta(rng.choice([rng.randrange(400), rng.randrange(60)]))): float(rng.randrange(1, 900)) for a in "abcdefgh" for _ in range(rng.randrange(1, 60))}
+    daily = spark.createDataFrame([(a, d, v) for (a, d), v in rows.items()], "athlete_id string, day date, daily_load double")
+    some = sorted(map(tuple, serving.latest_metrics(rolling.metrics_of_days(rolling.recent_days(daily))).collect()), key=str)
+    assert some == sorted(map(tuple, serving.latest_metrics(rolling.metrics_of_days(daily)).collect()), key=str) and len(some) == 8
