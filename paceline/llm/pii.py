@@ -1,12 +1,14 @@
 """Personal data: patterns, and a character-level bidirectional LSTM with CRF transitions.
 
 The network is trained in numpy, from labelled spans that `labelled_text` writes: made-up
-prose with addresses, numbers and look-alikes in many layouts. Texts are read in windows
-of WINDOW characters, half of which overlap the next. Each window is decoded by Viterbi;
-a span counts in the window whose core it starts in, and what goes on past that window's end
-in the next one as well; spans of a kind that touch or overlap are joined over the whole text. Every span that passes its check holds a digit, an
-@, (at) or [at]: decoded are the windows that hold one of these and, from there on, all
-that a span found reaches or touches. Other windows have no part in any span that passes.
+prose with addresses, numbers and look-alikes in many layouts. Its weights are kept beside
+this module, so that a session doesn't train first. Texts are read in windows of WINDOW
+characters, half of which overlap the next. Each window is decoded by Viterbi; a span counts
+in the window whose core it starts in, and what goes on past that window's end in the next
+one as well; spans of a kind that touch or overlap are joined over the whole text. Every
+span that passes its check holds a digit, an @, (at) or [at]: decoded are the windows that
+hold one of these and, from there on, all that a span found reaches or touches. Other
+windows have no part in any span that passes.
 
 The patterns' spans always stay. The network adds spans that overlap none of them and
 pass the exact check of their kind.
@@ -15,6 +17,7 @@ pass the exact check of their kind.
 from __future__ import annotations
 
 import functools
+import os
 import re
 from collections.abc import Iterable, Iterator
 
@@ -294,9 +297,20 @@ class Tagger:
         return tags
 
 
+#: What `python -m paceline.llm.pii` writes: the network as `Tagger().train()` leaves it (17 KB).
+WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
+
+
 @functools.lru_cache(maxsize=1)
 def trained_tagger() -> Tagger:
-    return Tagger().train()
+    """The network of WEIGHTS; where they aren't there, or of another shape, it is trained first."""
+    tagger = Tagger()
+    if os.path.exists(WEIGHTS):
+        with np.load(WEIGHTS) as kept:
+            if {k: v.shape for k, v in kept.items()} == {k: v.shape for k, v in tagger.p.items()}:
+                tagger.p = dict(kept.items())
+                return tagger
+    return tagger.train()
 
 
 # ---- windows and their reconciliation
@@ -428,3 +442,7 @@ def op10_pii(spark, sf_dir):
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+if __name__ == "__main__":
+    np.savez(WEIGHTS, **Tagger().train().p)
