@@ -1,6 +1,6 @@
 """The operators' queries and, where SQL can express them, their DuckDB SQL."""
 
-from . import bpe, decontamination, exact_dedup, html_text, language_id, licenses, near_dedup, pii, sharding, toxicity
+from . import bpe, decontamination, exact_dedup, html_text, language_id, licenses, near_dedup, pii, prefix_trie, sharding, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_html_text": html_text.op9_html_text,
     "op10_pii": pii.op10_pii,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op3_decontamination": decontamination.ORACLE,
     "op5_sharding": sharding.oracle(),
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
