@@ -13,8 +13,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and the small-star step until no edge changes; each round
     halves the height of the trees at least, and is written to the shared folder. The
-    minimum of a node's neighbours is summed before the shuffle; a hub's edges meet that
-    minimum in an equi-join that skew handling can split. No edges give no rows.
+    minima of the nodes' neighbours are written before they meet the edges: a join whose
+    sides are both read from tables is one that the skew rule can split at a hub, which a
+    join with an aggregate on its own key isn't. No edges give no rows.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -22,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
             around = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         else:
             around = pairs
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
+        least = stored(around.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m")), "least")
         met = around.join(least, around["u"] == least["x"])
         if large:
             out = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
