@@ -1,6 +1,6 @@
 """The operators' queries and, where SQL can express them, their DuckDB SQL."""
 
-from . import bpe, decontamination, exact_dedup, html_text, language_id, licenses, near_dedup, pii, prefix_trie, sharding, simhash, toxicity
+from . import bpe, decontamination, exact_dedup, html_text, language_id, licenses, near_dedup, pii, prefix_trie, sharding, simhash, toxicity, whitening
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_html_text": html_text.op9_html_text,
     "op10_pii": pii.op10_pii,
+    "op11_whitening": whitening.op11_whitening,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_simhash": simhash.op13_simhash,
 }
