@@ -6,7 +6,7 @@ this module, so that a session doesn't train first. Texts are read in windows of
 characters, half of which overlap the next. Each window is decoded by Viterbi; a span counts
 in the window whose core it starts in, and what goes on past that window's end in the next
 one as well; spans of a kind that touch or overlap are joined over the whole text. Every
-span that passes its check holds a digit, an @, (at) or [at]: decoded are the windows that
+span that passes its check holds a digit, an @, (at) or [at] in any case: decoded are the windows that
 hold one of these and, from there on, all that a span found reaches or touches. Other
 windows have no part in any span that passes.
 
@@ -34,7 +34,8 @@ HIDDEN, EMBED, STEPS, BATCH = 16, 10, 260, 48
 TAGS = 1 + 2 * len(KINDS)
 
 _LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# A match can only begin where a run of digits does: what follows the run is the same from any of its digits.
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -57,7 +58,7 @@ def digits_of(text: str) -> str:
 def _fits(kind: str, text: str) -> bool:
     digits = digits_of(text)
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in text.split(".")))
     if kind == "card":
         return 16 <= len(digits) <= 19 and luhn(digits)
     return 8 <= len(digits) <= 15
@@ -87,17 +88,35 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
-def _plausible(kind: str, text: str) -> bool:
-    """The exact check of a span that the network adds."""
+#: Fixed words: names of numbers that are laid out like telephone numbers but aren't any.
+OTHER_NUMBERS = ("isbn", "issn", "ean", "ssn", "vat", "iban", "order", "invoice", "ticket", "case", "ref", "reference", "serial", "part", "model", "account", "tracking", "id", "lot", "batch", "version", "doi", "patent")
+_NAMED = re.compile(rf"(?<![a-z])(?:{'|'.join(OTHER_NUMBERS)})(?:[ -]?1[03])?(?:\s(?:no|nr|number|code)\b)?[\s.:#=-]*$", re.IGNORECASE)
+_EMAIL_LIKE = re.compile(r"[\w.%+-]+\s?(?:@|\(at\)|\[at\])\s?[\w-]+(?:\s?(?:\.|\(dot\)|\[dot\])\s?[\w-]+)+", re.IGNORECASE)
+_IP_LIKE = re.compile(r"[0-9]{1,3}(?:\s?(?:\.|\[\.\])\s?[0-9]{1,3}){3}")
+_CARD_LIKE, _PHONE_LIKE = re.compile(r"[0-9][0-9 ./-]+[0-9]"), re.compile(r"\+?\(?[0-9][0-9 ()./-]+[0-9]")
+_GROUPS = re.compile(r"[0-9)][ ./-]+\(?[0-9]")
+#: Layouts of dates, United States social security numbers and ISBNs.
+_OTHER_LAYOUT = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}.*|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4}.*|97[89][ -]?[0-9](?:[ -]?[0-9]){9}|[0-9]{1,5}-[0-9]{1,7}-[0-9]{1,6}-[0-9]")
+#: Characters before a span that its check reads.
+BEFORE = 32
+
+
+def _plausible(kind: str, text: str, before: str = "") -> bool:
+    """The exact check of a span that the network adds; `before`: up to BEFORE characters that stand before it.
+
+    A telephone number without a plus sign needs the layout of one: separators between its groups, and
+    neither the layout nor the name of another number, such as an ISBN or an order number.
+    """
     digits = digits_of(text)
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.%+-]+\s?(?:@|\(at\)|\[at\])\s?[\w-]+(?:\s?(?:\.|\(dot\)|\[dot\])\s?[\w-]+)+", text))
+        return bool(_EMAIL_LIKE.fullmatch(text))
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]{1,3}(?:\s?(?:\.|\[\.\])\s?[0-9]{1,3}){3}", text)) and all(int(p) <= 255 for p in re.findall("[0-9]+", text))
+        return bool(_IP_LIKE.fullmatch(text)) and all(int(p) <= 255 for p in re.findall("[0-9]+", text))
     if kind == "card":
-        return bool(re.fullmatch(r"[0-9][0-9 ./-]+[0-9]", text)) and 16 <= len(digits) <= 19 and luhn(digits)
-    # A number without a plus sign needs the layout of one: separators between its groups.
-    return bool(re.fullmatch(r"\+?\(?[0-9][0-9 ()./-]+[0-9]", text)) and 9 <= len(digits) <= 15 and bool(re.search(r"[0-9)][ ./-]+\(?[0-9]", text))
+        return bool(_CARD_LIKE.fullmatch(text)) and 16 <= len(digits) <= 19 and luhn(digits)
+    if not (_PHONE_LIKE.fullmatch(text) and 9 <= len(digits) <= 15 and _GROUPS.search(text)):
+        return False
+    return text[0] == "+" or not (_OTHER_LAYOUT.fullmatch(text) or _NAMED.search(before))
 
 
 # ---- characters and labelled texts
@@ -317,7 +336,7 @@ def trained_tagger() -> Tagger:
 
 
 #: What a span must hold one of to pass its check.
-_SIGN = re.compile(r"[0-9@]|\(at\)|\[at\]")
+_SIGN = re.compile(r"[0-9@]|\(at\)|\[at\]", re.IGNORECASE)
 
 
 def _over(a: int, z: int, length: int) -> range:
@@ -404,7 +423,7 @@ def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], tagge
                 a += 1
             while a < z and not (text[z - 1].isalnum() or text[z - 1] in "_"):
                 z -= 1
-            if a < z and all(z <= x or a >= y for _, x, y in base) and _plausible(kind, text[a:z]):
+            if a < z and all(z <= x or a >= y for _, x, y in base) and _plausible(kind, text[a:z], text[max(0, a - BEFORE) : a]):
                 out[n].append((kind, a, z))
     return out
 

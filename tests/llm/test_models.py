@@ -187,7 +187,7 @@ def test_windows_left_out_have_no_part(tagger):
                 a += 1
             while a < z and not (text[z - 1].isalnum() or text[z - 1] in "_"):
                 z -= 1
-            every += [(kind, a, z)] if a < z and pii._plausible(kind, text[a:z]) else []
+            every += [(kind, a, z)] if a < z and pii._plausible(kind, text[a:z], text[max(0, a - pii.BEFORE) : a]) else []
         assert added == every
 
 
