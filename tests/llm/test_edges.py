@@ -56,8 +56,8 @@ def test_names_that_clash(spark, odd):
 
 
 def test_toxicity_beside_other_columns(spark, odd):
-    rows = [(["good", "plain", "text", "here"], 0)] * 8 + [(["vile", "nasty", "text", "here"], 1)] * 8
-    got = toxicity.score_toxicity(odd, toxicity.Model(rows)).collect()
+    rows = [(["good", "plain", "text", "here"], 0, True)] * 8 + [(["vile", "nasty", "text", "here"], 1, True)] * 8
+    got = toxicity.score_toxicity(odd, toxicity.fitted(rows)).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
 
 

@@ -1,6 +1,7 @@
 """Toxicity, language, personal data, main text and licenses: held-out accuracy and edge cases."""
 
 import html
+import os
 import random
 import re
 
@@ -52,7 +53,7 @@ def test_toxic_words_of_few_rows_are_learnt():
 
     learn, held = rows(8), rows(2)
     rng.shuffle(learn)
-    scores = toxicity.Model(learn).score([" ".join(w) for w, _ in held])
+    scores = toxicity.fitted([(w, t, i % 8 < 5) for i, (w, t) in enumerate(learn)]).score([" ".join(w) for w, _ in held])
     got = [(s >= 0.5) == y for s, (_, y) in zip(scores, held, strict=True)]
     assert np.mean(got[:120]) > 0.9 and np.mean(got[120:]) > 0.9
 
@@ -63,11 +64,53 @@ def test_toxicity_edge_cases(empty, clashing, spark):
     got = toxicity.score_toxicity(clashing, None).collect()
     assert len(got) == 5 and all(r.score == 0 and r.predicted == 0 for r in got)
     assert toxicity.score_toxicity(empty, None).count() == 0
-    rows = [(["good", "text"], 0)] * 6 + [(["vile", "text"], 1)] * 6
-    scores = toxicity.Model(rows).score([None, "", "vile " * 50_000, "\x00 é"])
+    rows = [(["good", "text"], 0, i < 4) for i in range(6)] + [(["vile", "text"], 1, i < 4) for i in range(6)]
+    with pytest.warns(UserWarning, match="raw dictionary"):
+        model = toxicity.fitted(rows)
+    scores = model.score([None, "", "vile " * 50_000, "\x00 é"])
     assert np.isfinite(scores).all() and scores[0] == scores[1]
 
 
+def test_executors_learn_what_rows_at_hand_give(spark):
+    rows = toxic_rows(random.Random(7), 300)
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    parts = {r.doc_id: r.train for r in docs.selectExpr("doc_id", f"pmod(xxhash64('part', doc_id), {toxicity.PARTS}) < {toxicity.TRAIN} as train").collect()}
+    here = toxicity.fitted(sorted((toxicity.windows(t), y, parts[i]) for i, t, y in rows if not toxicity_held(i)))
+    texts = [t for _, t, _ in rows]
+    for order in (docs, docs.orderBy("text").repartition(7), docs.orderBy("doc_id", ascending=False)):
+        assert np.allclose(toxicity.learn(order, labels).score(texts), here.score(texts))
+
+
+def test_scores_against_plain_compression(spark):
+    """Every window of every text compressed alone, counted by hand."""
+    rows = toxic_rows(random.Random(8), 200)
+    model = toxicity.fitted([(toxicity.windows(t), y, i % 8 < 5) for i, t, y in rows])
+    size = lambda window, content: len(toxicity.coder(content).compress(window))
+    for _, text, _ in rows[:6]:
+        x = []
+        for toxic, ordinary in model.dictionaries.pairs:
+            gains = [size(f" {w}".encode() + toxicity.CARRIER, ordinary) - size(f" {w}".encode() + toxicity.CARRIER, toxic) for w in re.findall(r"\w+", text.lower())]
+            hits = [sum(g >= t for g in gains) for t in toxicity.THRESHOLDS]
+            x += [np.log1p(h) for h in hits] + [np.log1p(200 * h / len(gains)) for h in hits] + [float(h > 0) for h in hits]
+        z = (np.array(x) - model.mean) / model.sd @ model.w[:-1] + model.w[-1]
+        assert np.allclose(model.score([text]), 1 / (1 + np.exp(-z)))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_held_out_recall_of_the_query(spark):
+    """Rows no model learnt from, in five orders of the tables."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    docs, labels = read("documents").join(read("labels").select("doc_id"), "doc_id"), read("labels")
+    truth = {r.doc_id: (r.toxic, r.lang) for r in docs.join(labels, "doc_id").where("toxic is not null").select("doc_id", "toxic", "lang").collect() if toxicity_held(r.doc_id)}
+    recalls = []
+    for order in (docs, docs.orderBy("text"), docs.orderBy("doc_id", ascending=False), docs.repartition(9, "text"), docs.orderBy("lang", "n_chars")):
+        got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(order, toxicity.learn(order, labels)).collect()}
+        caught = lambda lang, want: [got[i] for i, (y, of) in truth.items() if y == want and lang in (None, of)]
+        recalls.append(np.mean(caught(None, 1)))
+        assert np.mean(caught(None, 0)) < 0.02 and all(np.mean(caught(x, 1)) >= 0.75 for x in ("en", "de", "fr", "es")), {x: np.mean(caught(x, 1)) for x in ("en", "de", "fr", "es")}
+    assert min(recalls) >= 0.85 and max(recalls) - min(recalls) < 0.03, recalls
+
+
 # ---- language
 
 
