@@ -228,7 +228,8 @@ def _labels(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     mixed = F.xxhash64("node")
     leaders = [F.min("node"), F.max("node"), F.min_by("node", mixed), F.max_by("node", mixed)]
     leads = buckets.groupBy("band", "key").agg(F.count("*").alias("members"), *[x.alias(f"lead{i}") for i, x in enumerate(leaders)]).where("members > 1")
-    members = stored(buckets.join(leads, ["band", "key"]), "members")
+    # Written first: a join with an aggregate on its own key is none that the skew rule can split.
+    members = stored(buckets.join(stored(leads, "leads"), ["band", "key"]), "members")
     led = members.select("node", F.explode(F.array_distinct(F.array(*[f"lead{i}" for i in range(len(leaders))]))).alias("lead"))
     pairs = led.where("node != lead").select(F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node")).distinct()
 
@@ -330,7 +331,7 @@ def _part(of: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     tokens = of.join(sets.select(F.col("node").alias("n"), "hashes"), F.col("node") == F.col("n")).select("band", "key", "node", "label", "n_shingles", F.explode("hashes").alias("token"))
     often = tokens.groupBy("band", "key", "token").agg(F.count("*").alias("often"))
-    ranked = tokens.join(often, ["band", "key", "token"])
+    ranked = tokens.join(stored(often, "often"), ["band", "key", "token"])
     ordered = ranked.groupBy("band", "key", "node", "label", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("tokens"))
     n = F.col("n_shingles")
     head = lambda over, under: (n - F.ceil(n * over / under) + 1).cast("int")

@@ -17,6 +17,9 @@ import hashlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import unused
 
 #: Prime; over 100 slots a shard for up to 600 shards.
 TABLE_SIZE = 65_537
@@ -63,9 +66,12 @@ def assign_shards(docs: DataFrame, shards=SHARDS, size: int = TABLE_SIZE, id_col
     """
     spark = docs.sparkSession
     rows = [(slot, shards[owner]) for slot, owner in enumerate(fill_table(list(shards), size))]
-    lookup = F.broadcast(spark.createDataFrame(rows, "__slot int, __shard string"))  # `size` rows, whatever the input
-    placed = docs.drop("slot", "shard").withColumn("__at", slot_of(docs[id_col], size))
-    return placed.join(lookup, F.col("__at") == F.col("__slot")).drop("__slot").withColumnsRenamed({"__at": "slot", "__shard": "shard"})
+    at, of, named = (unused(docs, name) for name in ("slot_at", "slot_of", "shard_of"))
+    lookup = F.broadcast(spark.createDataFrame(rows, T.StructType([T.StructField(of, T.IntegerType()), T.StructField(named, T.StringType())])))  # `size` rows, whatever the input
+    placed = docs.withColumn(at, slot_of(docs[id_col], size))
+    placed = placed.join(lookup, placed[at] == lookup[of])
+    kept = [placed[f"`{c}`"] for c in docs.columns if c.lower() not in ("slot", "shard")]
+    return placed.select(*kept, placed[at].alias("slot"), placed[named].alias("shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards=SHARDS, size: int = TABLE_SIZE, id_col: str = "doc_id", files_per_shard: int = 4) -> None:

@@ -43,3 +43,12 @@ def test_placement(spark, tmp_path, empty):
     S.write_shards(docs, str(tmp_path / "out"), S.SHARDS[:3], 101)
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 3
     assert S.assign_shards(empty).count() == 0
+
+
+def test_clashing_names(spark):
+    names = ["__slot", "__shard", "__at", "slot_at", "slot_of", "shard_of", "SLOT", "a.b"]
+    docs = spark.createDataFrame([(i, *[f"{n}{i}" for n in names]) for i in range(50)], ["doc_id", *names])
+    placed = S.assign_shards(docs)
+    assert placed.columns == ["doc_id", *[n for n in names if n != "SLOT"], "slot", "shard"]
+    for r in placed.collect():
+        assert all(r[n] == f"{n}{r.doc_id}" for n in names if n != "SLOT")
