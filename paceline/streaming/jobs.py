@@ -16,6 +16,7 @@ from ..functions.times import ms_to_date
 from ..operators import adherence, canonical, dedup, merge, rolling, wellness
 from ..schemas import DAY_MS, PLANNING_DDL, PLANS_DDL, TRAINING_DDL, struct
 from ..sources import files, lake, topics
+from . import state
 from .late import is_late
 
 DEDUP_DAYS = 7
@@ -133,22 +134,26 @@ def run_connectors(spark: SparkSession, inbox: str, root: str, checkpoint: str,
 
 
 def canonicalize_job(spark: SparkSession, root: str, domain: str, out_topic: str, dlq_topic: str, checkpoint: str, files_per_trigger: int | None = None, key: str = "$.event_id") -> StreamingQuery:
-    """raw.<domain> -> canonical records and dead letters; of an id's copies the first in the log's order wins within DEDUP_DAYS."""
-    raw = topics.read_stream(spark, root, f"raw.{domain}", files_per_trigger)
-    seen = _seen(spark, f"{checkpoint}/seen")
+    """raw.<domain> -> canonical records and dead letters; of an id's copies the first in the log's order wins within DEDUP_DAYS.
+
+    Ids that were seen are state in Spark's store, forgotten DEDUP_DAYS after they came. A plan's id is its athlete's own.
+    """
+    order = ["timestamp", "partition", "offset"]
+    raw = topics.read_stream(spark, root, f"raw.{domain}", files_per_trigger).withColumn("event_id", F.get_json_object("value", "$.event_id"))
+    if domain == "planning":
+        fresh = state.first_copies_within(raw.withColumn("athlete_id", F.get_json_object("value", "$.athlete_id")), order, "athlete_id").drop("athlete_id")
+    else:
+        fresh = state.first_copies(raw, order)
 
     def step(batch: DataFrame, number: int) -> None:
-        keyed = batch.withColumn("event_id", F.get_json_object("value", "$.event_id"))
-        fresh = dedup.unseen(dedup.first_by_id(keyed, F.struct("timestamp", "partition", "offset")), _recent(seen, number))
-        made = canonical.canonicalize(fresh, domain).persist()
+        made = canonical.canonicalize(batch, domain).persist()
         good = made.where("error is null").select(F.col("record.athlete_id").alias("key"), F.to_json("record").alias("value"), F.col("record.ingest_time").alias("timestamp"), "partition", "offset")
         _publish(good.withColumnsRenamed({"partition": "came", "offset": "at"}), root, out_topic, domain, number, checkpoint, ["came", "at"])
         bad = canonical.rejected(made, f"raw.{domain}", key=key)
         _publish(bad.select(F.col("original_key").alias("key"), F.to_json(F.struct("*")).alias("value"), "timestamp"), root, dlq_topic, domain, number, checkpoint, ["value"])
-        seen.write(_ids(fresh), number)
         made.unpersist()
 
-    return raw.writeStream.foreachBatch(step).option("checkpointLocation", f"{checkpoint}/query").trigger(availableNow=True).start()
+    return state.started(fresh.writeStream.foreachBatch(step).option("checkpointLocation", f"{checkpoint}/query").trigger(availableNow=True), spark)
 
 
 def metrics_job(spark: SparkSession, root: str, checkpoint: str, files_per_trigger: int | None = None, lake_path: str | None = None) -> StreamingQuery:
