@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce as C
 from ..functions import dlq, loads, scores, times
-from ..operators import adherence, canonical, dedup, merge, parity, quality, rolling, serialize, serving, wellness
+from ..operators import adherence, canonical, dedup, delta, merge, parity, quality, rolling, serialize, serving, wellness
 from ..sources import demo, files
 from ..streaming import late
 from . import fixtures as X
@@ -484,6 +484,27 @@ def parity_check(spark, sf_dir):
     return parity.parity(rolling.daily_load(events), events, times.date_to_ms(F.col("day")), times.day_start_ms(F.col("event_time")))
 
 
+@query(f"""WITH {X.ORDER_DAYS_SQL}, {X.TRAINING_SQL}, pg AS (SELECT DISTINCT athlete_id, epoch_ms(CAST(day AS TIMESTAMP)) AS d FROM event_days), lake AS (SELECT DISTINCT athlete_id, epoch_ms(CAST(day AS TIMESTAMP)) AS d FROM training)
+SELECT athlete_id, d AS day_epoch_ms, 'iceberg_missing' AS side FROM (SELECT * FROM pg EXCEPT SELECT * FROM lake) UNION ALL SELECT athlete_id, d, 'pg_missing' FROM (SELECT * FROM lake EXCEPT SELECT * FROM pg)""")
+def parity_by_digests(spark, sf_dir):
+    """As parity_check: digests a bucket and month first, then the athletes of differing buckets only."""
+    events = X.training_events(spark, sf_dir)
+    return parity.parity_by_digests(rolling.daily_load(events), events, times.date_to_ms(F.col("day")), times.day_start_ms(F.col("event_time")))
+
+
+@query(f"""WITH {X.METRICS_SQL} SELECT athlete_id, metric_date, acute_load, chronic_load_28d, chronic_load_42d, acute_chronic_ratio, deload_flag, fatigue_score, readiness_score, coaching_flags FROM metrics""")
+def corrected_metrics(spark, sf_dir):
+    """The metrics table made without the urgent orders of each day, then corrected by them: what all orders give."""
+    orders = X.table(spark, sf_dir, "orders")
+    day = F.col("o_orderdate").cast("date")
+    athlete = F.concat(F.lit("c"), F.col("o_custkey"))
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    loads = lambda rows: rows.groupBy(athlete.alias("athlete_id"), day.alias("day")).agg(F.sum(F.round("o_totalprice")).alias("daily_load"))
+    before = rolling.metrics_of_days(loads(orders.where(~urgent)))
+    changes = delta.corrections(before, loads(orders), orders.where(urgent).select(athlete.alias("athlete_id"), day.alias("day")).distinct())
+    return delta.corrected(before, changes)
+
+
 @query(f"""WITH {X.PLANS_SQL} SELECT athlete_id, block_id, ingest_time, goal, planned_sessions_per_week FROM revisions WHERE block_id = 'q1'
 UNION ALL SELECT athlete_id, block_id, ingest_time, 'again', planned_sessions_per_week FROM revisions WHERE block_id <> 'q1'""")
 def plan_insert_if_absent(spark, sf_dir):
