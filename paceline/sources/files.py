@@ -50,8 +50,10 @@ COLUMNS: dict[str, dict[str, tuple[str, bool]]] = {
 SOURCES = {"strength": "strong_csv", "cardio": "synthetic_cardio", "nutrition": "nutrition_csv", "recovery": "apple_health", "wellness": "synthetic_wellness", "planning": "synthetic_planning"}
 
 
-#: Cells of a line that are read; files whose headers may be broadcast (some hundred bytes each).
-WIDTH, BROADCAST_HEADS = 64, 50_000
+#: Cells of a line that the reader parts; a line of more is parted from its text, whatever their number.
+WIDTH = 64
+#: Files whose headers may be broadcast (some hundred bytes each).
+BROADCAST_HEADS = 50_000
 #: Domains whose plans may also come as documents, and the suffixes of these.
 DOCUMENTS = ("planning",)
 _JSON, _YAML = "*.json", "*.{yaml,yml}"
@@ -62,10 +64,17 @@ def _lines(reader: DataFrameReader | DataStreamReader, path: str, domain: str) -
 
     Plans may hold line breaks in quoted cells, so their files aren't split.
     """
-    schema = ", ".join(f"c{i} STRING" for i in range(WIDTH))
-    read = reader.option("header", False).option("encoding", "UTF-8").option("escape", '"').option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).option("multiLine", domain in DOCUMENTS)
+    names = [f"c{i}" for i in range(WIDTH)]
+    schema = ", ".join(f"{c} STRING" for c in [*names, "line"])
+    read = reader.option("columnNameOfCorruptRecord", "line").option("header", False).option("encoding", "UTF-8").option("escape", '"').option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).option("multiLine", domain in DOCUMENTS)
     rows = read.schema(schema).csv(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.array(*rows.columns).alias("cells"), F.lit(None).cast("string").alias("doc"))
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.when(F.col(names[-1]).isNotNull() & F.col("line").isNotNull(), _parted(F.col("line"))).otherwise(F.array(*names)).alias("cells"), F.lit(None).cast("string").alias("doc"))
+
+
+def _parted(line: Column) -> Column:
+    """The cells of a line, quoted or not, as the reader gives them: an empty one is null, a quoted empty one isn't."""
+    cells = F.regexp_extract_all(line, F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    return F.transform(cells, lambda x: F.when(x.startswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).when(x != "", x))
 
 
 def _documents(reader: DataFrameReader | DataStreamReader, path: str, glob: str) -> DataFrame:

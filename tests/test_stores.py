@@ -167,3 +167,17 @@ def test_messages_of_metrics(spark):
     (m,) = serialize.metrics_messages(metrics).collect()
     assert json.loads(m.value) == {"athlete_id": "a", "metric_date": 1704067200000, "acute_load": 1.0, "chronic_load_28d": 2.0, "chronic_load_42d": 3.0, "acute_chronic_ratio": None, "fatigue_score": None, "readiness_score": 5.0, "deload_flag": 0, "coaching_flags": ["monitor"]}
     assert sorted(r.original_key for r in serialize.metrics_rejected(metrics).collect()) == ["b", "c"]
+
+
+def test_files_of_any_width(spark, tmp_path):
+    from paceline.sources import files
+
+    extra = [f"x{i}" for i in range(95)]
+    columns = ["athlete_id", *extra, "date", "sleep_hours", "resting_hr", "hrv", "steps", "body_weight_kg"]
+    cells = ["a", *['"q, ""w"""' if i % 3 else "" for i in range(95)], "2026-01-01", "7.5", "50", "", "1", '"70"']
+    (tmp_path / "wide.csv").write_text(",".join(columns) + "\n" + ",".join(cells) + "\n" + ",".join([*cells[:-1], ""]) + "\n")
+    (tmp_path / "narrow.csv").write_text("date,athlete_id,hrv\n2026-01-02,b,61\n")
+    rows = sorted(files.read_rows(spark, str(tmp_path), "recovery").collect(), key=lambda r: (r.athlete_id, r.body_weight_kg or 0))
+    assert [(r.athlete_id, r.sleep_hours, r.hrv, r.steps, r.body_weight_kg, r.error) for r in rows] == [("a", 7.5, None, 1, None, None), ("a", 7.5, None, 1, 70.0, None), ("b", None, 61.0, None, None, None)]
+    (wide,) = [r for r in files._lines(spark.read, str(tmp_path), "recovery").collect() if "7.5" in r.cells and "70" in r.cells]
+    assert len(wide.cells) == len(columns) and wide.cells[1] is None and wide.cells[2] == 'q, "w"'
