@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import times
 from ..schemas import DAY_MS
 
 DELAY_MS = LATENESS_MS = DAY_MS
@@ -19,6 +20,19 @@ def is_late(event_time: Column, largest: Column, delay_ms: int = DELAY_MS, laten
     return F.coalesce(day_end + lateness_ms <= largest - delay_ms, F.lit(False))
 
 
+def with_event_time(rows: DataFrame, event_time: Column, record_ms: Column, name: str = "event_ts", delay: str = "24 hours") -> DataFrame:
+    """A stream with `name`, the event's time, and a watermark over it.
+
+    A time that can't be read (missing, no time, out of range) never ends the job nor stands still:
+    the row takes its record's time, so the watermark goes on and the row reaches the step that
+    says what is wrong with it. A row without either time gets 1970-01-01 and counts as late.
+    """
+    ms = times.flexible_ms(event_time)
+    sound = F.when(ms.between(-62_135_596_800_000, 253_402_300_799_999), ms)  # years 1 to 9999
+    assigned = F.coalesce(sound, record_ms.cast("bigint"), F.lit(0))
+    return rows.withColumn(name, F.timestamp_millis(assigned)).withWatermark(name, delay)
+
+
 #: Arrivals a block has, and blocks a group of them.
 BLOCK, GROUP = 100_000, 10_000
 

@@ -119,3 +119,26 @@ def test_panes_are_the_windows_over_all_events(spark, tmp_path, files):
     assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
     sliding = rolling.sliding_windows(batch).select("athlete_id", "metric_date", "window_load")
     assert sorted(map(repr, got.select(*sliding.columns).collect())) == sorted(map(repr, sliding.collect()))
+
+
+def test_bad_times_take_the_records_time(spark, tmp_path):
+    """Rows with times that can't be read advance the stream with their record's time, and none is lost."""
+    from paceline.streaming import late
+
+    day = lambda k: 1_704_067_200_000 + k * DAY_MS
+    batches = [
+        [("good", "2024-01-01T10:00:00Z", day(0)), ("bad", "soon", day(0)), ("none", None, day(0)), ("far", "99999999999999999", day(0))],
+        [("ahead", "not a time", day(9))],  # only its record's time moves the watermark
+        [("behind", "2024-01-01T11:00:00Z", day(9)), ("lost", None, None)],
+    ]
+    ddl = "id string, event_time string, record_ms long"
+    for rows in batches:
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    timed = late.with_event_time(stream, F.col("event_time"), F.col("record_ms"))
+    query = timed.groupBy(F.window("event_ts", "1 day")).agg(F.sort_array(F.collect_set("id")).alias("ids")).writeStream.format("memory").queryName("timed").outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    got = [r.ids for r in spark.table("timed").collect()]
+    assert {"bad", "far", "good", "none"} <= set(got[0]) and not any("ahead" in ids for ids in got)  # closed by the row ahead
+    flat = late.with_event_time(spark.createDataFrame([x for b in batches for x in b], ddl), F.col("event_time"), F.col("record_ms"))
+    assert {r.id: r.event_ts.isoformat() for r in flat.collect()}["lost"].startswith("1970-01-01") and flat.count() == 7
