@@ -1,12 +1,14 @@
 """Daily loads, rolling loads, deload streaks and the metrics table.
 
 Events are summed to days before anything else, so windows sort days, not events. The
-three rolling windows and the streak share one partitioning by athlete.
+three rolling windows and the streak share one partitioning by athlete. The metrics table
+is made of steps (stretches of days over which no window changes), which become rows last:
+a sparse series has a step for ten of its rows, and only steps are sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
@@ -35,6 +37,15 @@ def recent_days(daily: DataFrame) -> DataFrame:
     return daily.withColumn("__last", last).where(F.datediff("__last", "day") < STREAK).drop("__last")
 
 
+def days_between(daily: DataFrame, start: Column, end: Column) -> DataFrame:
+    """The daily loads that metrics rows from start to end depend on.
+
+    A row's windows reach back LONG_DAYS - 1 days, those of the rows that decide its streak STREAK - 1
+    days more.
+    """
+    return daily.where(F.col("day").between(F.date_sub(start, LONG_DAYS + STREAK - 2), end))
+
+
 def load_spine(daily: DataFrame, days: int = LONG_DAYS) -> DataFrame:
     """A row for each day whose window of `days` holds a training day, with that day's load or null.
 
@@ -85,12 +96,71 @@ def deload_flag(rolled: DataFrame, streak: int = STREAK) -> DataFrame:
     return numbered.withColumn("deload_flag", F.when(length >= streak, F.col("__sign")).otherwise(0).cast("int")).drop("__sign", "__turn", "__n", "__d")
 
 
-def metrics_of_days(daily: DataFrame) -> DataFrame:
-    """The metrics table's load columns, from daily loads."""
-    rows = deload_flag(rolling_load(load_spine(daily), keep_number=True))
-    scored = rows.withColumns({"fatigue_score": scores.fatigue(F.col("acute_load"), F.col("chronic_load_42d")), "readiness_score": scores.readiness(F.col("acute_chronic_ratio"), F.col("chronic_load_28d"))})
-    flags = F.to_json(scores.coaching_flags(F.col("deload_flag"), F.col("fatigue_score")))
-    return scored.withColumn("coaching_flags", flags).drop("daily_load")
+def load_steps(daily: DataFrame) -> DataFrame:
+    """The rolling loads as steps: (athlete_id, since, until, the loads and their ratio), days by their numbers, `until` not included.
+
+    A load enters its windows on its day and leaves each after its last day; between such days
+    no window changes. A leaving day that is a training day makes no step of its own, so a dense series
+    has as many steps as days. There are steps only where the longest window holds a training day.
+    """
+    by_day = Window.partitionBy("athlete_id").orderBy("since")
+    spans = (ACUTE_DAYS, CHRONIC_DAYS, LONG_DAYS)
+    trained = daily.select("athlete_id", F.unix_date("day").alias("since"), "daily_load").withColumns({f"__at_{n}": F.count("*").over(by_day.rangeBetween(n, n)) for n in spans})
+    step = lambda since, load, trains, kept: F.struct(since.alias("since"), load.alias("daily_load"), F.lit(trains).alias("trains"), kept.alias("kept"))
+    entered = step(F.col("since"), F.col("daily_load"), True, F.lit(True))
+    left = [step(F.col("since") + n, F.lit(None).cast(daily.schema["daily_load"].dataType), False, F.col(f"__at_{n}") == 0) for n in spans]
+    steps = trained.select("athlete_id", F.inline(F.array(entered, *left))).where("kept")
+    over = lambda days: by_day.rangeBetween(1 - days, 0)
+    rolled = steps.withColumns(
+        {
+            "acute_load": F.coalesce(F.sum("daily_load").over(over(ACUTE_DAYS)), F.lit(0.0)),
+            "chronic_load_28d": F.coalesce(F.avg("daily_load").over(over(CHRONIC_DAYS)), F.lit(0.0)),
+            "chronic_load_42d": F.coalesce(F.avg("daily_load").over(over(LONG_DAYS)), F.lit(0.0)),
+            "held": F.count(F.when(F.col("trains"), 1)).over(over(LONG_DAYS)),
+            "until": F.lead("since").over(by_day),
+        }
+    )
+    # Of leaving days that fall together the last one's step is the one with days in it.
+    real = rolled.where("held > 0 and until > since")
+    ratio = scores.load_ratio(F.col("acute_load"), F.col("chronic_load_28d")).alias("acute_chronic_ratio")
+    return real.select("athlete_id", "since", "until", "acute_load", "chronic_load_28d", "chronic_load_42d", ratio)
+
+
+def _days_of(steps: DataFrame, *columns) -> DataFrame:
+    """A row for each day of each step: (athlete_id, metric_date, `columns`), which may use the day's number `__t`."""
+    kept = [c for c in steps.columns if c != "until"]
+    rows = steps.select(*kept, F.explode(F.sequence(F.col("since"), F.col("until") - 1)).alias("__t"))
+    return rows.select("athlete_id", F.date_from_unix_date("__t").alias("metric_date"), *columns)
+
+
+_LOADS = ("acute_load", "chronic_load_28d", "chronic_load_42d", "acute_chronic_ratio")
+
+
+def rolling_load_of_days(daily: DataFrame) -> DataFrame:
+    """`rolling_load` of `load_spine`, from daily loads."""
+    return _days_of(load_steps(daily), *_LOADS)
+
+
+def metrics_of_days(daily: DataFrame, streak: int = STREAK) -> DataFrame:
+    """The metrics table's load columns, from daily loads.
+
+    Flags are as `deload_flag` gives them. A run of high or low ratios has no gap in it: before and
+    after days without rows the ratio is none or 1. So a run's length is a number of days.
+    """
+    by_day = Window.partitionBy("athlete_id").orderBy("since")
+    steps = load_steps(daily).withColumn("__sign", scores.ratio_sign(F.col("acute_chronic_ratio")))
+    steps = steps.withColumn("__turn", F.coalesce(F.col("__sign") != F.lag("__sign").over(by_day), F.lit(True)))
+    steps = steps.withColumn("__start", F.max(F.when(F.col("__turn"), F.col("since"))).over(by_day.rowsBetween(Window.unboundedPreceding, 0)))
+    fatigue = scores.fatigue(F.col("acute_load"), F.col("chronic_load_42d"))
+    flags = lambda flag: F.to_json(scores.coaching_flags(flag, F.col("fatigue_score")))
+    scored = steps.withColumns({"fatigue_score": fatigue, "readiness_score": scores.readiness(F.col("acute_chronic_ratio"), F.col("chronic_load_28d"))})
+    # Both texts a step, so that rows only choose.
+    scored = scored.withColumns({"__flagged": flags(F.col("__sign")), "__unflagged": flags(F.lit(0))})
+    long = F.col("__t") - F.col("__start") + 1 >= streak
+    return _days_of(
+        scored, *_LOADS, F.when(long, F.col("__sign")).otherwise(0).cast("int").alias("deload_flag"), "fatigue_score", "readiness_score",
+        F.when(long, F.col("__flagged")).otherwise(F.col("__unflagged")).alias("coaching_flags"),
+    )
 
 
 def athlete_metrics(events: DataFrame) -> DataFrame:

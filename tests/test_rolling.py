@@ -78,3 +78,41 @@ def test_the_latest_rows_need_recent_days_only(spark):
     daily = spark.createDataFrame([(a, d, v) for (a, d), v in rows.items()], "athlete_id string, day date, daily_load double")
     some = sorted(map(tuple, serving.latest_metrics(rolling.metrics_of_days(rolling.recent_days(daily))).collect()), key=str)
     assert some == sorted(map(tuple, serving.latest_metrics(rolling.metrics_of_days(daily)).collect()), key=str) and len(some) == 8
+
+
+def test_steps_give_the_rows_of_the_spine(spark):
+    """Sparse and dense series, loads of 0 and none: steps against the windows over every day."""
+    from pyspark.sql import functions as F
+
+    rng, days = random.Random(7), []
+    for a in range(30):
+        span = rng.choice([50, 120, 600])
+        for k in sorted(rng.sample(range(span), rng.randrange(1, 48))):
+            days.append((f"a{a}", START + dt.timedelta(k), rng.choice([None, 0.0, *[float(rng.randrange(500))] * 8])))
+    daily = spark.createDataFrame(days, "athlete_id string, day date, daily_load double")
+    want = rolling.deload_flag(rolling.rolling_load(rolling.load_spine(daily), keep_number=True)).drop("daily_load")
+    got = rolling.metrics_of_days(daily)
+    rows = lambda df: sorted(map(repr, df.select(*want.columns).collect()))
+    assert rows(got) == rows(want) and got.where("deload_flag != 0").count() > 50
+    loads = rolling.rolling_load_of_days(daily)
+    assert rows(loads.withColumn("deload_flag", F.lit(0))) == rows(want.withColumn("deload_flag", F.lit(0)))
+
+
+def test_only_steps_are_sorted(spark):
+    days = spark.createDataFrame([("a", START + dt.timedelta(90 * k), 100.0) for k in range(5)], "athlete_id string, day date, daily_load double")
+    metrics = rolling.metrics_of_days(days)
+    plan = metrics._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("Generate explode(sequence(") < plan.index("Sort [")  # days are made above the last sort
+    assert metrics.count() == 210 and rolling.load_steps(days).count() == 15
+
+
+def test_days_between_hold_what_a_range_depends_on(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    days = [(f"a{a}", START + dt.timedelta(k), float(rng.randrange(900))) for a in range(20) for k in sorted(rng.sample(range(300), rng.randrange(1, 90)))]
+    daily = spark.createDataFrame(days, "athlete_id string, day date, daily_load double")
+    ends = [F.lit(START + dt.timedelta(k)) for k in (120, 180)]
+    of = lambda d: sorted(map(repr, rolling.metrics_of_days(d).where(F.col("metric_date").between(*ends)).collect()))
+    some = rolling.days_between(daily, *ends)
+    assert of(some) == of(daily) and 0 < some.count() < daily.count()
