@@ -2,25 +2,35 @@
 
 A changed day touches the windows of the LONG_DAYS - 1 days after it. A flag depends on the signs
 of the last STREAK rows, so beyond the touched days it can only differ on the STREAK - 1 rows that
-follow them.
+follow them; behind a gap in the rows it can't, as streaks have no gaps.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scores
 from ..schemas import LONG_DAYS, STREAK
 from . import rolling
 
 KEYS = ["athlete_id", "metric_date"]
 
 
-def _days_around(changed: DataFrame, before: int, after: int, name: str) -> DataFrame:
-    """(athlete_id, `name`): the days from `before` days before to `after` days after each changed day."""
-    days = F.sequence(F.date_sub("day", before), F.date_add("day", after))
-    return changed.select("athlete_id", F.explode(days).alias(name)).distinct()
+#: A flag differs at most this many days after a changed day: with the last window that holds it, and the rows of a streak after that.
+REACH = LONG_DAYS - 1 + STREAK - 1
+
+
+def _by_athlete(days: DataFrame, column: str) -> DataFrame:
+    """(athlete_id, __days): an athlete's days, a number each. A row an athlete, so that what is joined by
+    athlete stays where it is and is not sorted; no more numbers than the calendar has days."""
+    return days.groupBy("athlete_id").agg(F.sort_array(F.collect_set(F.unix_date(column))).alias("__days")).hint("shuffle_hash")
+
+
+def _near(rows: DataFrame, changed: DataFrame, column: str, before: int, after: int) -> DataFrame:
+    """The rows at most `before` days before or `after` days after a changed day of their athlete."""
+    day = F.unix_date(column)
+    near = F.exists("__days", lambda d: day.between(d - before, d + after))
+    return rows.join(changed, "athlete_id").where(near).drop("__days")
 
 
 def corrections(metrics: DataFrame, daily: DataFrame, changed: DataFrame) -> DataFrame:
@@ -30,33 +40,19 @@ def corrections(metrics: DataFrame, daily: DataFrame, changed: DataFrame) -> Dat
     (athlete_id, day) whose load came, went or is another. Only rows that differ from the old ones,
     or are new, are given. No change, no rows; an athlete may be new, or lose the last day.
     """
-    reach = LONG_DAYS - 1
-    touched = _days_around(changed, 0, reach, "metric_date")
-    needed = daily.join(_days_around(changed, reach, reach, "day"), ["athlete_id", "day"], "left_semi")
-    fresh = rolling.rolling_load(rolling.load_spine(needed)).join(touched, KEYS, "left_semi").drop("daily_load")
-    fresh = fresh.withColumns({"fatigue_score": scores.fatigue(F.col("acute_load"), F.col("chronic_load_42d")), "readiness_score": scores.readiness(F.col("acute_chronic_ratio"), F.col("chronic_load_28d"))})
-
-    names = [c for c in metrics.columns if c not in ("deload_flag", "coaching_flags")]
-    before = metrics.join(changed.select("athlete_id").distinct(), "athlete_id", "left_semi")
-    kept = before.join(touched, KEYS, "left_anti").select(*names, F.col("deload_flag").alias("was"), F.lit(False).alias("is_new"))
-    rows = fresh.select(*names, F.lit(None).cast("int").alias("was"), F.lit(True).alias("is_new")).unionByName(kept)
-    rows = rows.withColumn("sign", scores.ratio_sign(F.col("acute_chronic_ratio")))
-    by_date = Window.partitionBy("athlete_id").orderBy("metric_date")
-    alike = F.lit(True)
-    for k in range(1, STREAK):
-        alike = alike & (F.lag("sign", k).over(by_date) == F.col("sign"))
-    rows = rows.withColumn("deload_flag", F.when(F.coalesce(alike, F.lit(False)), F.col("sign")).otherwise(0).cast("int")).where("is_new or deload_flag != was")
-    rows = rows.withColumn("coaching_flags", F.to_json(scores.coaching_flags(F.col("deload_flag"), F.col("fatigue_score")))).select(*metrics.columns)
-
+    days = _by_athlete(changed, "day")
+    # A row depends on the loads of the REACH days before it, so these days make the touched rows whole.
+    fresh = _near(rolling.metrics_of_days(_near(daily, days, "day", REACH, REACH)), days, "metric_date", 0, REACH)
+    old = _near(metrics, days, "metric_date", 0, REACH)
     shape = F.struct(*metrics.columns)
-    nothing = F.lit(None).cast(metrics.select(shape.alias("row")).schema["row"].dataType)
-    old = before.join(touched.withColumn("hit", F.lit(True)), KEYS, "left").select(*KEYS, shape.alias("old"), nothing.alias("new"), F.coalesce("hit", F.lit(False)).alias("hit"))
-    both = old.unionByName(rows.select(*KEYS, nothing.alias("old"), shape.alias("new"), F.lit(True).alias("hit")))
-    met = both.groupBy(*KEYS).agg(F.any_value("old", True).alias("old"), F.any_value("new", True).alias("new"), F.bool_or("hit").alias("hit"))
-    met = met.where(F.col("hit") & ~F.col("old").eqNullSafe(F.col("new")))
+    was, now = old.select(*KEYS, shape.alias("old")), fresh.select(*KEYS, shape.alias("new"))
+    # Hashed, not sorted, and never broadcast: sizes are guessed from the daily loads, of which each makes many rows.
+    met = was.join(now.hint("shuffle_hash"), KEYS, "full").where(~F.col("old").eqNullSafe(F.col("new")))
     return met.select(F.col("new").isNull().alias("gone"), F.coalesce("new", "old").alias("row")).select("row.*", "gone")
 
 
 def corrected(metrics: DataFrame, changes: DataFrame) -> DataFrame:
     """The metrics table after `corrections`."""
-    return metrics.join(changes.select(*KEYS), KEYS, "left_anti").select(*metrics.columns).unionByName(changes.where("not gone").select(*metrics.columns))
+    days = _by_athlete(changes, "metric_date")
+    replaced = F.coalesce(F.array_contains("__days", F.unix_date("metric_date")), F.lit(False))
+    return metrics.join(days, "athlete_id", "left").where(~replaced).select(*metrics.columns).unionByName(changes.where("not gone").select(*metrics.columns))

@@ -142,3 +142,15 @@ def test_bad_times_take_the_records_time(spark, tmp_path):
     assert {"bad", "far", "good", "none"} <= set(got[0]) and not any("ahead" in ids for ids in got)  # closed by the row ahead
     flat = late.with_event_time(spark.createDataFrame([x for b in batches for x in b], ddl), F.col("event_time"), F.col("record_ms"))
     assert {r.id: r.event_ts.isoformat() for r in flat.collect()}["lost"].startswith("1970-01-01") and flat.count() == 7
+
+
+def test_corrections_broadcast_no_rows(spark, tmp_path):
+    """Sizes are guessed from the small tables that many rows are made of: nothing made of them may go through the driver."""
+    spark.createDataFrame([(*k, v) for k, v in random_days(6).items()], DAILY).write.parquet(str(tmp_path / "daily"))
+    daily = spark.read.parquet(str(tmp_path / "daily"))
+    old = rolling.metrics_of_days(daily.where("daily_load > 100"))
+    changes = delta.corrections(old, daily, daily.where("daily_load <= 100").select("athlete_id", "day"))
+    got = delta.corrected(old, changes)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    want = rolling.metrics_of_days(daily)
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
