@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
@@ -83,10 +83,28 @@ def metrics_range(metrics: DataFrame, athlete_id: str, start: Column, end: Colum
 
 
 def densify(metrics: DataFrame, columns: list[str]) -> DataFrame:
-    """A row a day from each athlete's first to last date; days without a row have nulls."""
-    ends = metrics.groupBy("athlete_id").agg(F.min("metric_date").alias("a"), F.max("metric_date").alias("z"))
-    days = ends.select("athlete_id", F.explode(F.sequence("a", "z")).alias("metric_date"))
-    return days.join(metrics.select("athlete_id", "metric_date", *columns), ["athlete_id", "metric_date"], "left")
+    """A row a day from each athlete's first to last date; days without a row have nulls.
+
+    Rows pass as they are; the days between them are made from bits of the days there are, a
+    number an athlete and 60 days. So rows are neither sorted nor joined to days.
+    """
+    day, bits = F.unix_date("metric_date"), 60
+    metrics = metrics.where("metric_date is not null")
+    there = metrics.groupBy("athlete_id", F.floor(day / bits).alias("block")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(day, F.lit(bits)))).alias("days"), F.min(day).alias("a"), F.max(day).alias("z"))
+    following = F.lead("a").over(Window.partitionBy("athlete_id").orderBy("block"))
+    # From a block's first day to the one before the next block's.
+    spans = there.select("athlete_id", "block", "days", "a", F.coalesce(following - 1, "z").alias("z"))
+    span = spans.select("athlete_id", "block", "days", F.explode(F.sequence("a", "z")).alias("day"))
+    held = (F.floor(F.col("day") / bits) == F.col("block")) & (F.call_function("getbit", F.col("days"), F.pmod(F.col("day"), F.lit(bits))) == 1)
+    nothing = [F.lit(None).cast(metrics.schema[c].dataType).alias(c) for c in columns]
+    missing = span.where(~held).select("athlete_id", F.date_from_unix_date("day").alias("metric_date"), *nothing)
+    return metrics.select("athlete_id", "metric_date", *columns).unionByName(missing)
+
+
+def peers(athletes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(athlete_id, sport) of all athletes of the sports of `chosen` (a table of ids)."""
+    one = athletes.join(chosen.select("athlete_id"), "athlete_id", "left_semi")
+    return athletes.join(one.select("sport").distinct(), "sport", "left_semi").select("athlete_id", "sport")
 
 
 def athlete_vs_sport(metrics: DataFrame, athletes: DataFrame, chosen: str | DataFrame, start: Column, end: Column) -> DataFrame:

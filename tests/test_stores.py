@@ -181,3 +181,17 @@ def test_files_of_any_width(spark, tmp_path):
     assert [(r.athlete_id, r.sleep_hours, r.hrv, r.steps, r.body_weight_kg, r.error) for r in rows] == [("a", 7.5, None, 1, None, None), ("a", 7.5, None, 1, 70.0, None), ("b", None, 61.0, None, None, None)]
     (wide,) = [r for r in files._lines(spark.read, str(tmp_path), "recovery").collect() if "7.5" in r.cells and "70" in r.cells]
     assert len(wide.cells) == len(columns) and wide.cells[1] is None and wide.cells[2] == 'q, "w"'
+
+
+def test_densify_joins_no_days(spark, tmp_path):
+    """Gaps within a block of days, over its border and over whole blocks; days before 1970; an athlete of one day."""
+    days = {"a": [-130, -61, -60, -59, -1, 0, 1, 59, 60, 61, 400], "b": [19_800], "c": [19_799, 19_801]}
+    epoch = dt.date(1970, 1, 1)
+    rows = [(a, epoch + dt.timedelta(k), float(k), None if k % 2 else k) for a, held in days.items() for k in held]
+    spark.createDataFrame([*rows, ("c", None, 5.0, 1)], "athlete_id string, metric_date date, x double, n int").write.parquet(str(tmp_path / "m"))
+    dense = serving.densify(spark.read.parquet(str(tmp_path / "m")), ["x", "n"])
+    assert "Join" not in dense._jdf.queryExecution().executedPlan().toString()  # a join of days broadcast one side
+    known = {(a, d): (x, n) for a, d, x, n in rows}
+    want = {(a, d): known.get((a, d), (None, None)) for a, held in days.items() for k in range(held[0], held[-1] + 1) for d in [epoch + dt.timedelta(k)]}
+    got = dense.collect()
+    assert len(got) == len(want) and {(r.athlete_id, r.metric_date): (r.x, r.n) for r in got} == want
