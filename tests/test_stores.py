@@ -159,6 +159,18 @@ def test_demo_repeats(spark):
     assert once == twice and len(once) == 240 and squad.select("sport").distinct().count() == 12
 
 
+def test_a_squad_of_six_digits(spark):
+    squad = demo.athletes(spark, 100_020).where("athlete_id >= 'demo-09998'")
+    ids = [r.athlete_id for r in squad.select("athlete_id").collect()]
+    assert len(set(ids)) == len(ids) and "demo-100019" in ids and "demo-10001" in ids
+    some = squad.where("athlete_id in ('demo-10001', 'demo-100018', 'demo-100019')")
+    metrics = demo.metrics(spark, some, "2026-01-31", 10)
+    assert metrics.join(some, "athlete_id").count() == 30
+    # The noise is that of the first five digits, so these three differ by their base loads only.
+    ratio = {(r.athlete_id, r.metric_date): r.acute_chronic_ratio for r in metrics.collect()}
+    assert all(ratio["demo-100018", d] == pytest.approx(ratio[a, d], rel=1e-12) for a, d in ratio)
+
+
 def test_messages_of_metrics(spark):
     from paceline.operators import serialize
 
