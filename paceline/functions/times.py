@@ -20,7 +20,8 @@ def flexible_ms(text: Column) -> Column:
     """Epoch milliseconds of a whole number (3 or 3.0) or an ISO text."""
     number = text.try_cast("double")
     whole = F.when(text.rlike(r"^-?\d+$"), text.try_cast("bigint")).when(number == F.floor(number), number.try_cast("bigint"))
-    return F.coalesce(whole, iso_to_ms(text))
+    # What begins as an ISO text is no number: a cast that fails costs an exception a row.
+    return F.when(text.rlike(r"^\d{4}-"), iso_to_ms(text)).otherwise(whole)
 
 
 def iso_date(text: Column) -> Column:

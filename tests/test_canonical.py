@@ -114,3 +114,17 @@ def test_schema_evolution():
     old = struct("a STRING, b INT")
     assert is_backward_compatible(old, struct("a STRING, b INT, c DOUBLE"))
     assert not is_backward_compatible(old, struct("a STRING")) and not is_backward_compatible(old, struct("a STRING, b BIGINT"))
+
+
+def test_times_of_any_form_and_no_cast_of_iso_texts(spark):
+    from pyspark.sql import functions as F
+
+    from paceline.functions import times
+
+    texts = ["2024-02-01T00:00:01Z", "2024-02-01", "2024-13-01", "2024-", "2024", "-2024", "-5", "3.0", "3.5", "1e3", " 7 ", "soon", "", None, " 2024-02-01", "99999999999999999999"]
+    ms = times.flexible_ms(F.col("t"))
+    got = [r.ms for r in spark.createDataFrame([(t,) for t in texts], "t string").select(ms.alias("ms")).collect()]
+    assert got == [1706745601000, 1706745600000, None, None, 2024, -2024, -5, 3, None, 1000, 7, None, None, None, None, None]
+    # An ISO text is told before anything is cast to a number.
+    plan = spark.createDataFrame([("x",)], "t string").select(ms)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("CASE WHEN RLIKE(t") < plan.index("double") and "coalesce(" not in plan.lower()
